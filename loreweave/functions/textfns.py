@@ -145,8 +145,10 @@ def ltrim_ws(c: Column) -> Column:
     return F.ltrim(c, F.lit(WS_CHARS))
 
 
-def contains_text(haystack: Column, needle: Column) -> Column:
-    return F.contains(haystack, needle)
+def is_json(c: Column) -> Column:
+    """One whole JSON value and nothing after it (a JSON reader alone ignores what follows)."""
+    wrapped = F.from_json(F.concat(F.lit("["), c, F.lit("]")), "array<string>")
+    return F.coalesce(F.size(wrapped) == 1, F.lit(False)) & wrapped.isNotNull()
 
 
 def sentence_window(text: Column, start: Column, end: Column, stops: str = SENTENCE_END) -> Column:

@@ -93,6 +93,61 @@ def identities(d: str) -> str:
     )
 
 
+TWO = "(SELECT 0 AS k UNION ALL SELECT 1 AS k) _k"
+
+
+def projects(d: str) -> str:
+    """A project for every three customers; some are archived."""
+    return """SELECT project_id, ' Project ' || CAST(project_id AS STRING) || ' ' AS name, project_id % 10 AS created_at, project_id % 7 AS updated_at,
+ CASE WHEN project_id % 5 = 0 THEN project_id % 3 END AS deleted_at, CASE WHEN project_id % 5 = 0 THEN 'archived' ELSE 'private' END AS visibility
+ FROM (SELECT DISTINCT CAST(floor(c_custkey / 3) AS BIGINT) * 2 AS project_id FROM customer) _p"""
+
+
+def job_novels(d: str) -> str:
+    return """SELECT c_custkey AS novel_id, CAST(floor(c_custkey / 3) AS BIGINT) * CASE WHEN c_nationkey % 2 = 0 THEN 2 ELSE 1 END AS project_id, c_name AS title,
+ CASE c_nationkey % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'vi' ELSE NULL END AS source_language, c_acctbal AS created_at, c_nationkey AS updated_at FROM customer"""
+
+
+def jobs(d: str) -> str:
+    """Two jobs per customer."""
+    return f"""SELECT c_custkey * 2 + k AS job_id, c_custkey AS novel_id, CAST(floor(c_custkey / 3) AS BIGINT) AS project_id,
+ CASE (c_custkey + c_nationkey + k) % 6 WHEN 0 THEN 'pending' WHEN 1 THEN 'running' WHEN 2 THEN 'paused' WHEN 3 THEN 'completed' WHEN 4 THEN 'failed' ELSE 'cancelled' END AS status,
+ CASE WHEN c_nationkey % 3 = 0 THEN 7 END AS started_at, CAST(NULL AS INT) AS finished_at, CASE WHEN c_nationkey % 4 = 0 THEN 'code' END AS error_code,
+ 'reason ' || CAST(c_nationkey AS STRING) AS error_message, c_nationkey * (1 - 2 * k) % 3 AS created_at FROM customer CROSS JOIN {TWO}"""
+
+
+def job_chapters(d: str) -> str:
+    return "SELECT o_orderkey AS chapter_id, o_custkey AS novel_id, o_orderkey AS chapter_num, o_orderpriority AS title FROM orders"
+
+
+def runs(d: str) -> str:
+    return f"""SELECT o_custkey * 2 + k AS job_id, o_custkey AS novel_id, o_orderkey AS chapter_id, o_orderkey AS chapter_num,
+ CASE WHEN o_orderpriority = '3-MEDIUM' AND o_orderstatus = 'P' THEN 'failed' WHEN o_orderstatus = 'F' THEN 'completed' WHEN o_orderstatus = 'O' THEN 'running' ELSE 'pending' END AS status,
+ 1 + o_orderkey % 3 AS attempt, CASE WHEN o_orderstatus = 'P' THEN 'code' END AS error_code, CASE WHEN o_orderstatus = 'P' THEN 'message' END AS error_message,
+ CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 7 = 1 THEN '{{"execution_profile": "x"' WHEN o_orderkey % 7 = 2 THEN '{{"execution_profile":"one_shot","other":[1,2]}}'
+  ELSE '{{"execution_profile":"one_shot","call_summary":{{"status":"ok","api_call_count":' || CAST(o_orderkey % 3 AS STRING) || ',"provider":"p","model":"m' || o_orderstatus
+  || '","input_tokens":' || CAST(o_custkey AS STRING) || ',"estimated_cost":0.5}}}}' END AS output_json
+ FROM orders CROSS JOIN {TWO} WHERE (k = 0 AND o_orderpriority <> '1-URGENT') OR (k = 1 AND o_orderpriority = '5-LOW')"""
+
+
+def ranges_raw(d: str) -> str:
+    return f"""SELECT job_id, CASE WHEN job_id % 4 IN (0, 1) THEN (job_id * 37) % 900 - 3 END AS from_num,
+ CASE WHEN job_id % 4 IN (1, 2) THEN (job_id * 91) % 9000 - 3 END AS to_num FROM ({jobs(d)}) _j"""
+
+
+def history(d: str) -> str:
+    """Status history of jobs from the event table."""
+    return """SELECT user_id AS job_id, event_id AS sequence, CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'running'
+ WHEN 'click' THEN 'paused' WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS status, event_type, props FROM events"""
+
+
+def requests(d: str) -> str:
+    """Requested status changes of jobs."""
+    return """SELECT user_id AS job_id, event_id AS sequence, CASE event_type WHEN 'signup' THEN 'running' WHEN 'view' THEN 'running' WHEN 'click' THEN 'paused'
+ WHEN 'purchase' THEN CASE WHEN event_id % 9 = 0 THEN 'completed' ELSE 'paused' END ELSE CASE WHEN event_id % 11 = 0 THEN 'cancelled' ELSE 'running' END END AS target,
+ event_id AS at, 'r' || CAST(event_id % 5 AS STRING) AS reason, CASE WHEN event_id % 2 = 0 THEN 'c' || CAST(event_id % 3 AS STRING) END AS code FROM events"""
+
+
 def run(spark: SparkSession, sf_dir: str, rule) -> DataFrame:
     """Evaluate an input rule on Spark."""
     text = rule("spark")
