@@ -118,7 +118,7 @@ def k10_refused(spark, sf):
     return R.replay_jobs(*S(spark, sf, "jobs", "requests"))[2]
 
 
-_STARTS = '''SELECT o_custkey * 2 AS job_id, o_orderkey AS chapter_id, o_orderkey AS chapter_num, 1 AS "at" FROM orders WHERE o_orderstatus <> 'F''''
+_STARTS = '''SELECT o_custkey * 2 AS job_id, o_orderkey AS chapter_id, o_orderkey AS chapter_num, 1 AS "at" FROM orders WHERE o_orderstatus <> 'F' '''
 
 
 @query("k11_start_runs", f"""SELECT job_id, chapter_id, coalesce(r.chapter_num, s.chapter_num) AS chapter_num, CASE WHEN s."at" IS NOT NULL THEN 'running' ELSE status END AS status, coalesce(attempt, 0) + (s."at" IS NOT NULL)::INT AS attempt,
