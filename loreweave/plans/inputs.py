@@ -93,6 +93,26 @@ def identities(d: str) -> str:
     )
 
 
+def candidates(d: str) -> str:
+    """Known characters of each novel, split over the three sources of the resolver."""
+    return f"""SELECT novel_id, name AS cand_id, replace(lower(name), ' ', '_') AS target_key, name AS display_name, MIN(alias) AS alias, MIN(chapter_num) AS chapter_num, name AS ord,
+ CASE length(name) % 3 WHEN 0 THEN 'alias_map' WHEN 1 THEN 'stored' ELSE 'working' END AS source FROM ({identities(d)}) _i GROUP BY novel_id, name"""
+
+
+def observed(d: str) -> str:
+    """Every known name as somebody might observe it: unchanged, shortened, with words added."""
+    return f"""SELECT novel_id, cand_id AS observed_id, chapter_num AS text_id, alias, CASE length(cand_id) % 4 WHEN 0 THEN cand_id WHEN 1 THEN replace(cand_id, 'th', 't')
+ WHEN 2 THEN cand_id || ' esten' ELSE 'Ofer ' || cand_id END AS name FROM ({candidates(d)}) _c"""
+
+
+def alias_rows(d: str) -> str:
+    """Alias claims of the characters of a chapter: each word that follows the first word of a name."""
+    return f"""SELECT chapter_id, split_part(name, ' ', 1) AS name, pos AS ord, CASE pos % 4 WHEN 0 THEN name || ' ' || split_part(name, ' ', 2) WHEN 1 THEN upper(split_part(name, ' ', 2))
+ WHEN 2 THEN split_part(name, ' ', 2) ELSE ' “' || substring(name, 3, 12) || '” ' END AS text,
+ CASE pos % 5 WHEN 0 THEN 'pronoun' WHEN 1 THEN 'Nickname' WHEN 2 THEN 'alias' WHEN 3 THEN 'title' ELSE '' END AS alias_type, CASE pos % 3 WHEN 0 THEN ' ' ELSE ' L' || CAST(pos % 2 AS STRING) END AS alias_label,
+ pos % 2 = 0 AS is_primary, CASE WHEN pos % 3 = 0 THEN 'he said "' || split_part(name, ' ', 2) || '" to' END AS quote FROM ({pairs(d)}) _p"""
+
+
 TWO = "(SELECT 0 AS k UNION ALL SELECT 1 AS k) _k"
 
 
