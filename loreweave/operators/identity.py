@@ -17,6 +17,7 @@ from loreweave.functions import keys as K
 from loreweave.functions import vocab as V
 from loreweave.functions.textfns import let
 from loreweave.operators.mentions import find_occurrences, identity_surfaces, quoted_span_array
+from loreweave.session import cut_lineage
 
 # --- Fixed values -------------------------------------------------------------------------
 AUTO_MERGE = 0.98
@@ -566,15 +567,18 @@ def resolve_identities(
     Returns scope, observed_id, step, applied, cand_id. Each step only sees what earlier steps left."""
     keys = [*scope, "observed_id"]
     known = candidates.filter(F.col("source") != "alias_map").select(*scope, "display_name")
-    scores = score_candidates(observed, candidates, scope)
+    # read by every step below: computed once, on reliable storage
+    scores = cut_lineage(score_candidates(observed, candidates, scope))
     phrases = known_name_phrase(observed, known, scope)
     exact = exact_match(observed, candidates, scores, scope)
     high = high_confidence_match(scores, scope).join(exact, keys, "left_anti")
-    auto = exact.unionByName(high)
+    auto = cut_lineage(exact.unionByName(high))
     review = merge_review_candidate(scores, scope).join(auto, keys, "left_anti")
     merged = apply_merge_decisions(review, merge_decisions, phrases, scope).drop("score")
     rest = observed.join(auto.select(*keys), keys, "left_anti").join(review.select(*keys), keys, "left_anti")
-    shortlist = creation_review_candidates(rest, candidates, scores.join(rest.select(*keys), keys, "left_semi"), texts, scope)
+    shortlist = cut_lineage(
+        creation_review_candidates(rest, candidates, scores.join(rest.select(*keys), keys, "left_semi"), texts, scope)
+    )
     created = apply_creation_decisions(shortlist, candidates, creation_decisions, phrases, scope)
     alone = rest.select(*keys).join(created.select(*keys), keys, "left_anti").join(
         phrases.withColumn("_phrase", F.lit(True)), keys, "left"
@@ -585,3 +589,180 @@ def resolve_identities(
     )
     auto = auto.select(*keys, "step", F.lit("match").alias("applied"), "cand_id")
     return auto.unionByName(merged.select(*auto.columns)).unionByName(created.select(*auto.columns)).unionByName(alone.select(*auto.columns))
+
+
+def resolve_over_chapters(
+    observed: DataFrame, start: DataFrame, texts: DataFrame, merge_decisions: DataFrame, creation_decisions: DataFrame,
+    scope: Sequence[str] = ("novel_id",),
+) -> tuple[DataFrame, DataFrame]:
+    """E20 over whole novels: (outcomes, characters known at the end).
+
+    ``observed`` also has ``position`` (0, 1, ... per novel). Chapters of one novel depend on each
+    other, so the driver walks over positions, every pass resolves that position of all novels at once
+    and sees only what was known before. State is checkpointed per pass."""
+    keys = [*scope, "observed_id"]
+    last = observed.agg(F.max("position")).first()[0]
+    state, outcomes = start, None
+    for position in range(-1 if last is None else int(last) + 1):
+        now = observed.filter(F.col("position") == position).drop("position")
+        out = cut_lineage(resolve_identities(now, state, texts, merge_decisions, creation_decisions, scope).withColumn(
+            "position", F.lit(position)))
+        new = out.filter("applied = 'create_new'").join(now, keys).select(
+            *scope, F.lit("stored").alias("source"), F.col("observed_id").alias("cand_id"),
+            K.ascii_key(F.col("name")).alias("target_key"), F.col("name").alias("display_name"), "aliases",
+            F.col("text_id").alias("chapter_num"), F.col("observed_id").alias("ord"),
+        )
+        state = cut_lineage(state.select(*new.columns).unionByName(new))
+        outcomes = out if outcomes is None else outcomes.unionByName(out)
+    return outcomes, state
+
+
+def merge_identity_list(aliases: DataFrame, scope: Sequence[str] = ("chunk_id",)) -> DataFrame:
+    """Identities of one name become one; the first spelling wins, aliases are united by E4.
+    ``aliases`` as in ``push_alias`` with scope columns."""
+    a = aliases.withColumn("_name_key", K.text_key(F.col("name")))
+    first = a.groupBy(*scope, "_name_key").agg(F.min_by("name", "ord").alias("name"))
+    return push_alias(a.drop("name").join(first, [*scope, "_name_key"]), [*scope, "_name_key"]).drop("_name_key")
+
+
+# --- E17-E19: alias ownership inside a chunk ---------------------------------------------------
+# identity: struct(name, key, fold, aliases: array<struct(text, key, fold, primary)>)
+
+
+def _owner_score(alias_fold: Column, identity: Column) -> Column:
+    """E6 score of a bare alias against one identity."""
+    own = F.when(strong_key(identity["fold"]), surface_similarity(alias_fold, identity["fold"])).otherwise(F.lit(0.0))
+    other = F.transform(
+        F.filter(identity["aliases"], lambda a: strong_key(a["fold"]) & (a["fold"] != identity["fold"])),
+        lambda a: F.least(surface_similarity(alias_fold, a["fold"]), F.lit(STORED_ALIAS_SCORE)),
+    )
+    return F.when(strong_key(alias_fold), F.array_max(F.concat(F.array(own), other))).otherwise(F.lit(0.0))
+
+
+def owner_position(ids: Column, key: Column) -> Column:
+    """1-based position of the first identity with this name or alias, 0 if there is none."""
+    return F.array_position(
+        F.transform(ids, lambda i: (i["key"] == key) | F.exists(i["aliases"], lambda a: a["key"] == key)), True
+    ).cast("int")
+
+
+def redirect_owner(ids: Column, owner: Column, alias_key: Column, alias_fold: Column) -> Column:
+    """Position of the owner, or of another identity that fits the alias clearly better."""
+    taken = F.exists(F.transform(ids, lambda i, n: (n + 1 != owner) & (i["key"] == alias_key)), lambda b: b)
+
+    def choose(scores: Column) -> Column:
+        others = F.transform(
+            scores, lambda s, n: F.when((n + 1 == owner) | (s < REDIRECT_MIN), F.lit(-1.0)).otherwise(s)
+        )
+        return let(
+            F.struct(others.alias("o"), F.array_max(others).alias("best")),
+            lambda x: F.when(
+                (x["best"] >= 0) & (x["best"] > F.element_at(scores, owner) + REVIEW_GAP),
+                F.array_position(x["o"], x["best"]).cast("int"),
+            ).otherwise(owner),
+        )
+
+    return F.when(taken, owner).otherwise(
+        let(F.transform(ids, lambda i: _owner_score(alias_fold, i)), choose)
+    )
+
+
+def _long_tokens(fold: Column) -> Column:
+    return F.filter(F.split(fold, "_"), lambda t: F.length(t) >= 2)
+
+
+def alias_grounded(identity: Column, alias_fold: Column, quote_folds: Column) -> Column:
+    """The alias is in a quote, and a surface of the owner is too or shares a word with it."""
+    folds = F.concat(F.array(identity["fold"]), F.transform(identity["aliases"], lambda a: a["fold"]))
+    named = F.exists(quote_folds, lambda q: F.exists(folds, lambda f: (f != "") & F.contains(q, f)))
+    shared = F.exists(folds, lambda f: F.arrays_overlap(_long_tokens(f), _long_tokens(alias_fold)))
+    return F.exists(quote_folds, lambda q: F.contains(q, alias_fold)) & (alias_fold != "") & (named | shared)
+
+
+def chunk_identities(identities: DataFrame, chunk: Sequence[str]) -> DataFrame:
+    """Identities of a chunk as one array; a chunk is a bounded piece of text."""
+    alias = lambda a: let(
+        K.clean_surface(a),
+        lambda c: F.struct(c.alias("text"), K.text_key(c).alias("key"), K.folded_key(c).alias("fold"), F.lit(False).alias("primary")),
+    )
+    row = F.struct(
+        "ord", "name", K.text_key(F.col("name")).alias("key"), K.folded_key(F.col("name")).alias("fold"),
+        F.transform(F.coalesce("aliases", F.array().cast("array<string>")), alias).alias("aliases"),
+    )
+    return identities.groupBy(*chunk).agg(F.array_sort(F.collect_list(row)).alias("ids"))
+
+
+def prepared_ownerships(rows: DataFrame) -> DataFrame:
+    """Ownership rows with everything that does not depend on the state of the chunk.
+    ``rows``: chunk columns, ord, owner_name, alias_text, alias_type, confidence, quotes."""
+    quotes = F.filter(F.coalesce("quotes", F.array().cast("array<string>")), lambda q: q.isNotNull())
+    r = rows.withColumn("text", K.clean_surface(F.col("alias_text"))).withColumn("akey", K.text_key(F.col("text")))
+    quoted = F.exists(quotes, lambda q: F.exists(
+        quoted_span_array(q), lambda s: K.text_key(K.clean_surface(s["text"])) == F.col("akey")))
+    return r.select(
+        *rows.columns, "text", "akey", K.folded_key(F.col("text")).alias("afold"),
+        K.text_key(K.clean_surface(F.col("owner_name"))).alias("okey"), V.alias_type_persistable(F.col("alias_type")).alias("typed"),
+        (K.stable_alias_in_text(F.col("text"), F.col("text")) & (K.has_upper_token(F.col("text")) | quoted)).alias("fit"),
+        F.transform(quotes, K.folded_key).alias("qfolds"),
+    )
+
+
+def apply_alias_ownership(identities: DataFrame, ownerships: DataFrame, chunk: Sequence[str] = ("chunk_id",)) -> tuple[DataFrame, DataFrame]:
+    """(identities with their aliases, report). Later rows see what earlier ones did, so each chunk
+    is folded in input order."""
+    prepared = prepared_ownerships(ownerships).filter(
+        (F.coalesce("confidence", F.lit(0.0)) >= OWNERSHIP_CONFIDENCE) & (F.col("okey") != "") & (F.col("akey") != "")
+        & (F.col("okey") != F.col("akey"))
+    )
+    owns = prepared.groupBy(*chunk).agg(F.array_sort(F.collect_list(F.struct(
+        "ord", "text", "akey", "afold", "okey", "typed", "fit", (F.col("confidence") >= 0.95).alias("primary"), "qfolds"
+    ))).alias("owns"))
+    packed = chunk_identities(identities, chunk).join(owns, list(chunk), "left")
+    report_type = "array<struct<ord:bigint,applied:boolean,owner:string,alias:string>>"
+    start = F.struct(F.col("ids").alias("ids"), F.array().cast("array<string>").alias("gone"), F.array().cast(report_type).alias("log"))
+
+    def log(o: Column, done: bool, target: Column) -> Column:
+        return F.array(F.struct(
+            o["ord"].cast("long").alias("ord"), F.lit(done).alias("applied"), target["name"].alias("owner"), o["text"].alias("alias")))
+
+    def add(target: Column, o: Column) -> Column:
+        mine = F.exists(target["aliases"], lambda a: a["key"] == o["akey"])
+        new = F.array(F.struct(o["text"].alias("text"), o["akey"].alias("key"), o["afold"].alias("fold"), o["primary"].alias("primary")))
+        raised = F.transform(target["aliases"], lambda a: F.struct(
+            a["text"].alias("text"), a["key"].alias("key"), a["fold"].alias("fold"),
+            (a["primary"] | ((a["key"] == o["akey"]) & o["primary"])).alias("primary")))
+        valid = o["fit"] & (o["akey"] != target["key"]) & ~((target["fold"] != "") & F.contains(o["afold"], target["fold"]))
+        aliases = F.when(~valid, target["aliases"]).when(mine, raised).otherwise(F.concat(target["aliases"], new))
+        return F.struct(*[target[c].alias(c) for c in ("ord", "name", "key", "fold")], aliases.alias("aliases"))
+
+    def apply(acc: Column, o: Column, at: Column) -> Column:
+        def with_target(t: Column) -> Column:
+            others = F.exists(F.transform(acc["ids"], lambda i, n: (n + 1 != at) & (i["key"] == o["akey"])), lambda b: b)
+            done = F.struct(
+                F.transform(acc["ids"], lambda i, n: F.when(n + 1 == at, add(i, o)).otherwise(i)).alias("ids"),
+                F.when(others, F.array_union(acc["gone"], F.array(o["akey"]))).otherwise(acc["gone"]).alias("gone"),
+                F.concat(acc["log"], log(o, True, t)).alias("log"),
+            )
+            refused = F.struct(acc["ids"].alias("ids"), acc["gone"].alias("gone"), F.concat(acc["log"], log(o, False, t)).alias("log"))
+            return (
+                F.when(F.array_contains(acc["gone"], t["key"]) | ~o["typed"], acc)
+                .when(alias_grounded(t, o["afold"], o["qfolds"]), done).otherwise(refused)
+            )
+
+        return let(F.element_at(acc["ids"], at), with_target)
+
+    def step(acc: Column, o: Column) -> Column:
+        return let(
+            owner_position(acc["ids"], o["okey"]),
+            lambda p: F.when((p == 0) | F.array_contains(acc["gone"], o["okey"]), acc).otherwise(
+                let(redirect_owner(acc["ids"], p, o["akey"], o["afold"]), lambda at: apply(acc, o, at))
+            ),
+        )
+
+    done = packed.select(*chunk, F.when(F.col("owns").isNull(), start).otherwise(F.aggregate("owns", start, step)).alias("_s"))
+    left = F.filter(F.col("_s.ids"), lambda i: ~F.array_contains(F.col("_s.gone"), i["key"]))
+    after = done.select(*chunk, F.explode(left).alias("_i")).select(
+        *chunk, "_i.ord", "_i.name", F.transform("_i.aliases", lambda a: a["text"]).alias("aliases"),
+        F.transform(F.filter("_i.aliases", lambda a: a["primary"]), lambda a: a["text"]).alias("primary_aliases"),
+    )
+    return after, done.select(*chunk, F.inline("_s.log"))

@@ -113,6 +113,15 @@ def alias_rows(d: str) -> str:
  pos % 2 = 0 AS is_primary, CASE WHEN pos % 3 = 0 THEN 'he said "' || split_part(name, ' ', 2) || '" to' END AS quote FROM ({pairs(d)}) _p"""
 
 
+def ownerships(d: str) -> str:
+    """Claims that an identity of the chapter owns an alias: words and names that follow its name."""
+    return f"""SELECT chapter_id, pos AS ord, CASE WHEN pos % 2 = 0 THEN name ELSE split_part(name, ' ', 1) END AS owner_name,
+ CASE pos % 3 WHEN 0 THEN next_name WHEN 1 THEN upper(split_part(name, ' ', 2)) ELSE split_part(name, ' ', 1) || ' ' || split_part(next_name, ' ', 1) END AS alias_text,
+ CASE WHEN pos % 7 = 6 THEN 'title' ELSE 'alias' END AS alias_type, CASE WHEN pos % 5 = 4 THEN 0.7 WHEN pos % 5 = 3 THEN 0.96 ELSE 0.8 END AS confidence,
+ CASE WHEN pos % 4 = 3 THEN next_name ELSE 'so ' || name || ' or ' || next_name || ' of ' || split_part(name, ' ', 2) END AS quote
+ FROM (SELECT *, lead(name) OVER (PARTITION BY chapter_id ORDER BY pos) AS next_name FROM ({pairs(d)}) _p) _q WHERE next_name IS NOT NULL"""
+
+
 TWO = "(SELECT 0 AS k UNION ALL SELECT 1 AS k) _k"
 
 

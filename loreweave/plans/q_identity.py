@@ -289,3 +289,70 @@ def e15(spark, sf):
     o, c = observed(spark, sf), candidates(spark, sf)
     known = c.filter("source <> 'alias_map'")
     return E.absorb_observed(E.exact_match(o, c, E.score_candidates(o, c)), o, c, known).drop("ord")
+
+
+def ownerships(spark, sf):
+    return I.run(spark, sf, I.ownerships).withColumn("quotes", F.array("quote")).drop("quote")
+
+
+def chapter_identities(spark, sf):
+    return I.run(spark, sf, I.identities).select("chapter_id", "ord", "name", F.array("alias").alias("aliases"))
+
+
+_E16 = f"""SELECT chapter_id, name, text FROM (SELECT chapter_id, min_by(o, ord) AS name, k, min_by(c, ord) AS text FROM (
+ SELECT r.*, {Q.unquote(Q.trim(Q.clean('text')))} AS c, {Q.key(Q.unquote(Q.trim(Q.clean('text'))))} AS k, {_AT} AS t, CASE WHEN ord % 2 = 0 THEN name ELSE upper(name) END AS o FROM {ROWS} r)
+ WHERE c <> '' AND k <> {Q.key('name')} AND length(c) BETWEEN 2 AND 64 AND t IN ('nickname', 'other_alias') AND NOT contains({Q.fkey('c')}, {Q.fkey('name')})
+ AND ({Q.ups('c')} > 0 OR (quote IS NOT NULL AND {Q.key("regexp_extract(quote, '\"([^\"]*)\"', 1)")} = k)) GROUP BY chapter_id, {Q.key('name')}, k)"""
+
+
+@query("e16_merge_identity_list", f"""SELECT a.chapter_id, f.name, a.text FROM (SELECT chapter_id, {Q.key('name')} AS nk, text FROM ({_E16})) a
+ JOIN (SELECT chapter_id, {Q.key('name')} AS nk, min_by(CASE WHEN ord % 2 = 0 THEN name ELSE upper(name) END, ord) AS name FROM {ROWS} GROUP BY 1, 2) f USING (chapter_id, nk)""")
+def e16(spark, sf):
+    rows = alias_rows(spark, sf).withColumn("name", F.when(F.col("ord") % 2 == 0, F.col("name")).otherwise(F.upper("name")))
+    return E.merge_identity_list(rows, ["chapter_id"]).select("chapter_id", "name", "text")
+
+
+@query("e17_apply_alias_ownership")
+def e17(spark, sf):
+    after, _ = E.apply_alias_ownership(chapter_identities(spark, sf), ownerships(spark, sf), ["chapter_id"])
+    return after.withColumn("aliases", F.array_join("aliases", "|")).withColumn("primary_aliases", F.array_join("primary_aliases", "|"))
+
+
+@query("e17_ownership_report")
+def e17_report(spark, sf):
+    return E.apply_alias_ownership(chapter_identities(spark, sf), ownerships(spark, sf), ["chapter_id"])[1]
+
+
+def _owned(spark, sf):
+    rows = E.prepared_ownerships(ownerships(spark, sf))
+    return rows.join(E.chunk_identities(chapter_identities(spark, sf), ["chapter_id"]), "chapter_id").withColumn(
+        "owner", E.owner_position(F.col("ids"), F.col("okey"))).filter("owner > 0")
+
+
+_IDC, _OWN = I.duck(I.identities), I.duck(I.ownerships)
+_OWNER = f"""own AS (SELECT o.*, {Q.key('alias_text')} AS akey, {Q.fkey('alias_text')} AS afold, {Q.key('owner_name')} AS okey FROM {_OWN} o),
+ids AS (SELECT *, {Q.key('name')} AS nk, {Q.fkey('name')} AS nf, {Q.key('alias')} AS ak2, {Q.fkey('alias')} AS af2 FROM {_IDC}),
+res AS MATERIALIZED (SELECT own.chapter_id, own.ord, any_value(akey) AS akey, any_value(afold) AS afold, any_value(quote) AS quote, min(ids.ord) AS oo FROM own JOIN ids ON own.chapter_id = ids.chapter_id AND (nk = okey OR ak2 = okey) GROUP BY 1, 2)"""
+
+
+def _strong(k):
+    return f"(length(replace({k}, '_', '')) >= 4 AND (contains({k}, '_') OR length(replace({k}, '_', '')) >= 6))"
+
+
+_SC = f"CASE WHEN NOT {_strong('afold')} THEN 0.0 ELSE greatest(CASE WHEN {_strong('nf')} THEN {_sim('afold', 'nf')} ELSE 0.0 END, CASE WHEN {_strong('af2')} AND af2 <> nf THEN least({_sim('afold', 'af2')}, 0.82) ELSE 0.0 END) END"
+
+
+@query("e18_redirect_alias_owner", f"""WITH {_OWNER}, s AS (SELECT res.chapter_id, res.ord, res.oo, res.akey, ids.ord AS io, ids.name, nk, {_SC} AS sc FROM res JOIN ids ON res.chapter_id = ids.chapter_id),
+b AS (SELECT chapter_id, ord, bool_or(io <> oo AND nk = akey) AS taken, max(sc) FILTER (io = oo) AS own_sc, max(sc) FILTER (io <> oo AND sc >= 0.55) AS best, min_by(name, io) FILTER (io = oo) AS own_name FROM s GROUP BY 1, 2)
+SELECT b.chapter_id, b.ord, CASE WHEN taken OR best IS NULL OR NOT (best > own_sc + 0.05) THEN own_name ELSE (SELECT min_by(s.name, s.io) FROM s WHERE s.chapter_id = b.chapter_id AND s.ord = b.ord AND s.io <> s.oo AND s.sc = b.best) END AS owner FROM b""")
+def e18(spark, sf):
+    o = _owned(spark, sf)
+    at = E.redirect_owner(F.col("ids"), F.col("owner"), F.col("akey"), F.col("afold"))
+    return o.select("chapter_id", "ord", F.element_at("ids", at)["name"].alias("owner"))
+
+
+@query("e19_alias_grounded", f"""WITH {_OWNER} SELECT res.chapter_id, res.ord, contains({Q.fkey('quote')}, afold) AND (contains({Q.fkey('quote')}, nf) OR contains({Q.fkey('quote')}, af2)
+ OR len(list_intersect(list_filter(string_split(afold, '_'), lambda t: length(t) >= 2), string_split(nf, '_'))) > 0) AS grounded FROM res JOIN ids ON res.chapter_id = ids.chapter_id AND ids.ord = res.oo""")
+def e19(spark, sf):
+    o = _owned(spark, sf)
+    return o.select("chapter_id", "ord", E.alias_grounded(F.element_at("ids", F.col("owner")), F.col("afold"), F.col("qfolds")).alias("grounded"))
