@@ -122,6 +122,38 @@ def ownerships(d: str) -> str:
  FROM (SELECT *, lead(name) OVER (PARTITION BY chapter_id ORDER BY pos) AS next_name FROM ({pairs(d)}) _p) _q WHERE next_name IS NOT NULL"""
 
 
+def rec_values(d: str) -> str:
+    """Values of character records. A record of a chapter collects the words of one initial letter, so
+    that values meet again in several fields."""
+    return f"""SELECT p.chapter_id, p.novel_id, p.chapter_num, CAST(p.chapter_id AS STRING) || ':' || substring(name, 1, 1) AS record_id, pos AS batch, 0 AS pos,
+ CASE pos % 5 WHEN 0 THEN 'other_alias' WHEN 1 THEN 'Appearance' WHEN 2 THEN 'nickname' WHEN 3 THEN 'habit' ELSE 'relationship' END AS field_key,
+ CASE WHEN pos % 6 = 0 THEN '' ELSE 'Label ' || CAST(pos % 5 AS STRING) END AS field_label,
+ CASE WHEN pos % 3 = 0 THEN split_part(name, ' ', 1) ELSE substring(split_part(name, ' ', 2), 1, 2) END AS value_text, CASE WHEN pos % 4 = 3 THEN NULL ELSE (pos % 11) / 10.0 END AS confidence,
+ CASE WHEN pos % 5 = 4 THEN split_part(name, ' ', 1) END AS related_character, CASE WHEN pos % 5 = 4 AND pos % 2 = 0 THEN 'friend' END AS relationship_type,
+ CASE WHEN pos % 5 = 4 THEN 'label ' || CAST(pos % 3 AS STRING) END AS relationship_label, CASE WHEN pos % 5 = 4 THEN CASE pos % 3 WHEN 0 THEN 'self_to_related' ELSE 'other' END END AS relationship_direction,
+ p.chapter_num + CASE WHEN pos % 13 = 12 THEN 1 ELSE 0 END AS e_chapter, CASE WHEN pos % 7 = 0 THEN NULL ELSE instr(content, name) - 1 END AS e_start, instr(content, name) - 1 + length(name) AS e_end,
+ name AS e_quote, 'r' AS e_reason FROM ({pairs(d)}) p JOIN ({chapters(d)}) c ON p.chapter_id = c.chapter_id"""
+
+
+def recs(d: str) -> str:
+    """Character records: one per chapter and initial letter, named by their first word."""
+    return f"""SELECT chapter_id, novel_id, chapter_num, record_id, MIN(batch) AS ord, MIN(e_quote) AS first_name FROM ({rec_values(d)}) _v GROUP BY chapter_id, novel_id, chapter_num, record_id"""
+
+
+def char_recs(d: str) -> str:
+    """Character records named by single words, so that a name returns in many chapters of a novel."""
+    return f"""SELECT chapter_id, novel_id, chapter_num, CAST(chapter_id AS STRING) || ':' || split_part(name, ' ', 1) AS record_id, CASE WHEN chapter_id % 4 = 0 THEN ' ' ELSE lower(split_part(name, ' ', 1)) END AS entity_key,
+ split_part(name, ' ', 1) AS display_name, MIN(pos) AS ord FROM ({pairs(d)}) _p GROUP BY chapter_id, novel_id, chapter_num, split_part(name, ' ', 1)"""
+
+
+def char_values(d: str) -> str:
+    """Alias and attribute values of the records of ``char_recs``: the word after the name."""
+    return f"""SELECT chapter_id, novel_id, chapter_num, CAST(chapter_id AS STRING) || ':' || split_part(name, ' ', 1) AS record_id, split_part(name, ' ', 1) AS display_name, pos,
+ CASE pos % 4 WHEN 0 THEN 'other_alias' WHEN 1 THEN 'Nickname' WHEN 2 THEN 'appearance' ELSE 'alias' END AS field_key, 'L' || CAST(pos % 3 AS STRING) AS field_label,
+ CASE WHEN pos % 2 = 0 THEN split_part(name, ' ', 2) ELSE upper(substring(split_part(name, ' ', 2), 1, 1)) || substring(split_part(name, ' ', 2), 2, 3) END AS value_text,
+ CASE WHEN pos % 4 = 3 THEN NULL ELSE (pos % 11) / 10.0 END AS confidence, CASE WHEN pos % 3 <> 0 THEN name END AS quote FROM ({pairs(d)}) _p"""
+
+
 TWO = "(SELECT 0 AS k UNION ALL SELECT 1 AS k) _k"
 
 
