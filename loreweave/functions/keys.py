@@ -85,13 +85,9 @@ def ascii_key(c: Column, key_mode: str = "parity") -> Column:
     if key_mode == "unicode":
         k = folded_key(t)
         return F.when(k == "", F.lit("field")).otherwise(k)
+    # a key that is already in shape comes out unchanged
     k = F.btrim(F.regexp_replace(fold_letters(t), "[^a-z0-9]+", "_"), F.lit("_"))
-    built = (
-        F.when(k == "", F.lit("field"))
-        .when(k.rlike("^[a-z]"), k)
-        .otherwise(F.concat(F.lit("field_"), k))
-    )
-    return F.when(t.rlike(r"\A[a-z][a-z0-9]*(_[a-z0-9]+)*\z"), t).otherwise(built)
+    return F.regexp_replace(F.regexp_replace(k, r"\A(?![a-z])", "field_"), r"_\z", "")
 
 
 def schema_key(c: Column) -> Column:
@@ -109,8 +105,8 @@ def clean_surface(c: Column) -> Column:
     s = squeeze_ws(strip_quotes(trim_ws(c)))
     for ending in DEMONSTRATIVE_ENDINGS:
         s = trim_ws(F.regexp_replace(s, ending + r"\z", ""))
-    bare = trim_ws(F.regexp_replace(s, r"\A(" + HONORIFIC_PREFIX + ")+", ""))
-    s = F.when(s.startswith(HONORIFIC_PREFIX) & (F.size(tokens(s)) > 2), bare).otherwise(s)
+    # the prefix goes only from names of more than two words
+    s = F.regexp_replace(s, rf"\A(?={HONORIFIC_PREFIX}[^ ]+ [^ ])(?:{HONORIFIC_PREFIX})+", "")
     return strip_quotes(trim_ws(s))
 
 

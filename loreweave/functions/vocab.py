@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loreweave.functions.keys import ascii_key, folded_key, trim_ws
+from loreweave.functions.keys import ascii_key, blank_to_null, folded_key
 
 # --- Fixed values -------------------------------------------------------------------------
 UNSTABLE = (
@@ -39,10 +39,9 @@ APPEARANCE_CLASSES = ("physical_appearance", "clothing", "age_or_build", "appear
 
 
 def lookup(key: Column, table: dict[str, tuple[str, ...]], default: Column) -> Column:
-    out = None
-    for target, spellings in table.items():
-        out = (F if out is None else out).when(key.isin(*spellings), F.lit(target))
-    return out.otherwise(default)
+    """Target of each spelling; one look into a constant map, so ``key`` is evaluated once."""
+    pairs = [F.lit(x) for target, spellings in table.items() for spelling in spellings for x in (spelling, target)]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), key), default)
 
 
 def alias_type(c: Column) -> Column:
@@ -55,11 +54,8 @@ def alias_type_persistable(c: Column) -> Column:
 
 
 def alias_label(atype: Column, label: Column) -> Column:
-    t = F.coalesce(trim_ws(label), F.lit(""))
-    default = lookup(
-        alias_type(atype), {v: (k,) for k, v in ALIAS_LABELS.items()}, F.lit(DEFAULT_ALIAS_LABEL)
-    )
-    return F.when(t != "", t).otherwise(default)
+    by_spelling = {ALIAS_LABELS[t]: names for t, names in ALIAS_TYPES.items() if t in ALIAS_LABELS}
+    return F.coalesce(blank_to_null(label), lookup(ascii_key(atype), by_spelling, F.lit(DEFAULT_ALIAS_LABEL)))
 
 
 def stored_alias_type(c: Column) -> Column:

@@ -23,7 +23,7 @@ RELATION_FIELDS = (
 )
 ALIAS_FIELDS = ("alias", "aliases", "other_alias", "other_name", "other_names", "nickname")
 DIRECTIONS = ("self_to_related", "related_to_self")
-CHARACTER_SCHEMA = "character_extraction.v1"
+CHARACTER_SCHEMA = "story_character_extraction.v1"
 GROUP_LABELS = {"character": "Nhân Vật", "relationship": "Quan Hệ"}
 ALIAS_FIELD_LABEL = "Tên gọi khác"
 # ------------------------------------------------------------------------------------------

@@ -154,6 +154,27 @@ def char_values(d: str) -> str:
  CASE WHEN pos % 4 = 3 THEN NULL ELSE (pos % 11) / 10.0 END AS confidence, CASE WHEN pos % 3 <> 0 THEN name END AS quote FROM ({pairs(d)}) _p"""
 
 
+def _next(d: str) -> str:
+    return f"SELECT *, coalesce(lead(name) OVER (PARTITION BY chapter_id ORDER BY pos), name) AS next_name FROM ({pairs(d)}) _p"
+
+
+def one_characters(d: str) -> str:
+    """Characters of a model answer per chapter, one per word pair of the text, with one attribute."""
+    return f"""SELECT chapter_id, chapter_num, novel_id, pos AS ord, CASE pos % 6 WHEN 0 THEN '“' || name || '” này' WHEN 5 THEN name || ' zz' ELSE name END AS display_name,
+ CASE pos % 11 WHEN 10 THEN 'Role title' WHEN 9 THEN 'uncertain' ELSE 'person' END AS entity_nature, CASE WHEN pos % 13 = 12 THEN 0.4 WHEN pos % 13 = 11 THEN NULL ELSE 0.45 END AS confidence,
+ split_part(name, ' ', 1) AS alias_a, CASE WHEN pos % 3 = 0 THEN next_name || 's' ELSE split_part(name, ' ', 2) END AS alias_b, name AS quote,
+ CASE pos % 4 WHEN 0 THEN 'appearance' ELSE 'eyes' END AS field_key, CASE pos % 5 WHEN 0 THEN '' WHEN 1 THEN 'Clothing' WHEN 2 THEN 'mood' ELSE 'physical_appearance' END AS semantic_class,
+ CASE WHEN pos % 7 = 6 THEN ' ' ELSE ' ' || split_part(name, ' ', 2) || ' ' END AS value_text, CASE pos % 8 WHEN 7 THEN name || ' missing' ELSE ' ' || split_part(name, ' ', 2) END AS field_quote,
+ pos % 2 = 0 AS has_field FROM ({_next(d)}) _n"""
+
+
+def one_relationships(d: str) -> str:
+    return f"""SELECT chapter_id, chapter_num, pos AS ord, CASE WHEN pos % 2 = 0 THEN name ELSE split_part(name, ' ', 1) END AS source_name, next_name AS target_name,
+ CASE pos % 7 WHEN 6 THEN 'event' WHEN 5 THEN 'Organization hierarchy' ELSE 'kinship' END AS rel_scope, CASE pos % 5 WHEN 4 THEN ' ' WHEN 3 THEN 'Old Uncle' ELSE 'uncle' END AS rel_type,
+ CASE pos % 3 WHEN 0 THEN 'uncle' WHEN 1 THEN ' uncle by blood' ELSE 'elder' END AS forward, CASE WHEN pos % 9 = 8 THEN '' ELSE 'nephew' END AS backward,
+ CASE WHEN pos % 13 = 12 THEN 0.4 ELSE 0.5 + (pos % 5) / 10.0 END AS confidence, CASE pos % 8 WHEN 7 THEN name || ' missing' ELSE name END AS quote FROM ({_next(d)}) _n"""
+
+
 TWO = "(SELECT 0 AS k UNION ALL SELECT 1 AS k) _k"
 
 

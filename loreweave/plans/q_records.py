@@ -168,9 +168,9 @@ def f8(spark, sf):
     return R.hydrate_aliases(ids, amap, ["chapter_id"]).select("chapter_id", "name", "text")
 
 
-_HEAD = "SELECT doc_id, CASE WHEN doc_id % 50 = 7 THEN 'old' ELSE 'character_extraction.v1' END AS schema_version, CASE WHEN doc_id % 31 = 3 THEN doc_id + 1 ELSE doc_id END AS chapter_num, doc_id AS expected_chapter_num, length(text) AS chapter_length FROM documents"
+_HEAD = "SELECT doc_id, CASE WHEN doc_id % 50 = 7 THEN 'old' ELSE 'story_character_extraction.v1' END AS schema_version, CASE WHEN doc_id % 31 = 3 THEN doc_id + 1 ELSE doc_id END AS chapter_num, doc_id AS expected_chapter_num, length(text) AS chapter_length FROM documents"
 _F10 = f"""WITH head AS ({_HEAD}), bad AS (
-SELECT doc_id, unnest(list_filter([CASE WHEN schema_version <> 'character_extraction.v1' THEN 'schema_version' END, CASE WHEN chapter_num <> expected_chapter_num THEN 'chapter_num' END], lambda x: x IS NOT NULL)) AS rule, 'document' AS path FROM head
+SELECT doc_id, unnest(list_filter([CASE WHEN schema_version <> 'story_character_extraction.v1' THEN 'schema_version' END, CASE WHEN chapter_num <> expected_chapter_num THEN 'chapter_num' END], lambda x: x IS NOT NULL)) AS rule, 'document' AS path FROM head
 UNION ALL SELECT chapter_id, unnest(list_filter([CASE WHEN ord % 17 = 3 THEN 'group_key' END, CASE WHEN ord % 19 = 3 THEN 'group_label' END, CASE WHEN ord % 23 = 3 THEN 'display_name' END], lambda x: x IS NOT NULL)), record_id FROM {RC}
 UNION ALL SELECT chapter_id, unnest(list_filter([CASE WHEN pos % 29 = 3 THEN 'mention_text' END, CASE WHEN e_start - 20 < 0 OR e_end + 100 > chapter_length THEN 'mention_span' END], lambda x: x IS NOT NULL)), record_id || '/' || (e_start - 20) FROM (SELECT *, batch AS pos FROM (SELECT * EXCLUDE (pos) FROM {RV})) m JOIN head ON head.doc_id = m.chapter_id WHERE e_start IS NOT NULL
 UNION ALL SELECT chapter_id, unnest(list_filter([CASE WHEN trim(field_label) = '' THEN 'field_label' END,
@@ -228,7 +228,7 @@ def _gtok(x):
 _GRD = f"len({_gtok('value_text')}) > 0 AND CASE WHEN len({_gtok('value_text')}) <= 2 THEN len(list_intersect({_gtok('value_text')}, {_gtok('quote')})) = len({_gtok('value_text')}) ELSE len(list_intersect({_gtok('value_text')}, {_gtok('quote')})) * 5 >= len({_gtok('value_text')}) * 3 END"
 _G1 = f"""g AS (SELECT * EXCLUDE (value_text), trim(value_text) AS value_text FROM ({_GV.format(_P)})),
 oth AS (SELECT DISTINCT CAST(chapter_id AS STRING) || ':' || split_part(name, ' ', 1) AS identity_id, {Q.key('name')} AS k FROM {_P} WHERE pos % 3 = 2),
-g1 AS (SELECT g.*, CASE WHEN field_key = 'habit' THEN 'field_not_kept' WHEN value_text = '' THEN 'value_blank' WHEN {Q.key('value_text')} = {Q.key("split_part(identity_id, ':', 2)")} THEN 'value_is_own_name'
+g1 AS (SELECT g.*, CASE WHEN field_key = 'habit' THEN 'field_not_kept' WHEN value_text = '' THEN 'value_blank' WHEN {Q.key('value_text')} = {Q.key("split_part(g.identity_id, ':', 2)")} THEN 'value_is_own_name'
  WHEN oth.k IS NOT NULL THEN 'value_is_other_name' WHEN trim(quote) = '' THEN 'no_quote' WHEN NOT (contains(quote, '[[') AND contains(quote, ']]')) THEN 'no_marker' WHEN coalesce(confidence, -1) < 0.85 THEN 'low_confidence'
  WHEN NOT ({_GRD}) THEN 'not_grounded' END AS reason FROM g LEFT JOIN oth ON oth.identity_id = g.identity_id AND oth.k = {Q.key('value_text')})"""
 
