@@ -19,7 +19,7 @@ from loreweave.operators.relations import unique_surfaces
 
 # --- Fixed values -------------------------------------------------------------------------
 MIN_CONFIDENCE = 0.45
-RESPONSE_SCHEMA = "story_chapter_cloud_extraction.v1"
+RESPONSE_SCHEMA = "story_chapter_cloud_extraction.v2"
 NOT_PERSISTABLE = ("temporary_reference", "role_title", "uncertain")
 FIELD_REASON, RELATION_REASON = "cloud_field", "cloud_relationship"
 HINT_LIMIT = 24

@@ -43,7 +43,8 @@ def quote_in_text(text: Column, quote: Column) -> Column:
 
 def unique_surfaces(identities: DataFrame, scope: Sequence[str], ident: str) -> DataFrame:
     """Surface key -> the one identity it stands for; keys of several identities are left out."""
-    s = identity_surfaces(identities, (*scope, ident)).select(*scope, ident, K.text_key(F.col("surface")).alias("skey")).distinct()
+    s = identity_surfaces(identities.withColumnRenamed(ident, "_id"), (*scope, "_id")).select(
+        *scope, F.col("_id").alias(ident), K.text_key(F.col("surface")).alias("skey")).distinct()
     return s.groupBy(*scope, "skey").agg(F.count(F.lit(1)).alias("_n"), F.min(ident).alias(ident)).filter("_n = 1").drop("_n")
 
 

@@ -175,6 +175,11 @@ def one_relationships(d: str) -> str:
  CASE WHEN pos % 13 = 12 THEN 0.4 ELSE 0.5 + (pos % 5) / 10.0 END AS confidence, CASE pos % 8 WHEN 7 THEN name || ' missing' ELSE name END AS quote FROM ({_next(d)}) _n"""
 
 
+def quoted_texts(d: str) -> str:
+    """Texts with quotation marks round the words after some commas."""
+    return "SELECT doc_id AS chapter_id, source AS novel_id, replace(replace(text, ', the ', ', \"The Old ' || source || '\" '), ', ', ' ‘a ') AS text FROM documents"
+
+
 TWO = "(SELECT 0 AS k UNION ALL SELECT 1 AS k) _k"
 
 
