@@ -88,14 +88,14 @@ def d12(spark, sf):
 
 
 # alias rows of a novel: the word after the name, in the order of their chapters
-_AL = f"SELECT novel_id, lower(display_name) AS entity_key, value_text AS alias_text, CASE WHEN field_key = 'alias' THEN 'alias' ELSE 'other_alias' END AS alias_type, 'L' AS alias_label, min(chapter_num) AS first_chapter_num, lower(display_name) || '/' || value_text AS ord FROM {CV} WHERE field_key <> 'appearance' GROUP BY ALL"
+_AL = f"SELECT novel_id, lower(display_name) AS entity_key, value_text AS alias_text, CASE WHEN field_key = 'alias' THEN 'alias' ELSE 'other_alias' END AS alias_type, 'L' AS alias_label, min(chapter_num) AS first_chapter_num, lower(display_name) || '/' || value_text || '/' || CASE WHEN field_key = 'alias' THEN 'alias' ELSE 'other_alias' END AS ord FROM {CV} WHERE field_key <> 'appearance' GROUP BY ALL"
 
 
 def aliases(spark, sf):
     v = I.run(spark, sf, I.char_values).filter("field_key <> 'appearance'")
     return v.groupBy(
         "novel_id", F.lower("display_name").alias("entity_key"), F.col("value_text").alias("alias_text"), F.when(F.col("field_key") == "alias", "alias").otherwise("other_alias").alias("alias_type"),
-    ).agg(F.min("chapter_num").alias("first_chapter_num")).withColumn("alias_label", F.lit("L")).withColumn("ord", F.concat_ws("/", "entity_key", "alias_text"))
+    ).agg(F.min("chapter_num").alias("first_chapter_num")).withColumn("alias_label", F.lit("L")).withColumn("ord", F.concat_ws("/", "entity_key", "alias_text", "alias_type"))
 
 
 # stored mentions: first place of every name in its chapter
@@ -128,7 +128,15 @@ def d13(spark, sf):
     return M.highlight_mentions(QR.char_recs(spark, sf), mentions(spark, sf), aliases(spark, sf), I.run(spark, sf, I.chapters))
 
 
-@query("d14_annotate_inline", f"""WITH {QM._OCC}, sel AS (SELECT chapter_id, s, max(e) AS e FROM occ GROUP BY 1, 2), n AS (SELECT *, lag(e, 1, 0::BIGINT) OVER (PARTITION BY chapter_id ORDER BY s) AS pe FROM sel),
+def _keep(src, keys):
+    """Rows (s, e, rk) of ``src`` by start, longest first, without those that overlap an earlier choice."""
+    t = "STRUCT(s BIGINT, e BIGINT, rk VARCHAR)[]"
+    return f"""SELECT {keys}, r.s AS s, r.e AS e, r.rk AS rk FROM (SELECT {keys}, unnest(list_reduce(list_prepend({{'s': 0::BIGINT, 'e': 0::BIGINT, 'rk': '', 'last': 0::BIGINT, 'got': []::{t}}},
+ list_transform(arr, lambda x: {{'s': x.s, 'e': x.e, 'rk': x.rk, 'last': 0::BIGINT, 'got': []::{t}}})), lambda a, x: CASE WHEN x.s < a.last THEN a ELSE {{'s': x.s, 'e': x.e, 'rk': x.rk, 'last': x.e,
+ 'got': list_append(a.got, {{'s': x.s, 'e': x.e, 'rk': x.rk}})}} END).got) AS r FROM (SELECT {keys}, list({{'s': s::BIGINT, 'e': e::BIGINT, 'rk': rk}} ORDER BY s, s - e, rk) AS arr FROM {src} GROUP BY ALL))"""
+
+
+@query("d14_annotate_inline", f"""WITH {QM._OCC}, sel AS ({_keep("(SELECT chapter_id, s, e, 'k' AS rk FROM occ)", 'chapter_id')}), n AS (SELECT *, lag(e, 1, 0::BIGINT) OVER (PARTITION BY chapter_id ORDER BY s) AS pe FROM sel),
 seg AS (SELECT chapter_id, s AS at, substr(content, s + 1, e - s) AS text, 'k' AS record_key FROM n JOIN (SELECT chapter_id, content FROM {CH}) c USING (chapter_id) UNION ALL SELECT chapter_id, pe, substr(content, pe + 1, s - pe), NULL FROM n JOIN (SELECT chapter_id, content FROM {CH}) c USING (chapter_id) WHERE s > pe
  UNION ALL SELECT chapter_id, coalesce(m, 0), substr(content, coalesce(m, 0) + 1), NULL FROM (SELECT chapter_id, content FROM {CH}) c LEFT JOIN (SELECT chapter_id, max(e) AS m FROM sel GROUP BY 1) x USING (chapter_id) WHERE length(content) > coalesce(m, 0))
 SELECT chapter_id, row_number() OVER (PARTITION BY chapter_id ORDER BY "at") - 1 AS seg_index, text, record_key FROM seg""".replace("s AS at,", 's AS "at",'))
@@ -140,9 +148,10 @@ def d14(spark, sf):
 _D14P = f"""WITH bl AS (SELECT doc_id AS chapter_id, ps[i] AS text, CAST(coalesce(list_sum(list_transform(ps[1:i-1], lambda p: length(p))), 0) + (i - 1) * 2 AS BIGINT) AS b FROM (SELECT doc_id, string_split(t2, chr(10) || chr(10)) AS ps, unnest(range(1, len(string_split(t2, chr(10) || chr(10))) + 1)) AS i FROM (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS t2 FROM documents)) WHERE trim(ps[i]) <> ''),
 m AS (SELECT r.chapter_id, record_id, display_name, strpos(replace(text, chr(10), chr(10) || chr(10)), display_name) - 1 AS s FROM {CR} r JOIN documents ON doc_id = r.chapter_id),
 x AS (SELECT m.chapter_id, b, s - b AS s, s - b + length(display_name) AS e, record_id, text FROM m JOIN bl ON bl.chapter_id = m.chapter_id AND s >= b AND s + length(display_name) <= b + length(text)),
-n AS (SELECT *, lag(e, 1, 0::BIGINT) OVER (PARTITION BY chapter_id, b ORDER BY s) AS pe FROM x),
-seg AS (SELECT chapter_id, b, s AS "at", substr(text, s + 1, e - s) AS t, record_id AS record_key FROM n UNION ALL SELECT chapter_id, b, pe, substr(text, pe + 1, s - pe), NULL FROM n WHERE s > pe
- UNION ALL SELECT bl.chapter_id, bl.b, coalesce(mx, 0), substr(text, coalesce(mx, 0) + 1), NULL FROM bl LEFT JOIN (SELECT chapter_id, b, max(e) AS mx FROM x GROUP BY 1, 2) y ON y.chapter_id = bl.chapter_id AND y.b = bl.b WHERE length(text) > coalesce(mx, 0))
+k AS ({_keep("(SELECT chapter_id, b, s, e, record_id AS rk FROM x)", 'chapter_id, b')}),
+n AS (SELECT k.*, text, lag(e, 1, 0::BIGINT) OVER (PARTITION BY chapter_id, b ORDER BY s) AS pe FROM k JOIN bl USING (chapter_id, b)),
+seg AS (SELECT chapter_id, b, s AS "at", substr(text, s + 1, e - s) AS t, rk AS record_key FROM n UNION ALL SELECT chapter_id, b, pe, substr(text, pe + 1, s - pe), NULL FROM n WHERE s > pe
+ UNION ALL SELECT bl.chapter_id, bl.b, coalesce(mx, 0), substr(text, coalesce(mx, 0) + 1), NULL FROM bl LEFT JOIN (SELECT chapter_id, b, max(e) AS mx FROM k GROUP BY 1, 2) y ON y.chapter_id = bl.chapter_id AND y.b = bl.b WHERE length(text) > coalesce(mx, 0))
 SELECT chapter_id, b AS block_start, row_number() OVER (PARTITION BY chapter_id, b ORDER BY "at") - 1 AS seg_index, t AS text, record_key FROM seg"""
 
 
