@@ -3,7 +3,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loreweave.functions import keys as K
@@ -44,10 +45,58 @@ def replace_chapter_records(target: DataFrame, new: DataFrame, chapters: DataFra
     return target.join(chapters.select(*keys).distinct(), list(keys), "left_anti").unionByName(new)
 
 
-def write_chapter_records(new: DataFrame, path: str, keys: Sequence[str] = ("job_id", "chapter_num")) -> None:
-    """A6 on storage: only the partitions of the rewritten chapters are replaced, so a rerun leaves the
-    same table."""
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+class LogTable:
+    """Append-only state: rows of a batch live in their own folder, so a retried batch overwrites itself
+    and nothing else. The current row of a key is the one with the highest batch id."""
+
+    def __init__(self, path: str, keys: Sequence[str]):
+        self.path, self.keys = path, list(keys)
+
+    def append(self, df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
+
+    def rows(self, spark: SparkSession, before: int | None = None) -> DataFrame | None:
+        try:
+            df = spark.read.option("basePath", self.path).parquet(self.path)
+        except AnalysisException:
+            return None
+        df = df.withColumn("batch_id", F.col("batch_id").cast("long"))
+        return df if before is None else df.filter(F.col("batch_id") < before)
+
+    def latest(self, spark: SparkSession, before: int | None = None, touched: DataFrame | None = None) -> DataFrame | None:
+        """Newest row of each key; of the ``touched`` keys only where they are given."""
+        df = self.rows(spark, before)
+        if df is None:
+            return None
+        if touched is not None:
+            df = df.join(touched.select(*self.keys).distinct(), self.keys, "left_semi")
+        rest = [c for c in df.columns if c not in (*self.keys, "batch_id")]
+        return df.groupBy(*self.keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("_r")).select(*self.keys, "_r.*")
+
+
+class VersionedTable:
+    """A6 on storage: rows that are rewritten group by group (a chapter, a job) without touching others.
+
+    A write appends the new rows and the list of groups it replaces; the rows of a group are those of
+    the last write that names it. Running a write again leaves the same table. One folder per write
+    instead of one per chapter keeps the number of files independent of the number of chapters."""
+
+    def __init__(self, path: str, keys: Sequence[str]):
+        self.keys = list(keys)
+        self._rows, self._groups = LogTable(f"{path}/rows", keys), LogTable(f"{path}/groups", keys)
+
+    def replace(self, new: DataFrame, groups: DataFrame, version: int) -> None:
+        self._rows.append(new, version)
+        self._groups.append(groups.select(*self.keys).distinct(), version)
+
+    def current(self, spark: SparkSession, upto: int | None = None, only: DataFrame | None = None) -> DataFrame:
+        """Rows as of version ``upto`` (default: all), of the groups matching ``only`` where given."""
+        before = None if upto is None else upto + 1
+        groups = self._groups.rows(spark, before)
+        if only is not None:
+            groups = groups.join(only, only.columns, "left_semi")
+        last = groups.groupBy(*self.keys).agg(F.max("batch_id").alias("batch_id"))
+        return self._rows.rows(spark, before).join(last, [*self.keys, "batch_id"]).drop("batch_id")
 
 
 def written_counts(records: DataFrame, mentions: DataFrame, aliases: DataFrame) -> DataFrame:
