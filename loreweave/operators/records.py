@@ -186,15 +186,17 @@ def merge_fields(values: DataFrame, keys: Sequence[str] = ("record_id",)) -> Dat
     at = F.struct("batch", "pos")
     v = values.withColumn("_f", K.ascii_key(F.col("field_key"))).withColumn("_at", at).withColumn("_vk", K.text_key(F.col("value_text")))
     per_field = Window.partitionBy(*keys, "_f")
-    v = v.withColumn("_created", F.min("batch").over(per_field)).withColumn("_new", F.col("batch") == F.col("_created"))
-    plain = ~has_meta() & ~F.col("_f").isin(*RELATION_FIELDS)
-    v = v.withColumn("_plain", plain).filter(~(F.col("_new") & F.col("_plain") & (F.col("_vk") == "")))
-    # who holds the value already: plain-field rows of the same text, in arrival order
     listed = ~F.col("_f").isin(*RELATION_FIELDS)
+    # the first row of a text is always kept, so the field of that row holds it from then on
     per_text = Window.partitionBy(*keys, "_vk").orderBy("_at")
     first_field = F.first(F.when(listed, F.col("_f")), ignorenulls=True).over(
         per_text.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    v = v.withColumn("_folds", F.coalesce(F.col("_new") & F.col("_plain") & (first_field != F.col("_f")), F.lit(False)))
+    v = v.withColumn("_plain", ~has_meta() & listed).withColumn(
+        "_leaves", F.col("_plain") & ((F.col("_vk") == "") | F.coalesce(first_field != F.col("_f"), F.lit(False))))
+    # a field exists from the first arrival that leaves it a value; until then every arrival is new
+    v = v.withColumn("_created", F.min(F.when(~F.col("_leaves"), F.col("batch"))).over(per_field))
+    v = v.withColumn("_new", F.col("_created").isNull() | (F.col("batch") <= F.col("_created")))
+    v = v.filter(~(F.col("_new") & F.col("_plain") & (F.col("_vk") == ""))).withColumn("_folds", F.col("_new") & F.col("_leaves"))
     holder = F.when(listed & ~F.col("_folds"), F.struct("_created", "_f", "_at"))
     v = v.withColumn("_holder", F.min(holder).over(per_text.rowsBetween(Window.unboundedPreceding, -1)))
     # own anchor of rows that stay in their field

@@ -113,10 +113,10 @@ _VALKEY = "concat_ws(':', " + ", ".join(Q.key(f"coalesce({c}, '')") for c in ("v
 _META_ON = " OR ".join(f"coalesce(trim({c}), '') <> ''" for c in R.META)
 _F5 = f"""v0 AS (SELECT *, {Q.akey('field_key')} AS f, {Q.key('value_text')} AS vk, {_VALKEY} AS fk, NOT ({_META_ON}) AND ({Q.akey('field_key')}) <> 'relationship' AS plain,
  ({Q.akey('field_key')}) <> 'relationship' AS listed FROM {RV}),
-v1 AS (SELECT *, min(batch) OVER (PARTITION BY record_id, f) AS created FROM v0),
-v2 AS (SELECT *, batch = created AS isnew FROM v1),
-v3 AS (SELECT x.*, (SELECT arg_min(y.f, y.batch) FROM v2 y WHERE y.record_id = x.record_id AND y.vk = x.vk AND y.listed AND y.batch <= x.batch) AS firstf FROM v2 x),
-v4 AS (SELECT *, coalesce(isnew AND plain AND firstf <> f, FALSE) AS folds FROM v3),
+v1 AS (SELECT x.*, plain AND (vk = '' OR coalesce((SELECT arg_min(y.f, y.batch) FROM v0 y WHERE y.record_id = x.record_id AND y.vk = x.vk AND y.listed AND y.batch <= x.batch) <> f, FALSE)) AS leaves FROM v0 x),
+v2 AS (SELECT *, min(batch) FILTER (NOT leaves) OVER (PARTITION BY record_id, f) AS created FROM v1),
+v3 AS (SELECT *, created IS NULL OR batch <= created AS isnew FROM v2),
+v4 AS (SELECT *, isnew AND leaves AS folds FROM v3 WHERE NOT (isnew AND plain AND vk = '')),
 v5 AS (SELECT x.*, CASE WHEN folds THEN (SELECT arg_min(y.batch, (y.created, y.batch)) FROM v4 y WHERE y.record_id = x.record_id AND y.vk = x.vk AND y.listed AND NOT y.folds AND y.batch < x.batch)
  WHEN isnew THEN batch ELSE coalesce((SELECT max(y.batch) FROM v4 y WHERE y.record_id = x.record_id AND y.f = x.f AND y.fk = x.fk AND NOT y.folds AND y.isnew), (SELECT min(y.batch) FROM v4 y WHERE y.record_id = x.record_id AND y.f = x.f AND y.fk = x.fk AND NOT y.folds AND NOT y.isnew)) END AS anchor FROM v4 x),
 v6 AS (SELECT x.*, coalesce(o.anchor, x.anchor) AS fin FROM v5 x LEFT JOIN v5 o ON o.record_id = x.record_id AND o.batch = x.anchor AND NOT o.folds)"""
