@@ -14,7 +14,6 @@ WS_CHARS = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-WS = "[" + WS_CHARS + "]"
 QUOTES = "\"'`“”‘’"
 # Vietnamese letters and the base letter each one folds to.
 FOLD = {
@@ -32,6 +31,21 @@ DEMONSTRATIVE_ENDINGS = (" này", " đó", " kia")
 HONORIFIC_PREFIX = "vị "
 # ------------------------------------------------------------------------------------------
 
+
+
+def char_ranges(chars: str) -> str:
+    """Members of a regular expression class, as ranges: a long list is tested one by one per character."""
+    out, points = "", sorted({ord(c) for c in chars})
+    while points:
+        first = last = points.pop(0)
+        while points and points[0] == last + 1:
+            last = points.pop(0)
+        out += chr(first) + (("-" if last > first + 1 else "") + chr(last) if last > first else "")
+    return out
+
+
+WS_CLASS = char_ranges(WS_CHARS)
+WS = "[" + WS_CLASS + "]"
 ALNUM = r"\p{IsAlphabetic}\p{N}"
 WORD = ALNUM + "_"
 

@@ -288,6 +288,21 @@ def _blocks(side: str) -> Column:
     ))
 
 
+def _block_rows(surfaces: DataFrame, scope: Sequence[str], side: str, out: str) -> DataFrame:
+    """One row per distinct key and blocking key; the blocking key travels as a hash (pairs that only
+    share a hash are dropped by the comparison)."""
+    keys = surfaces.select(*scope, "skey").distinct().withColumn("_x", F.explode(_blocks(side)))
+    return keys.select(*scope, F.col("skey").alias(out), F.left("_x", F.lit(1)).alias("_kind"), F.xxhash64("_x").alias("_b"))
+
+
+def _can_reach(minimum: float) -> Column:
+    """Only the part of the score that the blocking key stands for, cheapest form; the full score is
+    computed later, on distinct pairs."""
+    a, b = F.col("_l"), F.col("_r")
+    near = F.expr(f"levenshtein(_l, _r, cast(floor(greatest(length(_l), length(_r)) * {1 - minimum!r} + 1e-9) as int)) >= 0")
+    return F.when(F.col("_kind") == "e", near).when(F.col("_kind") == "c", F.contains(a, b) | F.contains(b, a)).otherwise(F.lit(True))
+
+
 def surface_similarity(a: Column, b: Column) -> Column:
     """Similarity of two strong folded keys."""
     ta, tb = F.array_distinct(F.split(a, "_")), F.array_distinct(F.split(b, "_"))
@@ -319,13 +334,13 @@ def identity_scores(
     if minimum < REVIEW_MIN:
         raise ValueError("blocking is complete only from the review score upwards")
     ls, rs = resolution_surfaces(left, [*scope, left_id]), resolution_surfaces(right, [*scope, right_id])
-    lb = ls.select(*scope, "skey").distinct().withColumn("_b", F.explode(_blocks("left"))).withColumnRenamed("skey", "_l")
-    rb = rs.select(*scope, "skey").distinct().withColumn("_b", F.explode(_blocks("right"))).withColumnRenamed("skey", "_r")
+    lb, rb = _block_rows(ls, scope, "left", "_l"), _block_rows(rs, scope, "right", "_r")
     pairs = (
-        lb.join(rb, [*scope, "_b"])
-        .filter(surface_similarity(F.col("_l"), F.col("_r")) >= minimum)
+        lb.join(rb, [*scope, "_kind", "_b"])
+        .filter(_can_reach(minimum))
         .select(*scope, "_l", "_r")
         .distinct()
+        .filter(surface_similarity(F.col("_l"), F.col("_r")) >= minimum)
     )
     hit = pairs.join(
         ls.select(*scope, left_id, F.col("skey").alias("_l"), F.col("canonical").alias("_lc")), [*scope, "_l"]

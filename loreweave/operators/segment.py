@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from loreweave.functions.keys import (
     FOLD_FROM,
+    WS,
     WS_CHARS,
+    WS_CLASS,
+    char_ranges,
     is_blank,
     squeeze_ws,
     trim_ws,
@@ -32,11 +35,11 @@ CHUNK_MIN = 900
 HAN = "㐀-䶿一-鿿豈-﫿"
 KANA = "぀-ヿ"
 HANGUL = "가-힯ᄀ-ᇿ"
-MARKED = FOLD_FROM + FOLD_FROM.upper()
+MARKED = char_ranges(FOLD_FROM + FOLD_FROM.upper())
 # ------------------------------------------------------------------------------------------
 
-_S = "[^" + WS_CHARS + "]"
-_LWS = "[" + WS_CHARS.replace("\n", "") + "]"
+_S = "[^" + WS_CLASS + "]"
+_LWS = "[" + char_ranges(WS_CHARS.replace("\n", "")) + "]"
 _EOL = _LWS + r"*(?:\n|\z)"
 
 
@@ -279,7 +282,7 @@ def word_count(c: Column) -> Column:
     """Words of a text."""
     t = trim_ws(c)
     return F.when(t == "", F.lit(0)).otherwise(
-        F.size(F.split(t, "[" + WS_CHARS + "]+", -1))
+        F.size(F.split(t, WS + "+", -1))
     ).cast("long")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loreweave.functions import keys as K
-from loreweave.operators.segment import FOLD_FROM, HAN, HANGUL, KANA, LANGUAGE_SAMPLE, language_of_counts
+from loreweave.operators.segment import HAN, HANGUL, KANA, LANGUAGE_SAMPLE, MARKED, language_of_counts
 from loreweave.sources.corpus import stable_id
 
 JOINED_BY = 2  # characters between two joined chapters (a blank line)
@@ -173,7 +173,7 @@ def detect_novel_language(chapters: DataFrame) -> DataFrame:
     counted = first.withColumn("_before", before).filter(F.col("_before") < LANGUAGE_SAMPLE).withColumn("_part", part)
     sums = counted.groupBy("novel_id").agg(*[
         F.sum(F.length(F.regexp_replace("_part", f"[^{members}]+", ""))).alias(name) for name, members in
-        (("han", HAN), ("kana", KANA), ("hangul", HANGUL), ("ascii", "A-Za-z"), ("marked", FOLD_FROM + FOLD_FROM.upper()))])
+        (("han", HAN), ("kana", KANA), ("hangul", HANGUL), ("ascii", "A-Za-z"), ("marked", MARKED))])
     return sums.select("novel_id", language_of_counts(*[F.col(c) for c in ("han", "kana", "hangul", "ascii", "marked")]).alias("_lang"))
 
 
