@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import exactdedup, mixing
 from .common import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +33,17 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = stage(docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size")), "mix-sizes")
     out = mixing.mix(sized, share=1.5, weights=(3, 1, 2), most=2, size="size")
     return out.select("row.doc_id", "row.source", "size", "source_size", "target", "copies", "taken")
+
+
+@query(
+    "op3_extendible_hash_dedup",
+    r"""
+    WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
+    g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY 1)
+    SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
+    """,
+)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    digests = stage(exactdedup.digest(docs), "dedup-digests")
+    return exactdedup.assign(digests, exactdedup.build_index(docs))
