@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exactdedup, mixing
+from . import decontaminate, exactdedup, mixing
 from .common import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,28 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     digests = stage(exactdedup.digest(docs), "dedup-digests")
     return exactdedup.assign(digests, exactdedup.build_index(docs))
+
+
+@query(
+    "op7_positional_decontamination",
+    r"""
+    WITH w AS (SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
+    b AS (SELECT item_id, ws, len(ws) AS m, least(13, len(ws)) AS n FROM (SELECT item_id, list_filter(string_split_regex(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws
+        FROM benchmark) WHERE len(ws) > 0),
+    bw AS (SELECT DISTINCT item_id, n, list_slice(ws, s, s + n - 1) AS win FROM (SELECT *, unnest(range(1, m - n + 2)) AS s FROM b)),
+    sizes AS (SELECT DISTINCT n FROM bw),
+    dw AS (SELECT doc_id, n, s, list_slice(ws, s, s + n - 1) AS win FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS s FROM w, sizes)),
+    hit AS (SELECT doc_id, item_id, s, dw.n FROM dw JOIN bw ON dw.n = bw.n AND dw.win = bw.win),
+    pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hit) GROUP BY 1),
+    its AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit) GROUP BY 1)
+    SELECT w.doc_id, CAST(coalesce(len(ws), 0) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= coalesce(len(ws), 0) AS contaminated
+    FROM w LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+    """,
+)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text")
+    out = decontaminate.judge(docs, decontaminate.find(docs, items))
+    return out.select("row.doc_id", "n_words", "n_hit", "n_items", F.sha2("item_ids", 256).alias("items_sha256"), "contaminated")
