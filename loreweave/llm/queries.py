@@ -6,8 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exactdedup, mixing
-from .common import stage
+from . import decontaminate, exactdedup, mixing, quality, toxicity
+from .common import remainder, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,3 +72,27 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text")
     out = decontaminate.judge(docs, decontaminate.find(docs, items))
     return out.select("row.doc_id", "n_words", "n_hit", "n_items", F.sha2("item_ids", 256).alias("items_sha256"), "contaminated")
+
+
+def held_out(n: int, out: int):
+    """The remainder of a row's id is ``out``; false for a null id, which is never learned from either."""
+    return F.coalesce(remainder(F.col("doc_id"), n) == out, F.lit(False))
+
+
+@query("op8_counterfactual_toxicity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 3) != 1)
+    out = docs.select("doc_id", held_out(3, 1).alias("held_out"), toxicity.score(F.col("text"), model).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
+@query("op6_ordinal_quality")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 poor, 1 good but toxic, 2 good and civil. A row is selected if it is good more likely than not."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("quality") == 1, 2 - F.col("toxic"))
+    ratings = table(spark, sf_dir, "labels").select("doc_id", grade.alias("grade"))
+    model = quality.train(docs, ratings, remainder(F.col("doc_id"), 3) != 1)
+    out = quality.grades(docs, model, cut=1)
+    return out.select("row.doc_id", "expected_grade", "tail_probability", "selected").withColumn("held_out", held_out(3, 1))
