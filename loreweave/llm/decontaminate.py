@@ -23,16 +23,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage, words
+from .common import small, stage, words
 
 WINDOW = 13
-#: A side of a join is sent to all executors only if counted to be at most this many narrow rows (about 16 MB).
-SMALL_ROWS = 500_000
-
-
-def small(df: DataFrame) -> DataFrame:
-    """A staged table, marked for broadcast if its counted size allows it; else Spark shuffles both sides."""
-    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
 
 
 def text_key() -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exactdedup, mixing, quality, toxicity
+from . import decontaminate, exactdedup, langid, mixing, quality, toxicity
 from .common import remainder, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.train(docs, ratings, remainder(F.col("doc_id"), 3) != 1)
     out = quality.grades(docs, model, cut=1)
     return out.select("row.doc_id", "expected_grade", "tail_probability", "selected").withColumn("held_out", held_out(3, 1))
+
+
+@query("op2_ppm_language")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tables = langid.train(docs, remainder(F.col("doc_id"), 4) != 2)
+    found = docs.select("doc_id", held_out(4, 2).alias("held_out"), langid.predict(spark, F.col("text"), tables).alias("p"))
+    return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
