@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exactdedup, langid, mixing, quality, toxicity
+from . import decontaminate, exactdedup, langid, mixing, quality, toxicity, warc
 from .common import remainder, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,18 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = langid.train(docs, remainder(F.col("doc_id"), 4) != 2)
     found = docs.select("doc_id", held_out(4, 2).alias("held_out"), langid.predict(spark, F.col("text"), tables).alias("p"))
     return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+
+
+@query(
+    "op10_boundary_chain_warc",
+    """
+    WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+    g AS (SELECT payload_digest, min(page_id) AS low FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN low < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN low < page_id THEN low END AS refers_to
+    FROM p LEFT JOIN g USING (payload_digest)
+    """,
+)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.round_trip(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
