@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exactdedup, langid, mixing, quality, secrets, toxicity, warc
+from . import decontaminate, exactdedup, jaccard, langid, mixing, quality, secrets, toxicity, warc
 from .common import remainder, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,24 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.select("doc_id", secrets.find(F.col("text"), secrets.identifiers(docs)).alias("f")).select("doc_id", "f.*")
+
+
+@query(
+    "op9_bayesian_jaccard_join",
+    r"""
+    WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
+    s AS (SELECT DISTINCT doc_id, list_slice(ws, i, i + 4) AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+    c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    e AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 10 * k >= 8 * (p.n + q.n - k)),
+    r(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+    m AS (SELECT x, min(y) AS low, count(*) AS size FROM (SELECT x, y FROM r UNION SELECT x, x FROM e) GROUP BY 1),
+    l AS (SELECT x, count(*) AS k FROM e GROUP BY 1)
+    SELECT doc_id, coalesce(low, doc_id) AS class_id, CAST(coalesce(size, 1) AS BIGINT) AS class_size, CAST(coalesce(l.k, 0) AS BIGINT) AS n_links
+    FROM documents LEFT JOIN m ON m.x = doc_id LEFT JOIN l ON l.x = doc_id
+    """,
+)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "class_id", "class_size", "n_links")
