@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exactdedup, jaccard, langid, mixing, quality, secrets, toxicity, warc
+from . import decontaminate, exactdedup, jaccard, langid, mixing, quality, secrets, suffixdedup, toxicity, warc
 from .common import remainder, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "class_id", "class_size", "n_links")
+
+
+@query("op5_logarithmic_suffix_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixdedup.remove_seen(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
