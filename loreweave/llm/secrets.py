@@ -6,8 +6,9 @@ compressed behind the surrounding text, with a dictionary of surrounding vocabul
 costs at least ``NOVEL`` bytes of output for each of its own bytes. Ordinary identifiers, paths and repeated strings
 are cheap there; random strings are not.
 
-The identifier dictionary lists the long strings that occur in several documents, counted over all documents (most
-frequent last, as zstandard prefers, up to ``DICTIONARY`` bytes).
+The identifier dictionary lists the long strings that occur outside sensitive contexts in several documents, counted
+over all documents (most frequent last, as zstandard prefers, up to ``DICTIONARY`` bytes); so a secret does not become
+known by being copied along with its text.
 
 Edge cases: null text is empty and has no span; spans that overlap a pattern span are not added; repeated rows are
 scanned alike (and count as documents for the dictionary); offsets are code points of the whole text; an empty table
@@ -76,6 +77,11 @@ def long_strings(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def plain_strings(text: str) -> set[str]:
+    """Long strings of at most 64 characters outside sensitive contexts."""
+    return {m[0] for m in LONG.finditer(text) if m.end() - m.start() <= 64 and not CONTEXT.search(text, max(0, m.start() - NEAR), m.start())}
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], dictionary: bytes) -> list[tuple[int, int, int]]:
     found = [(a, b) for a, b in long_strings(text) if not any(s < b and a < e for s, _, e in base)]
     if not found:
@@ -105,11 +111,11 @@ RESULT = "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, sp
 
 
 def identifiers(docs: DataFrame, most: int = DICTIONARY) -> bytes:
-    """Dictionary of the long strings that several rows hold, from counts over all rows; at most ``most`` bytes."""
+    """Dictionary of the plain long strings that several rows hold, from counts over all rows; at most ``most`` bytes."""
 
     @F.arrow_udf("array<string>")
     def held(texts: pa.Array) -> pa.Array:
-        return pa.array([sorted({m[0] for m in LONG.finditer(t or "") if len(m[0]) <= 64}) for t in texts.to_pylist()], pa.list_(pa.string()))
+        return pa.array([sorted(plain_strings(t.as_py() or "")) for t in texts], pa.list_(pa.string()))
 
     counts = docs.select(F.explode(held(F.col("text"))).alias("name")).groupBy("name").count().filter("count > 1")
     top = stage(counts, "secrets-identifiers").orderBy(F.desc("count"), "name").limit(most // 17).collect()
