@@ -175,7 +175,3 @@ def surface_variants(c: Column) -> Column:
     """C14: the surface, and the surface with its first letter in lower and in upper case."""
     head, rest = F.substring(c, 1, 1), F.substring(c, 2, 2147483647)
     return F.array_distinct(F.array(c, F.concat(F.lower(head), rest), F.concat(F.upper(head), rest)))
-
-
-def first_upper(c: Column) -> Column:
-    return c.rlike(r"\A\p{IsUppercase}")

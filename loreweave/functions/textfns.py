@@ -145,10 +145,17 @@ def ltrim_ws(c: Column) -> Column:
     return F.ltrim(c, F.lit(WS_CHARS))
 
 
-def is_json(c: Column) -> Column:
-    """One whole JSON value and nothing after it (a JSON reader alone ignores what follows)."""
-    wrapped = F.from_json(F.concat(F.lit("["), c, F.lit("]")), "array<string>")
-    return F.coalesce(F.size(wrapped) == 1, F.lit(False)) & wrapped.isNotNull()
+def is_json(c: Column, options: dict[str, str] | None = None) -> Column:
+    """One whole JSON value and nothing after it.
+
+    A JSON reader ignores what follows a value. As the only element of an array the text cannot hold a
+    second value; as a member before a mark made from the text it cannot close the array early and hide
+    what follows, because then the mark is never read."""
+    options = options or {}
+    wrapped = F.from_json(F.concat(F.lit("["), c, F.lit("]")), "array<string>", options)
+    mark = F.xxhash64(c)
+    member = F.from_json(F.concat(F.lit('{"v":'), c, F.lit(',"end":'), mark.cast("string"), F.lit("}")), "struct<v:string,end:bigint>", options)
+    return F.coalesce((F.size(wrapped) == 1) & (member["end"] == mark), F.lit(False))
 
 
 def sentence_window(text: Column, start: Column, end: Column, stops: str = SENTENCE_END) -> Column:

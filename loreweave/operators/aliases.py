@@ -22,13 +22,13 @@ def rebuild_alias_map(records: DataFrame, values: DataFrame, job: Sequence[str]
         K.trim_ws(F.col("entity_key")) != "")
     own = r.select(
         *job, "record_id", "entity_key", "display_name", "chapter_num", F.col("display_name").alias("alias_text"), F.lit(CANONICAL[0]).alias("alias_type"),
-        F.lit(CANONICAL[1]).alias("alias_label"), F.lit(1.0).alias("confidence"), F.lit("").alias("field_key"), F.lit(-1).cast("long").alias("pos"),
+        F.lit(CANONICAL[1]).alias("alias_label"), F.lit(1.0).alias("confidence"), F.lit("").alias("field_key"), F.lit(None).cast(dict(values.dtypes)["pos"]).alias("pos"),
         F.lit(None).cast(dict(values.dtypes)["evidence"]).alias("evidence"),
     )
     kept = values.filter(V.stored_type_persistable(F.col("field_key")) & K.stable_alias_stored(F.col("value_text")))
     other = r.join(kept, "record_id").select(
         *job, "record_id", "entity_key", "display_name", "chapter_num", F.col("value_text").alias("alias_text"), V.stored_alias_type(F.col("field_key")).alias("alias_type"),
-        F.col("field_label").alias("alias_label"), "confidence", "field_key", F.col("pos").cast("long").alias("pos"), "evidence",
+        F.col("field_label").alias("alias_label"), "confidence", "field_key", "pos", "evidence",
     ).filter(K.folded_key(F.col("alias_text")) != K.folded_key(F.col("display_name")))
     order = F.struct("chapter_num", "display_name", "record_id", "field_key", "pos")
     found = F.size(F.coalesce("evidence", F.array().cast(dict(values.dtypes)["evidence"]))) > 0

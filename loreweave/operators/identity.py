@@ -442,10 +442,11 @@ def word_edges(c: Column) -> Column:
 
 def creation_review_candidates(
     observed: DataFrame, candidates: DataFrame, scores: DataFrame, texts: DataFrame,
-    scope: Sequence[str] = ("novel_id",), limit: int = CREATION_LIMIT,
+    scope: Sequence[str] = ("novel_id",), limit: int | None = None,
 ) -> DataFrame:
     """Step 8. Similar candidates, candidates named in the text of the observation, and candidates
-    whose name starts or ends the observed name; pooled, best ``limit``.
+    whose name starts or ends the observed name; pooled and ranked. ``limit`` keeps the best only (the
+    original asks about CREATION_LIMIT).
 
     ``texts``: scope, text_id, text; ``observed`` needs text_id."""
     cand = candidates.select(*scope, "cand_id", F.col("display_name").alias("name"), "aliases")
@@ -470,7 +471,8 @@ def creation_review_candidates(
         candidates.select(*scope, "cand_id", "source", "target_key", "display_name", "chapter_num", "ord"), [*scope, "cand_id"]
     )
     w = Window.partitionBy(*scope, "observed_id").orderBy(F.desc("score"), "chapter_num", "display_name", "target_key")
-    return _pooled(rows, scope).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    ranked = _pooled(rows, scope).withColumn("rank", F.row_number().over(w))
+    return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
 
 
 def known_name_phrase(observed: DataFrame, known: DataFrame, scope: Sequence[str] = ("novel_id",)) -> DataFrame:
@@ -564,7 +566,7 @@ def absorb_observed(matches: DataFrame, observed: DataFrame, candidates: DataFra
 
     def shape(df: DataFrame) -> DataFrame:
         return df.select(
-            *keys, "name", (F.col("_p.g") * 1000000 + F.col("_p.i")).cast("long").alias("ord"), F.col("_p.t").alias("text"),
+            *keys, "name", F.struct(F.col("_p.g").alias("g"), F.col("_p.i").alias("i")).alias("ord"), F.col("_p.t").alias("text"),
             F.lit("other_alias").alias("alias_type"), F.lit("").alias("alias_label"), F.lit(False).alias("is_primary"),
             F.array().cast("array<string>").alias("quotes"),
         )

@@ -77,13 +77,13 @@ def _longest_run(c: Column) -> Column:
 
 def find_occurrences(
     texts: DataFrame, surfaces: DataFrame, on: Sequence[str],
-    text_id: str = "text_id", text_col: str = "text", salts: int = 8,
+    text_id: str = "text_id", text_col: str = "text",
 ) -> DataFrame:
     """Every occurrence of every surface variant between word boundaries.
 
     ``on`` names the scope the surfaces share with the texts. Every word run of a variant is a
-    complete word run of a text it matches, so blocking on the longest one loses nothing. Rows of a
-    run that very many texts hold are spread over ``salts``."""
+    complete word run of a text it matches, so blocking on the longest one loses nothing. A run
+    that very many texts hold is split by AQE as a skewed join."""
     rows = variant_rows(surfaces)
     carried = [c for c in surfaces.columns if c not in on]
     if text_id in on:
@@ -94,15 +94,13 @@ def find_occurrences(
                 text_id, *on,
                 F.explode(F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(RUN), 0))).alias("_run"),
             )
-            .withColumn("_salt", F.pmod(F.xxhash64(text_id), F.lit(salts)).cast("int"))
-        )
-        dictionary = rows.withColumn("_run", _longest_run(F.col("variant"))).withColumn(
-            "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
         )
+        dictionary = rows.withColumn("_run", _longest_run(F.col("variant")))
+        # text ids may repeat between scopes (chapter numbers do), so texts are found by both
         found = (
-            runs.join(dictionary, [*on, "_run", "_salt"])
+            runs.join(dictionary, [*on, "_run"])
             .select(text_id, *on, *carried, "variant")
-            .join(texts.select(text_id, F.col(text_col).alias("_text")), text_id)
+            .join(texts.select(text_id, *on, F.col(text_col).alias("_text")), [*on, text_id])
         )
     keep = list(dict.fromkeys([text_id, *on, *carried]))
     return (
@@ -115,14 +113,6 @@ def find_occurrences(
     )
 
 
-def texts_with_surface(
-    texts: DataFrame, surfaces: DataFrame, on: Sequence[str], keys: Sequence[str], text_id: str = "text_id"
-) -> DataFrame:
-    """Distinct (text, keys) where at least one surface of ``keys`` occurs."""
-    hits = find_occurrences(texts, surfaces, on, text_id=text_id)
-    return hits.select(text_id, *[k for k in keys if k != text_id]).distinct()
-
-
 def select_non_overlapping(occurrences: DataFrame, group_cols: Sequence[str]) -> DataFrame:
     """Longest first, then earliest, then text; whatever overlaps a chosen one is dropped.
 
@@ -177,8 +167,11 @@ def group_ambiguous(occurrences: DataFrame, group_cols: Sequence[str]) -> tuple[
     return plain, groups
 
 
-def sample_for_confirmation(groups: DataFrame, group_cols: Sequence[str], k: int = SAMPLE_LIMIT) -> DataFrame:
-    """Up to ``k`` evenly spaced occurrences of each group, first and last among them."""
+def sample_for_confirmation(groups: DataFrame, group_cols: Sequence[str], k: int | None = None) -> DataFrame:
+    """The occurrences of each group that are put to confirmation: all of them, or with ``k`` up to ``k``
+    evenly spaced ones, first and last among them (the original asks for SAMPLE_LIMIT)."""
+    if k is None:
+        return groups
     w = Window.partitionBy(*group_cols, "group_key").orderBy("start_char", "end_char", "text")
     n = F.count(F.lit(1)).over(Window.partitionBy(*group_cols, "group_key"))
     i, last = F.col("_i"), F.col("_n") - 1
@@ -241,14 +234,14 @@ def mark_context(text: Column, start: Column, end: Column, radius: int = CONTEXT
 
 
 def field_contexts(
-    chunks: DataFrame, identities: DataFrame, chunk_id: str = "chunk_id", limit: int = FIELD_CONTEXT_MAX
+    chunks: DataFrame, identities: DataFrame, chunk_id: str = "chunk_id", limit: int | None = None
 ) -> DataFrame:
-    """The first ``limit`` distinct sentences per (chunk, identity) that name the identity, with
-    its mentions in double brackets."""
+    """The distinct sentences per (chunk, identity) that name the identity, with its mentions in double
+    brackets; with ``limit`` only the first ones (the original lists FIELD_CONTEXT_MAX)."""
     sents = chunks.select(chunk_id, F.posexplode(sentences(F.col("text"))).alias("sentence_index", "text"))
     sents = sents.withColumn("_sid", F.struct(chunk_id, "sentence_index"))
     surfaces = identity_surfaces(identities, (chunk_id, "identity_id"))
-    hits = find_occurrences(sents, surfaces, [chunk_id], text_id="_sid", salts=1)
+    hits = find_occurrences(sents, surfaces, [chunk_id], text_id="_sid")
     picked = select_non_overlapping(hits, ["_sid", chunk_id, "identity_id"]).groupBy("_sid", chunk_id, "identity_id").agg(
         F.array_sort(F.collect_list(F.struct("start_char", "end_char"))).alias("_spans")
     )
@@ -276,11 +269,10 @@ def field_contexts(
         F.min("_i").alias("_i"), F.min_by("context", "_i").alias("context")
     )
     w = Window.partitionBy(chunk_id, "identity_id").orderBy("_i")
-    return (
-        first.withColumn("context_index", F.row_number().over(w).cast("long"))
-        .filter(F.col("context_index") <= limit)
-        .select(chunk_id, "identity_id", "context_index", "context")
-    )
+    listed = first.withColumn("context_index", F.row_number().over(w).cast("long"))
+    if limit is not None:
+        listed = listed.filter(F.col("context_index") <= limit)
+    return listed.select(chunk_id, "identity_id", "context_index", "context")
 
 
 def quoted_span_array(text: Column) -> Column:
@@ -323,10 +315,10 @@ def quoted_alias_context(chunks: DataFrame, identities: DataFrame, chunk_id: str
     order = identities.select(chunk_id, "identity_id", F.col("ord").alias("_ord"))
     # occurrences in the sentence; those before the quote must also be cut off by it
     in_sentence = find_occurrences(
-        spans.withColumn("text", F.col("context")), surfaces, [chunk_id], text_id="_sid", salts=1
+        spans.withColumn("text", F.col("context")), surfaces, [chunk_id], text_id="_sid"
     ).join(order, [chunk_id, "identity_id"])
     before = find_occurrences(
-        spans.withColumn("text", F.left("context", F.col("_cut").cast("int"))), surfaces, [chunk_id], text_id="_sid", salts=1
+        spans.withColumn("text", F.left("context", F.col("_cut").cast("int"))), surfaces, [chunk_id], text_id="_sid"
     ).join(order, [chunk_id, "identity_id"])
     names = in_sentence.groupBy("_sid").agg(
         F.array_sort(F.collect_set(F.struct("_ord", "name"))).alias("_names")

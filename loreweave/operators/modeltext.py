@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loreweave.functions import keys as K
+from loreweave.functions.textfns import is_json
 from loreweave.operators.segment import detect_language
 
 # --- Fixed values -------------------------------------------------------------------------
@@ -46,18 +47,16 @@ def extract_json_block(c: Column, kind: str = "object") -> Column:
 def parse_tolerant_json(df: DataFrame, text_col: str, schema: str, out: str = "parsed") -> tuple[DataFrame, DataFrame]:
     """L2: (rows with the parsed value, rows that need repair). Raw control characters inside strings are
     accepted; anything after the value is not."""
-    wrapped = F.from_json(F.concat(F.lit("["), F.col(text_col), F.lit("]")), "array<string>", TOLERANT)
-    ok = F.coalesce(F.size(wrapped) == 1, F.lit(False)) & wrapped.isNotNull()
-    d = df.withColumn("_ok", ok).withColumn(out, F.when(F.col("_ok"), F.from_json(text_col, schema, TOLERANT)))
+    d = df.withColumn("_ok", is_json(F.col(text_col), TOLERANT)).withColumn(out, F.when(F.col("_ok"), F.from_json(text_col, schema, TOLERANT)))
     good = F.col("_ok") & F.col(out).isNotNull()
     return d.filter(good).drop("_ok"), d.filter(~good).drop("_ok", out)
 
 
-def repair_queue(failed: DataFrame, text_col: str, kind: str = "object") -> tuple[DataFrame, DataFrame]:
-    """L3: (repair requests, final failures). ``failed`` may carry ``attempt`` (0 at first)."""
-    n = REPAIR_LIMIT[kind]
+def repair_queue(failed: DataFrame, text_col: str, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """L3: (repair requests, final failures). ``failed`` may carry ``attempt`` (0 at first). A request holds the whole
+    text, or with ``limit`` its first characters and a mark (the original sends REPAIR_LIMIT of its kind)."""
     t = F.coalesce(text_col, F.lit(""))
-    cut = F.when(F.length(t) > n, F.concat(F.left(t, F.lit(n)), F.lit(TRUNCATED))).otherwise(t)
+    cut = t if limit is None else F.when(F.length(t) > limit, F.concat(F.left(t, F.lit(limit)), F.lit(TRUNCATED))).otherwise(t)
     d = failed if "attempt" in failed.columns else failed.withColumn("attempt", F.lit(0))
     again = d.filter(F.col("attempt") < MAX_REPAIRS).withColumn("invalid_text", cut).withColumn("attempt", F.col("attempt") + 1).drop(text_col)
     return again, d.filter(F.col("attempt") >= MAX_REPAIRS)
@@ -105,16 +104,20 @@ def build_requests(rows: DataFrame, template: str | None = None, out: str = "use
     return rows.withColumn(out, text)
 
 
+def named_language(c: Column) -> Column:
+    return F.nullif(K.blank_to_null(c), F.lit("auto"))
+
+
 def fill_metadata(novels: DataFrame, suggestions: DataFrame) -> DataFrame:
-    """Suggested metadata where it is not blank, else what the novel has; the language falls back to
-    the guess from the sample text of the suggestion row."""
+    """Suggested metadata where it is not blank, else what the novel has; a blank language or
+    ``auto`` counts as none on either side and falls back to the guess from the text of the suggestion row."""
     s = suggestions.select(
         "novel_id", *[K.blank_to_null(F.col(c)).alias(f"_{c}") for c in ("title", "author", "genre", "description")],
-        F.nullif(K.blank_to_null(F.col("source_language")), F.lit("auto")).alias("_lang"), detect_language(F.col("sample")).alias("_guess"))
+        named_language(F.col("source_language")).alias("_lang"), detect_language(F.col("sample")).alias("_guess"))
     j = novels.join(s, "novel_id", "left")
     return j.select(
         "novel_id", *[F.coalesce(f"_{c}", c).alias(c) for c in ("title", "author", "genre", "description")],
-        F.coalesce("_lang", "source_language", "_guess").alias("source_language"))
+        F.coalesce("_lang", named_language(F.col("source_language")), "_guess").alias("source_language"))
 
 
 def redact_secrets(c: Column) -> Column:

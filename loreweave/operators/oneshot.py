@@ -321,12 +321,13 @@ def merge_relationship_values(rows: DataFrame, keys: list[str]) -> DataFrame:
         *keys, "pos", *[F.col(f"_v.{c}").alias(c) for c in ("value", "related", "direction", "rtype", "confidence", "evidence")])
 
 
-def known_relationship_context(records: DataFrame, values: DataFrame, present: DataFrame, limit: int = HINT_LIMIT) -> DataFrame:
+def known_relationship_context(records: DataFrame, values: DataFrame, present: DataFrame, limit: int | None = None) -> DataFrame:
     """Relationships of earlier chapters whose both ends are present in the current one.
 
     ``records``: scope_id, record_id, chapter_num, entity_key, display_name. ``values``: record_id,
     value, related, direction, rtype, evidence. ``present``: scope_id, chapter_num (current),
-    identity_key (C3 keys of names and aliases). At most ``limit`` hints per chapter, in record order."""
+    identity_key (C3 keys of names and aliases). ``limit`` keeps the first hints of a chapter in record order
+    and does not read records after the one that opens the last (the original lists HINT_LIMIT)."""
     parts = F.split("entity_key", r"\|")
     names = F.filter(F.transform(F.split("display_name", "↔"), K.trim_ws), lambda x: x != "")
     r = records.filter((F.size(parts) == 3) & (F.get(parts, F.lit(0)) == "relationship")).select(
@@ -390,12 +391,14 @@ def known_relationship_context(records: DataFrame, values: DataFrame, present: D
         packed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(hint)).alias("_hs"))
         return packed.select(*keys, F.explode(fold(F.col("_hs"))).alias("_h"))
 
+    read = seen
     # the record that opens the last allowed hint is the last one read
     w = Window.partitionBy("scope_id", "chapter_num").orderBy("_h.o")
-    opened = hints(seen).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limit)
-    last = opened.groupBy("scope_id", "chapter_num").agg(F.max("_h.o").alias("_last"), F.max("_n").alias("_full"))
-    read = seen.join(last, ["scope_id", "chapter_num"]).filter((F.col("_full") < limit) | (F.col("_order") <= F.col("_last")))
-    return hints(read.drop("_last", "_full")).select(
+    if limit is not None:
+        opened = hints(seen).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limit)
+        last = opened.groupBy("scope_id", "chapter_num").agg(F.max("_h.o").alias("_last"), F.max("_n").alias("_full"))
+        read = seen.join(last, ["scope_id", "chapter_num"]).filter((F.col("_full") < limit) | (F.col("_order") <= F.col("_last"))).drop("_last", "_full")
+    return hints(read).select(
         *keys, F.col("_h.ln").alias("left_name"), F.col("_h.rn").alias("right_name"), F.col("_h.t").alias("relationship_type"),
         F.col("_h.f").alias("left_to_right"), F.col("_h.b").alias("right_to_left"), F.col("_h.ch").alias("evidence_chapters"))
 

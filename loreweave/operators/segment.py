@@ -252,9 +252,10 @@ def paragraph_blocks(
     return chapters.select(id_col, F.inline(blocks))
 
 
-def detect_language(c: Column) -> Column:
-    """Language guess from the first 12,000 characters."""
-    head = F.left(c, F.lit(LANGUAGE_SAMPLE))
+def detect_language(c: Column, sample_chars: int | None = None) -> Column:
+    """Language guess from the whole text, or from its first ``sample_chars`` characters
+    (the original reads LANGUAGE_SAMPLE)."""
+    head = c if sample_chars is None else F.left(c, F.lit(sample_chars))
 
     def count(members: str, h: Column) -> Column:
         return F.length(F.regexp_replace(h, f"[^{members}]+", ""))

@@ -14,15 +14,7 @@ TABLES = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df, "doc_id") if name == "documents" else df
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Text work is CPU-bound: where the scan yields fewer tasks than there are cores (one small
-    file), spread the rows by key. A scan with enough splits is left alone, without a shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def explode(d: str, src: str, keep: str, items: str, pos: str, item: str) -> str:
@@ -75,7 +67,7 @@ def surfaces_raw(d: str) -> str:
     """Lines in several disguises: quoted, with endings, with marked letters, in lower case."""
     return f"""SELECT doc_id, pos, CASE pos % 5 WHEN 0 THEN line
  WHEN 1 THEN '  “' || line || ' này” ' WHEN 2 THEN 'vị ' || translate(line, 'aeod', 'ắềợđ') || ' kia'
- WHEN 3 THEN lower(substring(line, 1, 9)) || chr(9) || ' ' || chr(39) ELSE substring(line, 1, 24) END AS raw FROM ({lines(d)}) _l"""
+ WHEN 3 THEN lower(line) || chr(9) || ' ' || chr(39) ELSE line END AS raw FROM ({lines(d)}) _l"""
 
 
 def pairs(d: str) -> str:

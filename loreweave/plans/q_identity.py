@@ -194,7 +194,7 @@ feed AS (SELECT o.novel_id, observed_id, cand_id FROM {OBS} o JOIN intext t ON t
   WHERE {Q.fkey('o.name')} <> k AND (starts_with({Q.fkey('o.name')}, k || '_') OR ends_with({Q.fkey('o.name')}, '_' || k))
  UNION SELECT novel_id, observed_id, cand_id FROM sc),
 cre AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY novel_id, observed_id ORDER BY score DESC, chapter_num, display_name, target_key) AS rank FROM (
- {_pool(f"(SELECT feed.*, coalesce(score, 0) AS score, source, target_key, display_name, chapter_num, ord FROM feed JOIN {CAND} c USING (novel_id, cand_id) LEFT JOIN allsc USING (novel_id, observed_id, cand_id))")})) WHERE rank <= 12)"""
+ {_pool(f"(SELECT feed.*, coalesce(score, 0) AS score, source, target_key, display_name, chapter_num, ord FROM feed JOIN {CAND} c USING (novel_id, cand_id) LEFT JOIN allsc USING (novel_id, observed_id, cand_id))")})))"""
 
 
 @query("e10_creation_review_candidates", f"WITH {_ALLSC}, {_CRE} SELECT novel_id, observed_id, target_key, round(score, 9) AS score, chapter_num, display_name, rank FROM cre")
@@ -256,9 +256,9 @@ def e12(spark, sf):
     return E.apply_creation_decisions(short, c, _creation_dec(spark, sf), e13(spark, sf))
 
 
-@query("e14_sanitize_new_identity", f"SELECT chapter_id, name, text FROM ({_E4}) a WHERE (chapter_id, {Q.key('text')}) NOT IN (SELECT (chapter_id, {Q.key('display_name')}) FROM (SELECT chapter_id, split_part(name, ' ', 2) AS display_name FROM {_P} WHERE pos % 2 = 0))")
+@query("e14_sanitize_new_identity", f"SELECT chapter_id, name, text FROM ({_E4}) a WHERE (chapter_id, {Q.key('text')}) NOT IN (SELECT (chapter_id, {Q.key('display_name')}) FROM (SELECT chapter_id, CASE WHEN pos % 2 = 0 THEN '' ELSE 'Zq ' END || split_part(name, ' ', 2) AS display_name FROM {_P}))")
 def e14(spark, sf):
-    known = I.run(spark, sf, I.pairs).filter("pos % 2 = 0").select("chapter_id", F.split_part("name", F.lit(" "), F.lit(2)).alias("display_name"))
+    known = I.run(spark, sf, I.pairs).select("chapter_id", F.expr("CASE WHEN pos % 2 = 0 THEN '' ELSE 'Zq ' END || split_part(name, ' ', 2)").alias("display_name"))
     rows = alias_rows(spark, sf).withColumn("owner", F.col("name"))
     return E.sanitize_new_identity(rows, known, ["chapter_id", "owner"], ["chapter_id"]).select("chapter_id", "name", "text")
 

@@ -80,7 +80,7 @@ def d3(spark, sf):
 
 _GRP = f"grp AS (SELECT *, mention_type || ':' || {Q.key('text')} AS group_key FROM men WHERE {_AMB})"
 _SMP = """smp AS (SELECT chapter_id, name, group_key, s, e, text FROM (SELECT *, row_number() OVER (PARTITION BY chapter_id, name, group_key ORDER BY s, e, text) - 1 AS i,
- count(*) OVER (PARTITION BY chapter_id, name, group_key) AS n FROM grp) WHERE n <= 3 OR i IN (0, (n - 1) // 2, n - 1))"""
+ count(*) OVER (PARTITION BY chapter_id, name, group_key) AS n FROM grp))"""
 _DEC = """dec AS (SELECT *, s % 3 <> 0 AS yes, CASE WHEN s % 7 = 0 THEN NULL ELSE (s % 10) / 10.0 END AS conf FROM smp WHERE s % 11 <> 0),
 jdg AS (SELECT chapter_id, name, group_key, s, e, coalesce(yes AND coalesce(conf, 1.0) >= 0.5, FALSE) AS ok FROM smp LEFT JOIN dec USING (chapter_id, name, group_key, s, e)),
 rep AS (SELECT chapter_id, name, group_key, occurrence_count, surface_text, sample_count, confirmed_count,

@@ -36,7 +36,7 @@ mk AS (SELECT chapter_id, name, si, any_value(sentence) AS sentence, list({{'s':
 ctx AS (SELECT chapter_id, name, si, list_reduce(list_prepend({{'t': sentence, 's': 0::BIGINT, 'e': 0::BIGINT}}, list_transform(sp, lambda x: {{'t': '', 's': x.s, 'e': x.e}})),
  lambda a, x: {{'t': substr(a.t, 1, x.s) || '[[' || substr(a.t, x.s + 1, x.e - x.s) || ']]' || substr(a.t, x.e + 1), 's': x.s, 'e': x.e}}).t AS context FROM mk),
 dd AS (SELECT * FROM ctx QUALIFY row_number() OVER (PARTITION BY chapter_id, name, {Q.key('context')} ORDER BY si) = 1)
-SELECT chapter_id, name AS identity_id, context_index, context FROM (SELECT *, row_number() OVER (PARTITION BY chapter_id, name ORDER BY si) AS context_index FROM dd) WHERE context_index <= 12"""
+SELECT chapter_id, name AS identity_id, context_index, context FROM (SELECT *, row_number() OVER (PARTITION BY chapter_id, name ORDER BY si) AS context_index FROM dd)"""
 
 
 @query("d8_field_contexts", _D8)
@@ -209,7 +209,7 @@ def m2(spark, sf):
 
 
 _ALF = "('alias', 'aliases', 'other_alias', 'other_name', 'other_names', 'nickname', 'title_or_role')"
-_M3 = f"""WITH r AS (SELECT *, {_IDK} AS ik FROM {CR}), f AS ({_FIRST}), amp AS (SELECT *, 'entity:' || entity_key AS ik FROM {_SAL} WHERE first_chapter_num % 2 = 0),
+_M3 = f"""WITH r AS (SELECT *, {_IDK} AS ik FROM {CR}), f AS ({_FIRST}), amp AS (SELECT *, 'entity:' || entity_key || CASE WHEN first_chapter_num % 2 = 0 THEN '' ELSE '_else' END AS ik FROM {_SAL}),
 x AS (SELECT novel_id, ik, alias_type AS kind, alias_text AS text, alias_label AS lab, first_chapter_num AS fb, ord AS o FROM amp WHERE (novel_id, ik) IN (SELECT (novel_id, ik) FROM r)
  UNION ALL SELECT r.novel_id, ik, lower(field_key), value_text, field_label, r.chapter_num, lpad(r.chapter_num::VARCHAR, 18, '0') || '/' || r.display_name || '/' || r.record_id || '/' || lpad(pos::VARCHAR, 18, '0') FROM (SELECT record_id, field_key, field_label, value_text, pos FROM {CV}) v JOIN r ON r.record_id = v.record_id WHERE lower(field_key) IN {_ALF} AND (r.novel_id, ik) NOT IN (SELECT (novel_id, ik) FROM amp)),
 y AS (SELECT novel_id, ik, kind, lower(text) AS k, min_by(text, o) AS text, min_by(lab, o) AS lab, min_by(fb, o) AS fb FROM x WHERE (novel_id, ik, lower(text)) NOT IN (SELECT (novel_id, ik, lower(display_name)) FROM r) GROUP BY 1, 2, 3, 4)
@@ -218,7 +218,9 @@ SELECT y.novel_id, y.ik AS identity_key, text, CASE WHEN kind IN ('nickname', 'a
 
 @query("m3_alias_summaries", _M3)
 def m3(spark, sf):
-    return M.alias_summaries(QR.char_recs(spark, sf), QR.char_values(spark, sf), aliases(spark, sf).filter("first_chapter_num % 2 = 0"), mentions(spark, sf))
+    # half of the alias map belongs to identities without records, so that both sources of names are used
+    amap = aliases(spark, sf).withColumn("entity_key", F.expr("entity_key || CASE WHEN first_chapter_num % 2 = 0 THEN '' ELSE '_else' END"))
+    return M.alias_summaries(QR.char_recs(spark, sf), QR.char_values(spark, sf), amap, mentions(spark, sf))
 
 
 @query("m4_relationship_summaries")

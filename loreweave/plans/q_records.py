@@ -48,7 +48,6 @@ def f1(spark, sf):
     return rec.join(val, ["chapter_id", "display_name"]).select("chapter_id", "display_name", "entity_key", "value_text", F.array_join(F.transform("evidence", lambda e: e["quote"]), "|").alias("quotes"))
 
 
-_RAL = "CASE WHEN ak IN ('other_alias') THEN 'other_alias' ELSE 'nickname' END"
 
 
 @query("f9_aliases_of_records", f"""SELECT record_id, batch, value_text AS text, CASE field_key WHEN 'nickname' THEN 'nickname' ELSE 'other_alias' END AS alias_type,
@@ -64,14 +63,17 @@ def f9p(spark, sf):
 
 # records named by single words against identities named by word pairs with that word as an alias
 _SURF = f"""SELECT chapter_id, record_id, ord, {Q.key('display_name')} AS k, TRUE AS own FROM {CR} UNION ALL SELECT v.chapter_id, v.record_id, r.ord, {Q.key('value_text')}, FALSE FROM {CV} v JOIN {CR} r USING (record_id) WHERE field_key <> 'appearance'"""
-_F2IDS = f"SELECT chapter_id, name AS identity_id, name, alias, ord FROM {IDC} WHERE ord % 4 <> 3 UNION ALL SELECT chapter_id, name || '!', split_part(name, ' ', 2), upper(name), ord + 1000000 FROM {IDC}"
+_F2IDS = f"SELECT chapter_id, name AS identity_id, CASE WHEN ord % 4 = 3 THEN 'Zq ' || name ELSE name END AS name, CASE WHEN ord % 4 = 3 THEN 'Zq' || alias ELSE alias END AS alias, ord FROM {IDC} UNION ALL SELECT chapter_id, name || '!', split_part(name, ' ', 2), upper(name), ord + 1000000 FROM {IDC}"
 _MATCH = f"""sf AS ({_SURF}), idn AS ({_F2IDS}), mt AS (SELECT chapter_id, identity_id, min_by(record_id, (prio, o, record_id)) AS record_id, min(prio) AS prio FROM (
  SELECT idn.chapter_id, identity_id, CASE WHEN own AND sf.k = {Q.key('name')} THEN 0 ELSE 1 END AS prio, sf.ord AS o, record_id FROM idn JOIN sf ON idn.chapter_id = sf.chapter_id AND (sf.k = {Q.key('name')} OR sf.k = {Q.key('alias')})) GROUP BY 1, 2)"""
 
 
 def _f2_ids(spark, sf):
     i = I.run(spark, sf, I.identities)
-    a = i.filter("ord % 4 <> 3").select("chapter_id", F.col("name").alias("identity_id"), "name", F.array("alias").alias("aliases"), "ord")
+    # every fourth identity has other names, so that it meets no record
+    a = i.select(
+        "chapter_id", F.col("name").alias("identity_id"), F.expr("CASE WHEN ord % 4 = 3 THEN 'Zq ' || name ELSE name END").alias("name"),
+        F.expr("array(CASE WHEN ord % 4 = 3 THEN 'Zq' || alias ELSE alias END)").alias("aliases"), "ord")
     b = i.select("chapter_id", F.concat("name", F.lit("!")).alias("identity_id"), F.split_part("name", F.lit(" "), F.lit(2)).alias("name"), F.array(F.upper("name")).alias("aliases"), (F.col("ord") + 1000000).alias("ord"))
     return a.unionByName(b)
 
@@ -148,13 +150,16 @@ def f6(spark, sf):
     return m.select("record_id", "field_key", "value_text", "confidence", "relationship_label", _flat_ev(F.array_sort("evidence", _by_text)).alias("evidence"))
 
 
-@query("f7_working_identities", f"""WITH sf AS ({_SURF}), hit AS (SELECT DISTINCT record_id FROM sf JOIN {IDC} i ON i.chapter_id = sf.chapter_id AND i.ord % 2 = 0 AND (sf.k = {Q.key('name')} OR sf.k = {Q.key('alias')}))
-SELECT chapter_id, name, alias AS aliases, FALSE AS from_record FROM {IDC} WHERE ord % 2 = 0
+@query("f7_working_identities", f"""WITH sf AS ({_SURF}), ids AS (SELECT chapter_id, CASE WHEN ord % 2 = 0 THEN name ELSE 'Zq ' || name END AS name, CASE WHEN ord % 2 = 0 THEN alias ELSE 'Zq' || alias END AS alias FROM {IDC}),
+hit AS (SELECT DISTINCT record_id FROM sf JOIN ids i ON i.chapter_id = sf.chapter_id AND (sf.k = {Q.key('name')} OR sf.k = {Q.key('alias')}))
+SELECT chapter_id, name, alias AS aliases, FALSE AS from_record FROM ids
 UNION ALL SELECT r.chapter_id, display_name, coalesce((SELECT string_agg(value_text, '|' ORDER BY pos) FROM {CV} v WHERE v.record_id = r.record_id AND field_key <> 'appearance'), ''), TRUE FROM {CR} r WHERE ord % 5 <> 0 AND record_id NOT IN (SELECT record_id FROM hit)""")
 def f7(spark, sf):
     rec, val = char_recs(spark, sf), char_values(spark, sf).withColumn("batch", F.lit(0))
-    men = rec.filter("ord % 5 <> 0").select("chapter_id", "record_id")
-    return R.working_identities(identities(spark, sf).filter("ord % 2 = 0"), rec, val, men).withColumn("aliases", F.array_join("aliases", "|"))
+    men = rec.select("chapter_id", F.expr("CASE WHEN ord % 5 <> 0 THEN record_id ELSE record_id || '?' END").alias("record_id"))
+    ids = identities(spark, sf).withColumn("name", F.expr("CASE WHEN ord % 2 = 0 THEN name ELSE 'Zq ' || name END")).withColumn(
+        "aliases", F.expr("transform(aliases, a -> CASE WHEN ord % 2 = 0 THEN a ELSE 'Zq' || a END)"))
+    return R.working_identities(ids, rec, val, men).withColumn("aliases", F.array_join("aliases", "|"))
 
 
 @query("f8_hydrate_aliases", f"""SELECT chapter_id, name, min_by(text, ord) AS text FROM (SELECT r.chapter_id, r.display_name AS name, v.value_text AS text, v.ord, {_case(Q.akey('v.field_key'), V.ALIAS_TYPES, "'other_alias'")} AS t
@@ -216,8 +221,10 @@ def _gate_values(spark, sf):
 def _gate_keys(spark, sf):
     r = char_recs(spark, sf)
     own = r.select(F.col("record_id").alias("identity_id"), K.text_key(F.col("display_name")).alias("skey"))
-    other = I.run(spark, sf, I.pairs).filter("pos % 3 = 2").select(
-        F.concat_ws(":", F.col("chapter_id").cast("string"), F.split_part("name", F.lit(" "), F.lit(1))).alias("identity_id"), K.text_key(F.col("name")).alias("skey"))
+    # only every third name is that of another character
+    other = I.run(spark, sf, I.pairs).select(
+        F.concat_ws(":", F.col("chapter_id").cast("string"), F.split_part("name", F.lit(" "), F.lit(1))).alias("identity_id"),
+        K.text_key(F.expr("CASE WHEN pos % 3 = 2 THEN name ELSE 'Zq ' || name END")).alias("skey"))
     return own, other
 
 
@@ -227,7 +234,7 @@ def _gtok(x):
 
 _GRD = f"len({_gtok('value_text')}) > 0 AND CASE WHEN len({_gtok('value_text')}) <= 2 THEN len(list_intersect({_gtok('value_text')}, {_gtok('quote')})) = len({_gtok('value_text')}) ELSE len(list_intersect({_gtok('value_text')}, {_gtok('quote')})) * 5 >= len({_gtok('value_text')}) * 3 END"
 _G1 = f"""g AS (SELECT * EXCLUDE (value_text), trim(value_text) AS value_text FROM ({_GV.format(_P)})),
-oth AS (SELECT DISTINCT CAST(chapter_id AS STRING) || ':' || split_part(name, ' ', 1) AS identity_id, {Q.key('name')} AS k FROM {_P} WHERE pos % 3 = 2),
+oth AS (SELECT DISTINCT CAST(chapter_id AS STRING) || ':' || split_part(name, ' ', 1) AS identity_id, {Q.key("CASE WHEN pos % 3 = 2 THEN name ELSE 'Zq ' || name END")} AS k FROM {_P}),
 g1 AS (SELECT g.*, CASE WHEN field_key = 'habit' THEN 'field_not_kept' WHEN value_text = '' THEN 'value_blank' WHEN {Q.key('value_text')} = {Q.key("split_part(g.identity_id, ':', 2)")} THEN 'value_is_own_name'
  WHEN oth.k IS NOT NULL THEN 'value_is_other_name' WHEN trim(quote) = '' THEN 'no_quote' WHEN NOT (contains(quote, '[[') AND contains(quote, ']]')) THEN 'no_marker' WHEN coalesce(confidence, -1) < 0.85 THEN 'low_confidence'
  WHEN NOT ({_GRD}) THEN 'not_grounded' END AS reason FROM g LEFT JOIN oth ON oth.identity_id = g.identity_id AND oth.k = {Q.key('value_text')})"""
@@ -287,7 +294,8 @@ _H5 = f"h5 AS (SELECT * FROM h4 QUALIFY row_number() OVER (PARTITION BY chapter_
 SELECT chapter_id, k AS entity_key, record_id, display_name FROM r WHERE chapter_id IN (SELECT chapter_id FROM n)""")
 def h1(spark, sf):
     r = char_recs(spark, sf).withColumn("group_key", F.lit("character")).drop("entity_key")
-    return H.relationship_identities(r, r.filter("ord % 5 <> 0")).drop("ord")
+    named = r.withColumn("record_id", F.expr("CASE WHEN ord % 5 <> 0 THEN record_id ELSE record_id || '?' END"))
+    return H.relationship_identities(r, named).drop("ord")
 
 
 def _resolved(spark, sf):

@@ -176,19 +176,19 @@ def l1(spark, sf):
     return spark.sql(_TXT).select("conv_id", "turn", L.extract_json_block(F.col("text"), "array").alias("block"))
 
 
-_JSN = "SELECT doc_id, '{\"id\":' || CAST(doc_id AS STRING) || ',\"text\":\"' || replace(replace(text, chr(92), ' '), chr(34), ' ') || '\"' || CASE doc_id % 5 WHEN 3 THEN '' WHEN 4 THEN '}}' ELSE '}' END AS json_text FROM documents"
+_JSN = "SELECT doc_id, '{\"id\":' || CAST(doc_id AS STRING) || ',\"text\":\"' || replace(replace(text, chr(92), ' '), chr(34), ' ') || '\"' || CASE WHEN doc_id % 5 = 3 THEN '' WHEN doc_id % 5 = 4 THEN '}}' WHEN doc_id % 10 = 5 THEN '}] x {\"b\":2}' WHEN doc_id % 10 = 6 THEN '},\"end\":1' WHEN doc_id % 10 = 7 THEN '} trailing' ELSE '}' || chr(10) END AS json_text FROM documents"
 
 
-@query("l2_parse_tolerant_json", "SELECT doc_id, doc_id % 5 NOT IN (3, 4) AS ok, CASE WHEN doc_id % 5 NOT IN (3, 4) THEN replace(replace(text, chr(92), ' '), chr(34), ' ') END AS text FROM documents")
+@query("l2_parse_tolerant_json", "SELECT doc_id, doc_id % 5 NOT IN (3, 4) AND doc_id % 10 NOT IN (5, 6, 7) AS ok, CASE WHEN doc_id % 5 NOT IN (3, 4) AND doc_id % 10 NOT IN (5, 6, 7) THEN replace(replace(text, chr(92), ' '), chr(34), ' ') END AS text FROM documents")
 def l2(spark, sf):
     I.table(spark, sf, "documents").createOrReplaceTempView("documents")
     good, bad = L.parse_tolerant_json(spark.sql(_JSN), "json_text", "struct<id:bigint,text:string>")
     return good.select("doc_id", F.lit(True).alias("ok"), F.col("parsed.text").alias("text")).unionByName(bad.select("doc_id", F.lit(False).alias("ok"), F.lit(None).cast("string").alias("text")))
 
 
-@query("l3_truncated_repairs", "SELECT doc_id, 1 AS attempt, CASE WHEN length(text) > 16000 THEN left(text, 16000) || chr(10) || '...[truncated]' ELSE text END AS invalid_text FROM documents")
+@query("l3_truncated_repairs", "SELECT doc_id, 1 AS attempt, text AS invalid_text FROM documents")
 def l3(spark, sf):
-    return L.repair_queue(I.table(spark, sf, "documents").select("doc_id", "text"), "text", "array")[0]
+    return L.repair_queue(I.table(spark, sf, "documents").select("doc_id", "text"), "text")[0]
 
 
 _ALS = "SELECT event_id, '[\"' || event_type || '\",{\"text\":\"T' || CAST(user_id AS STRING) || '\",\"alias_type\":\"nickname\",\"is_primary\":' || CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END || '},{\"text\":\"b\"}]' AS j FROM events"
@@ -225,13 +225,14 @@ def l5(spark, sf):
 
 _SUG = "SELECT text_id AS novel_id, CASE WHEN text_id % 2 = 0 THEN ' New ' END AS title, CASE WHEN text_id % 3 = 0 THEN ' ' ELSE 'B' END AS author, 'g' AS genre, CAST(NULL AS STRING) AS description, CASE text_id % 4 WHEN 0 THEN 'auto' WHEN 1 THEN 'fr' ELSE '' END AS source_language, text AS sample FROM {}"
 _NV = "SELECT doc_id AS novel_id, 'Old' AS title, CASE WHEN doc_id % 5 = 0 THEN 'A' END AS author, CAST(NULL AS STRING) AS genre, 'd' AS description, CASE WHEN doc_id % 7 = 0 THEN 'zz' END AS source_language FROM documents"
+_NV6 = _NV.replace("WHEN doc_id % 7 = 0 THEN 'zz'", "WHEN doc_id % 7 = 0 THEN 'zz' WHEN doc_id % 7 = 1 THEN 'auto' WHEN doc_id % 7 = 2 THEN ' '")
 
 
-@query("l6_fill_metadata", f"SELECT n.novel_id, coalesce(nullif(trim(s.title), ''), n.title) AS title, coalesce(nullif(trim(s.author), ''), n.author) AS author, 'g' AS genre, 'd' AS description, CASE WHEN n.novel_id % 4 = 1 THEN 'fr' ELSE coalesce(n.source_language, l.lang) END AS source_language FROM ({_NV}) n JOIN ({_SUG.format(I.duck(I.scripts))}) s USING (novel_id) JOIN ({QT._LANG.replace('TEXTS', I.duck(I.scripts))}) l ON l.text_id = n.novel_id")
+@query("l6_fill_metadata", f"SELECT n.novel_id, coalesce(nullif(trim(s.title), ''), n.title) AS title, coalesce(nullif(trim(s.author), ''), n.author) AS author, 'g' AS genre, 'd' AS description, CASE WHEN n.novel_id % 4 = 1 THEN 'fr' ELSE coalesce(nullif(nullif(trim(n.source_language), ''), 'auto'), l.lang) END AS source_language FROM ({_NV6}) n JOIN ({_SUG.format(I.duck(I.scripts))}) s USING (novel_id) JOIN ({QT._LANG.replace('TEXTS', I.duck(I.scripts))}) l ON l.text_id = n.novel_id")
 def l6(spark, sf):
     I.run(spark, sf, I.scripts).createOrReplaceTempView("lw_scripts")
     I.table(spark, sf, "documents").createOrReplaceTempView("documents")
-    return L.fill_metadata(spark.sql(_NV), spark.sql(_SUG.format("lw_scripts")))
+    return L.fill_metadata(spark.sql(_NV6), spark.sql(_SUG.format("lw_scripts")))
 
 
 _LOG = "SELECT doc_id, 'Bearer ' || text || ' AIzaSy' || lpad(CAST(doc_id AS STRING), 12, '7') || ' x BEARER  tok-' || CAST(doc_id AS STRING) || ' AIzaShort' AS msg FROM documents"

@@ -118,7 +118,7 @@ def _cnt(cls):
 
 _LANG = f"""SELECT text_id, CASE WHEN kana >= 8 THEN 'ja' WHEN hangul >= 8 THEN 'ko' WHEN han >= 16 AND han > asc_n + vi THEN 'zh'
  WHEN vi >= 8 THEN 'vi' WHEN asc_n + vi >= 32 THEN 'en' END AS lang FROM (SELECT text_id, {_cnt('぀-ヿ')} AS kana, {_cnt('가-힯ᄀ-ᇿ')} AS hangul,
- {_cnt('㐀-䶿一-鿿豈-﫿')} AS han, {_cnt('A-Za-z')} AS asc_n, {_cnt(K.FOLD_FROM + K.FOLD_FROM.upper())} AS vi FROM (SELECT text_id, left(text, 12000) AS h FROM TEXTS))"""
+ {_cnt('㐀-䶿一-鿿豈-﫿')} AS han, {_cnt('A-Za-z')} AS asc_n, {_cnt(K.FOLD_FROM + K.FOLD_FROM.upper())} AS vi FROM (SELECT text_id, text AS h FROM TEXTS))"""
 
 
 @query("b9_detect_language", _LANG.replace("TEXTS", I.duck(I.scripts)))

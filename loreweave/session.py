@@ -15,6 +15,8 @@ def get_session(master: str | None = None, app: str = "loreweave", **conf: str)
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # text work is bound by the processor: small splits keep all cores busy
+        "spark.sql.files.maxPartitionBytes": "16m",
         "spark.ui.enabled": "false",
     }
     for k, v in {**base, **conf}.items():

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loreweave.functions import keys as K
-from loreweave.operators.segment import HAN, HANGUL, KANA, LANGUAGE_SAMPLE, MARKED, language_of_counts
+from loreweave.operators.segment import HAN, HANGUL, KANA, MARKED, language_of_counts
 from loreweave.sources.corpus import stable_id
 
 JOINED_BY = 2  # characters between two joined chapters (a blank line)
@@ -158,20 +158,19 @@ def update_novel_metadata(novels: DataFrame, updates: DataFrame, chapters: DataF
         F.when(~hit, F.col("source_language")).when(auto, F.col("_lang")).otherwise(F.col("_source_language")).alias("source_language"))
 
 
-def detect_novel_language(chapters: DataFrame) -> DataFrame:
-    """Language of each novel from its chapters joined by a blank line, without joining them.
-
-    Only the first 12,000 characters count, and every chapter but the first adds at least the blank line,
-    so at most the first 6,001 chapters of a novel matter; row_number with a limit is pruned before the
-    shuffle. Letters are counted per chapter on the part that lies inside the sample."""
-    w = Window.partitionBy("novel_id").orderBy("chapter_num")
-    head = F.left("content", F.lit(LANGUAGE_SAMPLE))
-    first = chapters.select("novel_id", "chapter_num", head.alias("content")).withColumn("_rn", F.row_number().over(w)).filter(
-        F.col("_rn") <= LANGUAGE_SAMPLE // JOINED_BY + 1)
-    before = F.coalesce(F.sum(F.length("content") + JOINED_BY).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    part = F.left("content", F.greatest(F.lit(LANGUAGE_SAMPLE) - F.col("_before"), F.lit(0)).cast("int"))
-    counted = first.withColumn("_before", before).filter(F.col("_before") < LANGUAGE_SAMPLE).withColumn("_part", part)
-    sums = counted.groupBy("novel_id").agg(*[
+def detect_novel_language(chapters: DataFrame, sample_chars: int | None = None) -> DataFrame:
+    """Language of each novel from all its chapters: letters are counted per chapter and summed, so the
+    chapters of a novel are never joined.
+
+    With ``sample_chars`` only so many characters of the chapters joined by blank lines count (the original
+    reads LANGUAGE_SAMPLE); the part of a chapter inside them follows from running sums."""
+    part = chapters.select("novel_id", F.col("content").alias("_part"))
+    if sample_chars is not None:
+        w = Window.partitionBy("novel_id").orderBy("chapter_num").rowsBetween(Window.unboundedPreceding, -1)
+        before = F.coalesce(F.sum(F.length("content") + JOINED_BY).over(w), F.lit(0))
+        left = F.greatest(F.lit(sample_chars) - before, F.lit(0)).cast("int")
+        part = chapters.select("novel_id", F.left("content", left).alias("_part"))
+    sums = part.groupBy("novel_id").agg(*[
         F.sum(F.length(F.regexp_replace("_part", f"[^{members}]+", ""))).alias(name) for name, members in
         (("han", HAN), ("kana", KANA), ("hangul", HANGUL), ("ascii", "A-Za-z"), ("marked", MARKED))])
     return sums.select("novel_id", language_of_counts(*[F.col(c) for c in ("han", "kana", "hangul", "ascii", "marked")]).alias("_lang"))

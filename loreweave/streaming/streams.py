@@ -143,10 +143,10 @@ def extract_tables(docs: DataFrame, chapters: DataFrame) -> tuple[DataFrame, Dat
     key = done["records"].select("chapter_id", "record_ord", "entity_key")
     none = F.lit(None).cast("string")
     own = rid(done["values"].join(key, ["chapter_id", "record_ord"])).select(
-        "record_id", "field_key", F.col("field_key").alias("field_label"), (F.col("ord") * 100000 + F.col("pos")).alias("pos"), "value_text", "confidence",
+        "record_id", "field_key", F.col("field_key").alias("field_label"), F.struct(F.col("ord").cast("long").alias("o"), F.col("pos").cast("long").alias("p")).alias("pos"), "value_text", "confidence",
         *[none.alias(c) for c in ("related_character", "relationship_type", "relationship_direction")], "evidence", "job_id", "chapter_id", "chapter_num")
     rel = rid(related["values"]).select(
-        "record_id", F.lit("relationship").alias("field_key"), F.lit("relationship").alias("field_label"), F.col("pos").cast("long").alias("pos"), F.col("value").alias("value_text"), "confidence",
+        "record_id", F.lit("relationship").alias("field_key"), F.lit("relationship").alias("field_label"), F.struct(F.lit(0).cast("long").alias("o"), F.col("pos").cast("long").alias("p")).alias("pos"), F.col("value").alias("value_text"), "confidence",
         F.col("related").alias("related_character"), F.col("rtype").alias("relationship_type"), F.col("direction").alias("relationship_direction"), "evidence", "job_id", "chapter_id", "chapter_num")
     return rec, own.unionByName(rel)
 

@@ -49,7 +49,9 @@ def test_requests_fill_in_template_order(spark):
 
 def test_repair_is_tried_once(spark):
     df = spark.createDataFrame([(1, "x" * 24001), (2, "short")], "id int, t string")
-    again, failed = L.repair_queue(df, "t", "object")
+    whole = {r.id: r.invalid_text for r in L.repair_queue(df, "t")[0].collect()}
+    assert whole == {1: "x" * 24001, 2: "short"}
+    again, failed = L.repair_queue(df, "t", limit=24000)
     rows = {r.id: r for r in again.collect()}
     assert rows[1].invalid_text == "x" * 24000 + "\n...[truncated]" and rows[2].invalid_text == "short" and rows[1].attempt == 1
     assert failed.count() == 0

@@ -187,7 +187,8 @@ def test_sentence_window(spark):
 
 def test_samples_take_first_middle_last(spark):
     df = spark.createDataFrame([(1, "k", i, i + 1, "x") for i in range(6)], "c int, group_key string, start_char int, end_char int, text string")
-    assert sorted(r.start_char for r in M.sample_for_confirmation(df, ["c"]).collect()) == [0, 2, 5]
+    assert sorted(r.start_char for r in M.sample_for_confirmation(df, ["c"], k=3).collect()) == [0, 2, 5]
+    assert M.sample_for_confirmation(df, ["c"]).count() == 6
 
 
 def test_quoted_spans_pair_greedily(spark):
