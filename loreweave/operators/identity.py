@@ -288,18 +288,41 @@ def _blocks(side: str) -> Column:
     ))
 
 
+def _presence(parts: Column) -> Column:
+    """Which of 64 hash classes the parts fall into, as bits."""
+    bits = F.transform(parts, lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(p), F.lit(64)).cast("int")))
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+
+
+def _letters(k: Column) -> Column:
+    return F.split(k, "")
+
+
+def _bigrams(k: Column) -> Column:
+    padded = F.concat(F.lit("^"), k, F.lit("$"))
+    return F.transform(F.sequence(F.lit(1), F.length(k) + 1), lambda i: F.substring(padded, i, F.lit(2)))
+
+
 def _block_rows(surfaces: DataFrame, scope: Sequence[str], side: str, out: str) -> DataFrame:
     """One row per distinct key and blocking key; the blocking key travels as a hash (pairs that only
-    share a hash are dropped by the comparison)."""
-    keys = surfaces.select(*scope, "skey").distinct().withColumn("_x", F.explode(_blocks(side)))
-    return keys.select(*scope, F.col("skey").alias(out), F.left("_x", F.lit(1)).alias("_kind"), F.xxhash64("_x").alias("_b"))
+    share a hash are dropped by the comparison). Letters and bigrams travel as bits."""
+    keys = surfaces.select(*scope, "skey").distinct()
+    keys = keys.withColumn("_one", _presence(_letters(F.col("skey")))).withColumn("_two", _presence(_bigrams(F.col("skey"))))
+    keys = keys.withColumn("_x", F.explode(_blocks(side)))
+    return keys.select(
+        *scope, F.col("skey").alias(out), F.col("_one").alias(out + "1"), F.col("_two").alias(out + "2"),
+        F.left("_x", F.lit(1)).alias("_kind"), F.xxhash64("_x").alias("_b"))
 
 
 def _can_reach(minimum: float) -> Column:
     """Only the part of the score that the blocking key stands for, cheapest form; the full score is
-    computed later, on distinct pairs."""
+    computed later, on distinct pairs.
+
+    One edit changes at most two letters and four bigrams (those it removes and those it adds), so keys
+    whose bits differ in more cannot be near; this spares nearly all edit distances."""
     a, b = F.col("_l"), F.col("_r")
-    near = F.expr(f"levenshtein(_l, _r, cast(floor(greatest(length(_l), length(_r)) * {1 - minimum!r} + 1e-9) as int)) >= 0")
+    most = f"cast(floor(greatest(length(_l), length(_r)) * {1 - minimum!r} + 1e-9) as int)"
+    near = F.expr(f"bit_count(_l2 ^ _r2) <= 4 * {most} AND bit_count(_l1 ^ _r1) <= 2 * {most} AND levenshtein(_l, _r, {most}) >= 0")
     return F.when(F.col("_kind") == "e", near).when(F.col("_kind") == "c", F.contains(a, b) | F.contains(b, a)).otherwise(F.lit(True))
 
 

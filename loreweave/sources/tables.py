@@ -58,7 +58,9 @@ class LogTable:
     def rows(self, spark: SparkSession, before: int | None = None) -> DataFrame | None:
         try:
             df = spark.read.option("basePath", self.path).parquet(self.path)
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":  # any other fault is not an empty table
+                raise
             return None
         df = df.withColumn("batch_id", F.col("batch_id").cast("long"))
         return df if before is None else df.filter(F.col("batch_id") < before)

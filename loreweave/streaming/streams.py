@@ -1,16 +1,19 @@
 """Structured Streaming jobs. Each micro-batch runs the batch operators over what is new and over the
 state of the touched keys only, so one hot job is spread over tasks like any other data.
 
-State lives in the append-only tables of ``sources.tables``, one folder per micro-batch.
+State per key (job status, newest run of a chapter) is kept by Spark's state store; tables that are rewritten chapter
+by chapter lie in ``sources.tables``, one folder per micro-batch.
 No event time is used: the reference order is the sequence number of a job.
 """
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loreweave.operators import oneshot as O
 from loreweave.operators import runs as R
@@ -19,75 +22,58 @@ from loreweave.sources import corpus as C
 from loreweave.session import cut_lineage
 from loreweave.sources.tables import LogTable, VersionedTable
 
-CHANNEL_CAPACITY = 256  # fixed value: events kept for a slow reader
 
-
-def run_batches(stream: DataFrame, checkpoint: str, step: Callable[[DataFrame, int], None], **trigger) -> StreamingQuery:
+def run_batches(stream: DataFrame, checkpoint: str, step: Callable[[DataFrame, int], None], mode: str = "append", **trigger) -> StreamingQuery:
     """Start a stream that hands every micro-batch to ``step``. Without a trigger, what is there is read
     once."""
     trigger = trigger or {"availableNow": True}
-    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(**trigger).foreachBatch(step).start()
+    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(**trigger).outputMode(mode).foreachBatch(step).start()
 
 
 # --- N1 ----------------------------------------------------------------------------------------
 
+JOB_STEPS = "sequence bigint, from_status string, to_status string, applied boolean"
 
-def job_state_step(state: LogTable, violations: LogTable) -> Callable[[DataFrame, int], None]:
-    """Live status per job. A step (job, sequence, status) that repeats or comes after a later one is
-    ignored, an illegal one goes to ``violations`` and changes nothing. Jobs start as pending."""
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = batch.groupBy("job_id", "sequence").agg(F.min("status").alias("target"))
-        touched = new.select("job_id").distinct()
-        old = state.latest(spark, batch_id, touched)
-        known = touched if old is None else touched.join(old, "job_id", "left")
-        for c, t in (("status", "string"), ("last_sequence", "bigint")):
-            if c not in known.columns:
-                known = known.withColumn(c, F.lit(None).cast(t))
-        known = known.withColumn("status", F.coalesce("status", F.lit("pending")))
-        fresh = new.join(known.select("job_id", "last_sequence"), "job_id").filter(
-            F.col("last_sequence").isNull() | (F.col("sequence") > F.col("last_sequence")))
-        empty = F.lit(None).cast("string")
-        jobs = known.select("job_id", "status", *[empty.alias(c) for c in ("started_at", "finished_at", "error_code", "error_message")])
-        requests = fresh.select("job_id", "sequence", "target", *[empty.alias(c) for c in ("at", "reason", "code")])
-        after, _, refused = R.replay_jobs(jobs, requests)
-        last = fresh.groupBy("job_id").agg(F.max("sequence").alias("last_sequence"))
-        state.append(after.select("job_id", "status").join(last, "job_id"), batch_id)
-        violations.append(refused, batch_id)
+def job_steps(steps: DataFrame) -> DataFrame:
+    """What becomes of each step (job_id, sequence, status) of a stream: job_id, sequence, from_status, to_status
+    and applied. A step that repeats or comes after a later one gives no row, an illegal one is not applied and changes
+    nothing. Jobs start as pending. Spark keeps status and last sequence per job as keyed state."""
+    key = steps.schema["job_id"].dataType.simpleString()
 
-    return step
+    def apply(job: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        status, last = state.get if state.exists else ("pending", None)
+        new = pd.concat(list(frames)).groupby("sequence")["status"].min().sort_index()
+        out = []
+        for sequence, target in new.items() if last is None else new[new.index > last].items():
+            legal = status == target or (status, target) in R.EDGES
+            out.append((job[0], sequence, status, target, legal))
+            status, last = target if legal else status, int(sequence)
+        if out:
+            state.update((status, last))
+        yield pd.DataFrame(out, columns=["job_id", "sequence", "from_status", "to_status", "applied"])
 
+    return steps.groupBy("job_id").applyInPandasWithState(
+        apply, f"job_id {key}, {JOB_STEPS}", "status string, last_sequence bigint", "append", GroupStateTimeout.NoTimeout)
 
-# --- N2 ----------------------------------------------------------------------------------------
 
+def job_state(steps: DataFrame) -> DataFrame:
+    """Status and last sequence per job, of the rows that ``job_steps`` wrote."""
+    after = F.when(F.col("applied"), F.col("to_status")).otherwise(F.col("from_status"))
+    return steps.groupBy("job_id").agg(F.max_by(after, "sequence").alias("status"), F.max("sequence").alias("last_sequence"))
 
-def feed_of_poll(events: DataFrame, subscribers: DataFrame, poll: str | None = None, capacity: int = CHANNEL_CAPACITY) -> DataFrame:
-    """What each subscribed project reads of the events since its last poll.
 
-    The channel is shared and keeps the newest ``capacity`` events. A reader that missed some gets one
-    ``resync_required`` row in their place, then the kept events of its project. ``poll`` names the
-    column that numbers the polls (none: all events belong to one)."""
-    e = events if poll else events.withColumn("_poll", F.lit(0))
-    p = poll or "_poll"
-    # the limit is pruned before the shuffle: each task passes on at most ``capacity`` rows of a poll
-    w = Window.partitionBy(p).orderBy(F.desc("sequence"))
-    kept = e.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= capacity).drop("_rn")
-    mine = kept.join(subscribers.select("project_id"), "project_id", "left_semi").select(p, "project_id", "event_type", "sequence")
-    behind = e.groupBy(p).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > capacity).select(p)
-    resync = behind.join(subscribers.select("project_id").distinct(), how="cross").select(
-        p, "project_id", F.lit("resync_required").alias("event_type"), F.lit(None).cast("bigint").alias("sequence"))
-    out = mine.unionByName(resync)
-    return out if poll else out.drop("_poll")
+def append_to(stream: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Write the rows of a stream to files, each once. Without a trigger, what is there is read once."""
+    return stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start(path)
 
 
-def project_feed_step(subscribers: DataFrame, feed: LogTable, capacity: int = CHANNEL_CAPACITY) -> Callable[[DataFrame, int], None]:
-    """N2 on a stream: one micro-batch is one poll. ``subscribers`` are the open readers, a short list."""
+# --- N2 ----------------------------------------------------------------------------------------
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        feed.append(feed_of_poll(batch, subscribers, None, capacity), batch_id)
 
-    return step
+def project_feed(events: DataFrame, subscribers: DataFrame) -> DataFrame:
+    """The events of subscribed projects; on tables and on streams."""
+    return events.join(subscribers.select("project_id"), "project_id", "left_semi").select("project_id", "event_type", "sequence")
 
 
 # --- N3 ----------------------------------------------------------------------------------------
@@ -154,28 +140,17 @@ def extract_tables(docs: DataFrame, chapters: DataFrame) -> tuple[DataFrame, Dat
 # --- N4 ----------------------------------------------------------------------------------------
 
 
-def progress_step(runs: LogTable, counts: LogTable) -> Callable[[DataFrame, int], None]:
-    """Chapter counts per job from run events (job_id, chapter_id, sequence, status). The newest event
-    of a chapter counts; only the difference to the state before goes into the counts."""
+def latest_chapter_runs(events: DataFrame) -> DataFrame:
+    """Newest status of each chapter of a job, of a stream of run events (job_id, chapter_id, sequence, status);
+    Spark keeps it as state of the aggregate. For output mode ``update``: changed chapters of each micro-batch."""
+    return events.groupBy("job_id", "chapter_id").agg(F.max_by("status", "sequence").alias("status"), F.max("sequence").alias("sequence"))
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = batch.groupBy("job_id", "chapter_id").agg(F.max_by(F.struct("status", "sequence"), "sequence").alias("_n")).select("job_id", "chapter_id", "_n.*")
-        old = runs.latest(spark, batch_id, new)
-        if old is None:
-            old = new.limit(0)
-        j = new.join(old.select("job_id", "chapter_id", F.col("status").alias("_was"), F.col("sequence").alias("_seq")), ["job_id", "chapter_id"], "left")
-        j = j.filter(F.col("_seq").isNull() | (F.col("sequence") > F.col("_seq")))
-        runs.append(j.select("job_id", "chapter_id", "status", "sequence"), batch_id)
-        names = ("pending", "running", "completed", "failed")
-        delta = j.groupBy("job_id").agg(*[
-            F.sum((F.col("status") == s).cast("long") - F.coalesce((F.col("_was") == s).cast("long"), F.lit(0))).alias(f"_{s}") for s in names])
-        before = counts.latest(spark, batch_id, delta)
-        if before is None:
-            before = delta.select("job_id", *[F.lit(0).cast("long").alias(s) for s in names]).limit(0)
-        counts.append(
-            delta.join(before, "job_id", "left").select("job_id", *[(F.coalesce(s, F.lit(0)) + F.col(f"_{s}")).alias(s) for s in names]), batch_id)
 
-    return step
+def progress_step(log: LogTable) -> Callable[[DataFrame, int], None]:
+    """Sink of ``latest_chapter_runs``: the changed chapters of a micro-batch."""
+    return lambda batch, batch_id: log.append(batch, batch_id)
 
 
+def progress(latest: DataFrame) -> DataFrame:
+    """Chapter counts per job."""
+    return latest.groupBy("job_id").agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("pending", "running", "completed", "failed")])

@@ -106,37 +106,51 @@ def test_job_stream_over_batches(spark, tmp_path):
     steps = [[(1, 1, "running"), (1, 2, "paused"), (2, 1, "completed")], [(1, 2, "paused"), (1, 3, "running"), (2, 2, "running")], [(1, 1, "cancelled"), (1, 4, "completed")]]
     source, base = str(tmp_path / "in"), str(tmp_path / "s")
     schema = "job_id int, sequence long, status string"
-    state, bad = N.LogTable(f"{base}/state", ["job_id"]), N.LogTable(f"{base}/bad", ["job_id", "sequence"])
     for rows in steps:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
-        N.run_batches(spark.readStream.schema(schema).parquet(source), f"{base}/cp", N.job_state_step(state, bad)).awaitTermination()
-    assert {r.job_id: (r.status, r.last_sequence) for r in state.latest(spark).filter("status <> 'x'").collect()} == {1: ("completed", 4), 2: ("running", 2)}
-    assert [(r.job_id, r.sequence, r.from_status, r.to_status) for r in bad.rows(spark).collect()] == [(2, 1, "pending", "completed")]
+        N.append_to(N.job_steps(spark.readStream.schema(schema).parquet(source)), f"{base}/out", f"{base}/cp").awaitTermination()
+    out = spark.read.parquet(f"{base}/out")
+    assert {r.job_id: (r.status, r.last_sequence) for r in N.job_state(out).collect()} == {1: ("completed", 4), 2: ("running", 2)}
+    assert [(r.job_id, r.sequence, r.from_status, r.to_status) for r in out.filter("NOT applied").collect()] == [(2, 1, "pending", "completed")]
 
 
 def test_progress_stream_counts_the_latest_run(spark, tmp_path):
     source, base = str(tmp_path / "in"), str(tmp_path / "p")
     schema = "job_id int, chapter_id int, sequence long, status string"
-    runs, counts = N.LogTable(f"{base}/r", ["job_id", "chapter_id"]), N.LogTable(f"{base}/c", ["job_id"])
+    log = N.LogTable(f"{base}/r", ["job_id", "chapter_id"])
     for rows in ([(1, 1, 1, "running"), (1, 2, 2, "running")], [(1, 1, 3, "completed"), (1, 3, 4, "failed")], [(1, 1, 2, "running"), (1, 2, 5, "completed")]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
-        N.run_batches(spark.readStream.schema(schema).parquet(source), f"{base}/cp", N.progress_step(runs, counts)).awaitTermination()
-    r = counts.latest(spark).first()
+        runs = N.latest_chapter_runs(spark.readStream.schema(schema).parquet(source))
+        N.run_batches(runs, f"{base}/cp", N.progress_step(log), mode="update").awaitTermination()
+    r = N.progress(log.latest(spark)).first()
     assert (r.pending, r.running, r.completed, r.failed) == (0, 0, 2, 1)
 
 
-def test_feed_tells_slow_readers_to_resync(spark):
+def test_read_faults_of_a_table_are_not_hidden(spark, tmp_path):
+    import pytest
+    from pyspark.errors import AnalysisException
+
+    log = N.LogTable(str(tmp_path / "log"), ["k"])
+    assert log.rows(spark) is None
+    (tmp_path / "log" / "batch_id=0").mkdir(parents=True)
+    (tmp_path / "log" / "batch_id=0" / "part-0.parquet").write_text("broken")
+    with pytest.raises(Exception) as seen:
+        log.rows(spark).collect()
+    assert not isinstance(seen.value, AnalysisException) or seen.value.getCondition() != "PATH_NOT_FOUND"
+
+
+def test_feed_keeps_subscribed_projects(spark):
     e = spark.createDataFrame([(i % 2, "t", i) for i in range(10)], "project_id int, event_type string, sequence long")
     subs = spark.createDataFrame([(0,)], "project_id int")
-    got = sorted((r.event_type, r.sequence) for r in N.feed_of_poll(e, subs, capacity=4).collect())
-    assert got == [("resync_required", None), ("t", 6), ("t", 8)]
-    assert len(N.feed_of_poll(e, subs, capacity=10).collect()) == 5
+    assert sorted(r.sequence for r in N.project_feed(e, subs).collect()) == [0, 2, 4, 6, 8]
 
 
 def test_registry_is_complete():
-    import __spark_entry__ as entry
+    from loreweave.plans import load_all
+    from loreweave.plans.registry import ORACLES, QUERIES
 
-    q, o = entry.queries(), entry.oracle_sql()
+    load_all()
+    q, o = QUERIES, ORACLES
     assert set(o) <= set(q) and len(q) > 150
     without = {n for n in q if n not in o}
     assert without == {"e17_apply_alias_ownership", "e17_ownership_report", "i3_merge_probable_aliases", "i8_merge_relationship_values", "i12_known_relationship_context",
