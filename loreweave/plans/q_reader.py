@@ -193,13 +193,11 @@ def d17(spark, sf):
 
 
 # --- M ---------------------------------------------------------------------------------------
-def _as_of(spark, sf):
-    return I.run(spark, sf, I.chapters).select("novel_id", F.col("chapter_num").alias("as_of"))
-
-
-@query("m1_visible_as_of", f"SELECT c.chapter_num AS as_of, r.record_id FROM {CR} r JOIN {CH} c ON c.novel_id = r.novel_id AND r.chapter_num <= c.chapter_num")
+@query("m1_visible_as_of", f"SELECT record_id, chapter_num AS visible_from FROM {CR} r WHERE chapter_num <= (SELECT max(chapter_num) // 2 FROM {CH})")
 def m1(spark, sf):
-    return M.visible_as_of(QR.char_recs(spark, sf), _as_of(spark, sf)).select("as_of", "record_id")
+    """What a reader in the middle of the chapters may see."""
+    half = I.run(spark, sf, I.chapters).agg(F.max("chapter_num")).first()[0] // 2
+    return M.visible_as_of(QR.char_recs(spark, sf), half).select("record_id", "visible_from")
 
 
 @query("m2_identity_group_key", f"SELECT record_id, {_IDK} AS group_key, chapter_num || ':' || {_IDK} AS selection_key FROM {CR}")
@@ -232,16 +230,19 @@ def m4(spark, sf):
     rid = F.concat_ws("/", F.col("chapter_id").cast("string"), "entity_key").alias("record_id")
     relations = built["records"].join(ch, "chapter_id").select("novel_id", rid, "chapter_num", "entity_key", "display_name")
     values = built["values"].select(rid, "pos", "value", "related", "evidence")
-    return M.relationship_summaries(rec, relations, values)
+    out = M.relationship_summaries(rec, relations, values)
+    return out.withColumn("quotes", F.array_join(F.transform("quotes", lambda q: F.concat_ws(":", q["chapter_num"].cast("string"), q["quote"])), "|"))
 
 
-@query("m5_attribute_rollup", f"""WITH r AS (SELECT *, {_IDK} AS ik FROM {CR}) SELECT r.novel_id, ik AS identity_key, lower(field_key) AS field, min_by(value_text, (r.chapter_num, r.display_name, r.record_id, pos)) AS value_text, q AS quote_key, min(r.chapter_num) AS chapter_num, count(*) AS seen
-FROM (SELECT record_id, field_key, value_text, pos, lower(coalesce(quote, '')) AS q FROM {CV}) v JOIN r ON r.record_id = v.record_id WHERE lower(field_key) NOT IN {_ALF} GROUP BY r.novel_id, ik, lower(field_key), lower(value_text), q""")
+@query("m5_attribute_rollup", f"""WITH r AS (SELECT *, {_IDK} AS ik FROM {CR}) SELECT r.novel_id, ik AS identity_key, lower(field_key) AS field, min_by(value_text, (r.chapter_num, r.display_name, r.record_id, pos)) AS value_text, q AS quote_key, min(r.chapter_num) AS chapter_num, count(*) AS seen, coalesce(string_agg(DISTINCT quote, '|' ORDER BY quote), '') AS quotes
+FROM (SELECT record_id, field_key, value_text, pos, quote, lower(coalesce(quote, '')) AS q FROM {CV}) v JOIN r ON r.record_id = v.record_id WHERE lower(field_key) NOT IN {_ALF} GROUP BY r.novel_id, ik, lower(field_key), lower(value_text), q""")
 def m5(spark, sf):
-    return M.attribute_rollup(QR.char_recs(spark, sf), QR.char_values(spark, sf))
+    return M.attribute_rollup(QR.char_recs(spark, sf), QR.char_values(spark, sf)).withColumn("quotes", F.array_join("quotes", "|"))
 
 
-@query("m6_identity_records", f"""WITH r AS (SELECT *, {_IDK} AS ik FROM {CR}), v AS (SELECT r.novel_id, c.chapter_num AS as_of, ik, record_id, r.chapter_num, display_name FROM r JOIN {CH} c ON c.novel_id = r.novel_id AND r.chapter_num <= c.chapter_num)
-SELECT novel_id, as_of, ik AS identity_key, record_id FROM v QUALIFY row_number() OVER (PARTITION BY novel_id, as_of, ik ORDER BY (chapter_num <> as_of), chapter_num, display_name, record_id) = 1""")
+@query("m6_identity_records", f"""WITH o AS (SELECT novel_id, {_IDK} AS ik, chapter_num AS c, min_by(record_id, (display_name, record_id)) AS own FROM {CR} GROUP BY 1, 2, 3),
+w AS (SELECT *, first(own) OVER i AS f, row_number() OVER i AS n, lead(c) OVER i - 1 AS e FROM o WINDOW i AS (PARTITION BY novel_id, ik ORDER BY c))
+SELECT novel_id, ik AS identity_key, own AS record_id, c AS from_chapter, CASE WHEN n = 1 THEN e ELSE c END AS to_chapter FROM w
+UNION ALL SELECT novel_id, ik, f, c + 1, e FROM w WHERE n > 1 AND (e IS NULL OR e > c)""")
 def m6(spark, sf):
-    return M.identity_records(QR.char_recs(spark, sf), _as_of(spark, sf))
+    return M.identity_records(QR.char_recs(spark, sf))

@@ -46,3 +46,12 @@ def test_language_reads_the_whole_text(spark):
     text = "word " * 3000 + "かな" * 10
     got = spark.createDataFrame([(text,)], "t string").select(detect_language(F.col("t")).alias("whole"), detect_language(F.col("t"), 12000).alias("head")).first()
     assert (got.whole, got["head"]) == ("ja", "en")
+
+
+def test_record_to_show_changes_only_in_its_chapters(spark):
+    rows = [("n", "han", "Han", c, f"r{c}") for c in (2, 5, 6, 9)]
+    rec = spark.createDataFrame(rows, "novel_id string, entity_key string, display_name string, chapter_num long, record_id string")
+    changes = R.identity_records(rec)
+    shown = {c: [r.record_id for r in R.identity_records_at(changes, c).collect()] for c in range(1, 12)}
+    assert shown[1] == [] and all(shown[c] == [f"r{c}" if c in (5, 6, 9) else "r2"] for c in range(2, 12))
+    assert {r.record_id for r in R.visible_as_of(rec, 5).collect()} == {"r2", "r5"}
