@@ -37,8 +37,14 @@ def relationship_identities(records: DataFrame, mentions: DataFrame, scope: Sequ
 
 def quote_in_text(text: Column, quote: Column) -> Column:
     """H3: the quote is in the text, as it is or after both collapse white space."""
-    q = K.trim_ws(quote)
-    return F.coalesce((q != "") & (F.contains(text, q) | F.contains(K.squeeze_ws(text), K.squeeze_ws(q))), F.lit(False))
+    return quote_in_flat(K.squeeze_ws(text), quote)
+
+
+def quote_in_flat(flat: Column, quote: Column) -> Column:
+    """H3 for a text whose white space is collapsed already. A quote that is in the text as it is, is also in it
+    after both are collapsed, so one search decides."""
+    q = K.squeeze_ws(quote)
+    return F.coalesce((q != "") & F.contains(flat, q), F.lit(False))
 
 
 def unique_surfaces(identities: DataFrame, scope: Sequence[str], ident: str) -> DataFrame:
@@ -63,7 +69,9 @@ def resolve_relationship_candidates(
     c = c.join(side("s", "source_idx"), [*scope, "_s"], "left").join(side("t", "target_idx"), [*scope, "_t"], "left")
     # only quoted candidates need the text; one row per quote keeps the text out of arrays
     quoted = c.select(*scope, "cand_id", F.explode("quotes").alias("_q"))
-    grounded = quoted.join(chapters.select(*scope, "content"), list(scope)).filter(quote_in_text(F.col("content"), F.col("_q"))).select(
+    # white space is collapsed once per chapter, before its quotes meet it
+    flat = chapters.select(*scope, K.squeeze_ws(F.col("content")).alias("_flat"))
+    grounded = quoted.join(flat, list(scope)).filter(quote_in_flat(F.col("_flat"), F.col("_q"))).select(
         *scope, "cand_id").distinct().withColumn("_grounded", F.lit(True))
     c = c.join(grounded, [*scope, "cand_id"], "left")
     code = (
