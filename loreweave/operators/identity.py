@@ -639,24 +639,50 @@ def resolve_over_chapters(
 
     ``observed`` also has ``position`` (0, 1, ... per novel). Chapters of one novel depend on each
     other, so the driver walks over positions, every pass resolves that position of all novels at once
-    and sees only what was known before. State is checkpointed per pass."""
-    keys = [*scope, "observed_id"]
+    and sees only what was known before, reading the texts of that position only. State is checkpointed
+    per pass."""
     last = observed.agg(F.max("position")).first()[0]
     state, outcomes = start, None
     for position in range(-1 if last is None else int(last) + 1):
         now = observed.filter(F.col("position") == position).drop("position")
-        out = cut_lineage(resolve_identities(now, state, texts, merge_decisions, creation_decisions, scope).withColumn(
+        here = texts.join(now.select(*scope, "text_id").distinct(), [*scope, "text_id"], "left_semi")
+        out = cut_lineage(resolve_identities(now, state, here, merge_decisions, creation_decisions, scope).withColumn(
             "position", F.lit(position)))
-        new = out.filter("applied = 'create_new'").join(now, keys).select(
-            *scope, F.lit("stored").alias("source"), F.col("observed_id").alias("cand_id"),
-            K.ascii_key(F.col("name")).alias("target_key"), F.col("name").alias("display_name"), "aliases",
-            F.col("text_id").alias("chapter_num"), F.col("observed_id").alias("ord"),
-        )
-        state = cut_lineage(state.select(*new.columns).unionByName(new))
+        state = cut_lineage(learn(state, now, out, scope))
         outcomes = out if outcomes is None else outcomes.unionByName(out)
     return outcomes, state
 
 
+def learn(state: DataFrame, now: DataFrame, out: DataFrame, scope: Sequence[str] = ("novel_id",)) -> DataFrame:
+    """E20 between two positions: the characters known after the outcomes ``out`` of the observed ``now``.
+
+    New names are united by key (E16) and keep the aliases that are no known name (E14); a matched
+    character absorbs what was observed (E15), in all its entries of one target key. New ids are derived, so
+    that they never equal the id of an earlier character."""
+    keys = [*scope, "observed_id"]
+    empty = F.array().cast("array<string>")
+    new = out.filter("applied = 'create_new'").select(*keys).join(now, keys).withColumn("_head", K.text_key(F.col("name")))
+    heads = new.groupBy(*scope, "_head").agg(F.min_by(F.struct("observed_id", "name", "text_id"), "observed_id").alias("_h"))
+    known = state.select(*scope, "display_name").unionByName(heads.select(*scope, F.col("_h.name").alias("display_name")))
+    said = new.join(heads, [*scope, "_head"]).select(*scope, "_head", F.col("_h.name").alias("name"), "observed_id", F.posexplode("aliases").alias("_i", "text")).select(
+        *scope, "_head", "name", F.struct("observed_id", "_i").alias("ord"), "text", F.lit("other_alias").alias("alias_type"), F.lit("").alias("alias_label"),
+        F.lit(False).alias("is_primary"), empty.alias("quotes"))
+    kept = sanitize_new_identity(said, known, [*scope, "_head"], scope).groupBy(*scope, "_head").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]).alias("aliases"))
+    fresh = heads.join(kept, [*scope, "_head"], "left").select(
+        *scope, F.lit("stored").alias("source"), F.concat_ws(":", F.lit("new"), F.col("_h.observed_id").cast("string")).alias("cand_id"),
+        K.ascii_key(F.col("_h.name")).alias("target_key"), F.col("_h.name").alias("display_name"), F.coalesce("aliases", empty).alias("aliases"),
+        F.col("_h.text_id").alias("chapter_num"), F.col("_h.observed_id").alias("ord"))
+
+    matches = out.filter("cand_id IS NOT NULL").select(*keys, "cand_id")
+    target = matches.join(state.select(*scope, "cand_id", "target_key").distinct(), [*scope, "cand_id"]).drop("cand_id")
+    taken = absorb_observed(matches, now, state, known, scope).join(target, keys).groupBy(*scope, "target_key", K.text_key(F.col("text")).alias("_k")).agg(
+        F.min(F.struct(F.col("ord.g").alias("g"), "observed_id", F.col("ord.i").alias("i"), "text")).alias("_t"))
+    lists = taken.groupBy(*scope, "target_key").agg(F.transform(F.array_sort(F.collect_list("_t")), lambda x: x["text"]).alias("_aliases"))
+    held = state.join(lists, [*scope, "target_key"], "left").withColumn("aliases", F.coalesce("_aliases", "aliases"))
+    return held.select(*fresh.columns).unionByName(fresh)
+
+
 def merge_identity_list(aliases: DataFrame, scope: Sequence[str] = ("chunk_id",)) -> DataFrame:
     """Identities of one name become one; the first spelling wins, aliases are united by E4.
     ``aliases`` as in ``push_alias`` with scope columns."""

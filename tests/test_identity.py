@@ -117,7 +117,18 @@ def test_resolver_walks_over_chapters(spark):
     out, state = E.resolve_over_chapters(obs, start, texts, none, created)
     got = {r.observed_id: (r.applied, r.cand_id) for r in out.collect()}
     assert got["a"] == ("create_new", None) and got["e"] == ("create_new", None)
-    assert got["b"] == ("match", "a")
+    assert got["b"] == ("match", "new:a")
     assert got["c"] == ("create_new", None)
     assert got["d"][0] in ("ignore_known_name_phrase", "reject_known_name_phrase")
-    assert sorted((r.novel_id, r.cand_id) for r in state.collect()) == [(1, "a"), (1, "c"), (2, "e")]
+    assert sorted((r.novel_id, r.cand_id) for r in state.collect()) == [(1, "new:a"), (1, "new:c"), (2, "new:e")]
+
+
+def test_state_learns_aliases_and_unites_names(spark):
+    state = spark.createDataFrame([(1, "stored", "s1", "han_lap", "Han Lap", ["Old Han Ma"], 1, "s1"), (1, "alias_map", "m1", "han_lap", "Han Lap", ["Old Han Ma"], 1, "m1")],
+                                  "novel_id int, source string, cand_id string, target_key string, display_name string, aliases array<string>, chapter_num int, ord string")
+    now = spark.createDataFrame([("o1", "Han Lap", ["Young Han Ma", "Lao To Su"], 5), ("o2", "Lao To Su", ["Han Lap", "Ma Thien Vu"], 5), ("o3", "lao to su", ["Vo Lam Chu"], 5)],
+                                "observed_id string, name string, aliases array<string>, text_id int").withColumn("novel_id", F.lit(1))
+    out = spark.createDataFrame([(1, "o1", "match", "s1"), (1, "o2", "create_new", None), (1, "o3", "create_new", None)], "novel_id int, observed_id string, applied string, cand_id string")
+    got = {r.cand_id: (r.display_name, r.aliases) for r in E.learn(state, now, out).collect()}
+    assert got["s1"] == got["m1"] == ("Han Lap", ["Old Han Ma", "Young Han Ma"])
+    assert got["new:o2"] == ("Lao To Su", ["Ma Thien Vu", "Vo Lam Chu"]) and len(got) == 3
