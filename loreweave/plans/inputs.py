@@ -163,7 +163,7 @@ def one_characters(d: str) -> str:
 def one_relationships(d: str) -> str:
     return f"""SELECT chapter_id, chapter_num, pos AS ord, CASE WHEN pos % 2 = 0 THEN name ELSE split_part(name, ' ', 1) END AS source_name, next_name AS target_name,
  CASE pos % 7 WHEN 6 THEN 'event' WHEN 5 THEN 'Organization hierarchy' ELSE 'kinship' END AS rel_scope, CASE pos % 5 WHEN 4 THEN ' ' WHEN 3 THEN 'Old Uncle' ELSE 'uncle' END AS rel_type,
- CASE pos % 3 WHEN 0 THEN 'uncle' WHEN 1 THEN ' uncle by blood' ELSE 'elder' END AS forward, CASE WHEN pos % 9 = 8 THEN '' ELSE 'nephew' END AS backward,
+ CASE pos % 3 WHEN 0 THEN 'miller' WHEN 1 THEN ' miller of the ford' ELSE 'ferryman' END AS forward, CASE WHEN pos % 9 = 8 THEN '' ELSE 'nephew' END AS backward,
  CASE WHEN pos % 13 = 12 THEN 0.4 ELSE 0.5 + (pos % 5) / 10.0 END AS confidence, CASE pos % 8 WHEN 7 THEN name || ' missing' ELSE name END AS quote FROM ({_next(d)}) _n"""
 
 

@@ -97,11 +97,11 @@ def test_folds_chain_and_exact_wins(spark):
 
 
 def test_label_variants_collapse_and_keep_evidence(spark):
-    rows = [(0, 0, True, "uncle", "Han", "self_to_related", "kinship", 0.6, [(1, 5, 9, "first", "r")]), (1, 0, False, "uncle by blood", "Han", "self_to_related", "kinship_blood", 0.9, [(1, 1, 4, "second", "r")]),
+    rows = [(0, 0, True, "miller", "Han", "self_to_related", "trade", 0.6, [(1, 5, 9, "first", "r")]), (1, 0, False, "miller of the ford", "Han", "self_to_related", "trade_ford", 0.9, [(1, 1, 4, "second", "r")]),
             (2, 0, False, "boss", "Han", "self_to_related", "work", None, [(1, 1, 4, "second", "r")])]
     df = spark.createDataFrame([("c", "p", *r) for r in rows], "chapter_id string, entity_key string, ord int, pos int, first boolean, value string, related string, direction string, rtype string, confidence double, evidence " + EV)
     got = [(r.value, r.rtype, r.confidence, [e.quote for e in r.evidence]) for r in O.merge_relationship_values(df, ["chapter_id", "entity_key"]).orderBy("pos").collect()]
-    assert got == [("uncle by blood", "kinship_blood", 0.9, ["second", "first"]), ("boss", "work", None, ["second"])]
+    assert got == [("miller of the ford", "trade_ford", 0.9, ["second", "first"]), ("boss", "work", None, ["second"])]
 
 
 def context(spark, records, present, limit=24):
