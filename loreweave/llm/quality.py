@@ -16,9 +16,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textmodel import BITS, Sample, descend, margin_column, sampled, sigmoid
+from .textmodel import BITS, Sample, descend, margin_column, sampled, screen, sigmoid
 
-MOST_ROWS, MOST_BYTES = 20_000, 64 << 20
+MOST_ROWS, MOST_BYTES = 12_000, 32 << 20
 
 
 def fit(texts: list[str | None], grades: list[int]) -> tuple[np.ndarray, list[float], list[int]]:
@@ -28,7 +28,7 @@ def fit(texts: list[str | None], grades: list[int]) -> tuple[np.ndarray, list[fl
         return np.zeros(1 << BITS, np.float32), [], levels
     y = np.searchsorted(levels, np.array(grades))
     at_least = [(y >= k).astype(float) for k in range(1, len(levels))]
-    x = Sample(texts, style=True).screened(at_least, 3.5, np.zeros(0, np.int64))
+    x = Sample(texts, screen(texts, at_least, 3.5, style=True), style=True)
     cuts = len(at_least)
 
     def thresholds(w: np.ndarray) -> np.ndarray:
@@ -61,7 +61,7 @@ def fit(texts: list[str | None], grades: list[int]) -> tuple[np.ndarray, list[fl
 def train(docs: DataFrame, ratings: DataFrame, learn: Column) -> tuple[np.ndarray, list[float], list[int]]:
     """Fit on a bounded sample of the rows of ``docs`` that have a ``grade`` in ``ratings`` and for which ``learn`` holds."""
     known = ratings.select("doc_id", "grade").filter(learn & F.col("grade").isNotNull())
-    rows = sampled(docs.select("doc_id", "text").join(known, "doc_id"), MOST_ROWS, MOST_BYTES).toPandas()
+    rows = sampled(docs, known, MOST_ROWS, MOST_BYTES).toPandas()
     rows = rows.sort_values(["doc_id", "text", "grade"], na_position="first")
     return fit([t if isinstance(t, str) else None for t in rows["text"]], [int(v) for v in rows["grade"]])
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import Words, chunks, mix, shingles
+from .common import small, stage
 
 BITS = 20
 #: Beginnings of words that are features of their own, in bytes.
@@ -67,43 +68,39 @@ def manners(w: Words, data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.nd
     return out
 
 
+def screen(texts: list[str | None], targets: list[np.ndarray], errors: float, least: int = 3, style: bool = False) -> np.ndarray:
+    """Features that at least ``least`` texts hold and whose correlation with a target is beyond ``errors`` standard
+    errors, in rising order. Only sums per feature are held, never the vectors of all texts."""
+    n = max(1, len(texts))
+    held, total, square = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS), np.zeros(1 << BITS)
+    cross = [np.zeros(1 << BITS) for _ in targets]
+    for first, end, data, offsets in chunks(pa.array(texts, pa.large_string())):
+        row, col, value = features(data, offsets, style)
+        np.add.at(held, col, 1)
+        np.add.at(total, col, value)
+        np.add.at(square, col, value**2)
+        for c, y in zip(cross, targets):
+            np.add.at(c, col, value * (y[first:end] - y.mean())[row])
+    spread = np.sqrt(np.maximum(square / n - (total / n) ** 2, 1e-9))
+    keep = np.zeros(1 << BITS, bool)
+    for c, y in zip(cross, targets):
+        keep |= np.abs(c) / np.sqrt(n) > errors * spread * max(float(y.std()), 1e-9)
+    return np.flatnonzero(keep & (held >= least))
+
+
 class Sample:
-    """Labelled vectors as one sparse matrix; features that fewer than ``least`` texts hold are left out."""
+    """Vectors of some texts as one sparse matrix over the given features."""
 
-    def __init__(self, texts: list[str | None], least: int = 3, style: bool = False):
-        parts, done = [], 0
+    def __init__(self, texts: list[str | None], used: np.ndarray, style: bool = False):
+        place = np.full(1 << BITS, -1)
+        place[used] = np.arange(len(used))
+        self.n, self.used = len(texts), used
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         for first, _, data, offsets in chunks(pa.array(texts, pa.large_string())):
             row, col, value = features(data, offsets, style)
-            parts.append((row + first, col, value))
-        self.n = len(texts)
-        self.row, col, self.value = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0) for i in range(3))
-        self.row, col = self.row.astype(np.int64), col.astype(np.int64)
-        held = np.bincount(col, minlength=1 << BITS)
-        self.used = np.flatnonzero(held >= least)
-        place = np.full(1 << BITS, -1)
-        place[self.used] = np.arange(len(self.used))
-        keep = place[col] >= 0
-        self.row, self.col, self.value = self.row[keep], place[col][keep], self.value[keep].astype(np.float64)
-
-    def screened(self, targets: list[np.ndarray], least: float, always: np.ndarray) -> Sample:
-        """Only features whose correlation with a target is beyond ``least`` standard errors, or named in ``always``."""
-        n = max(1, self.n)
-        mean = self.back(np.ones(self.n)) / n
-        spread = np.sqrt(np.maximum(np.bincount(self.col, self.value**2, len(self.used)) / n - mean**2, 1e-9))
-        keep = np.isin(self.used, always)
-        for y in targets:
-            keep |= np.abs(self.back(y - y.mean()) / n) * np.sqrt(n) > least * spread * max(float(y.std()), 1e-9)
-        return self.only(self.used[keep])
-
-    def only(self, features: np.ndarray) -> Sample:
-        """The same rows over these features, given in rising order."""
-        place = np.full(1 << BITS, -1)
-        place[features] = np.arange(len(features))
-        column = place[self.used][self.col] if len(self.col) else self.col
-        held, out = column >= 0, Sample([])
-        out.n, out.used = self.n, features
-        out.row, out.col, out.value = self.row[held], column[held], self.value[held]
-        return out
+            keep = place[col] >= 0
+            parts.append((row[keep] + first, place[col][keep], value[keep].astype(np.float64)))
+        self.row, self.col, self.value = (np.concatenate(x) for x in zip(*parts))
 
     def times(self, weights: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.value * weights[self.col], self.n)
@@ -144,12 +141,18 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def sampled(rows: DataFrame, most_rows: int, most_bytes: int) -> DataFrame:
-    """The rows, if they are within both bounds; else a share of them, chosen by a hash of the id, that is
-    expected to be."""
-    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()
-    share = min(1.0, most_rows / max(1, n), most_bytes / max(1, size))
-    return rows if share == 1 else rows.filter(F.pmod(F.xxhash64(F.lit(8), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+def sampled(docs: DataFrame, known: DataFrame, most_rows: int, most_bytes: int) -> DataFrame:
+    """(doc_id, text, label) of the rows of ``docs`` that ``known`` (doc_id, label) names: all of them, or a share chosen by
+    a hash of the id that is expected to be within both bounds. The choice is made among the labels, before any text
+    is read, so that texts are not shuffled."""
+
+    def part(df: DataFrame, share: float, seed: int) -> DataFrame:
+        return df if share >= 1 else df.filter(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+    chosen = stage(part(known, most_rows / max(1, known.count()), 8), "sample-labels")
+    rows = stage(docs.select("doc_id", "text").join(small(chosen), "doc_id"), "sample-texts")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
+    return part(rows, most_bytes / max(1, size), 9)
 
 
 def margins(texts: pa.Array, weights: np.ndarray, style: bool = False) -> np.ndarray:

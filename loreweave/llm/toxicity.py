@@ -20,9 +20,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textmodel import Sample, descend, margin_column, sampled, sigmoid
+from .textmodel import Sample, descend, margin_column, sampled, screen, sigmoid
 
-MOST_ROWS, MOST_BYTES = 20_000, 64 << 20
+MOST_ROWS, MOST_BYTES = 12_000, 32 << 20
 THRESHOLD = 0.7
 
 #: Names of groups that may stand for each other, by kind.
@@ -58,9 +58,8 @@ def fit(texts: list[str | None], labels: list[int], penalty: float = 10.0, ident
         share = min(max(float(y.mean()) if len(y) else 0.0, 1e-6), 1 - 1e-6)
         return np.zeros(1 << 20, np.float32), float(np.log(share / (1 - share)))
     pairs = [p for t in texts for p in counterfactuals(t, identities)]
-    left, right = Sample([a for a, _ in pairs], least=1), Sample([b for _, b in pairs], least=1)
-    x = Sample(texts).screened([y], 3.5, np.zeros(0, np.int64))
-    left, right = left.only(x.used), right.only(x.used)
+    used = screen(texts, [y], 3.5)
+    x, left, right = Sample(texts, used), Sample([a for a, _ in pairs], used), Sample([b for _, b in pairs], used)
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     m = max(1, len(pairs))
 
@@ -79,7 +78,7 @@ def fit(texts: list[str | None], labels: list[int], penalty: float = 10.0, ident
 def train(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[np.ndarray, float]:
     """Fit on a bounded sample of the labelled rows of ``docs`` for which ``learn`` (over doc_id) holds."""
     known = labels.select(F.col("doc_id"), F.col("toxic").alias("label")).filter(learn & F.col("label").isNotNull())
-    rows = sampled(docs.select("doc_id", "text").join(known, "doc_id"), MOST_ROWS, MOST_BYTES).toPandas()
+    rows = sampled(docs, known, MOST_ROWS, MOST_BYTES).toPandas()
     rows = rows.sort_values(["doc_id", "text", "label"], na_position="first")
     return fit([t if isinstance(t, str) else None for t in rows["text"]], [int(v) for v in rows["label"]])
 
