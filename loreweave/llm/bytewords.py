@@ -16,7 +16,9 @@ for _low, _high in ((48, 58), (65, 91), (97, 123), (128, 256)):
     _IS_WORD[_low:_high] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_VALUE = np.random.Generator(np.random.PCG64(5)).integers(1, 1 << 63, 256, dtype=np.uint64)
+BYTE_VALUES = np.random.Generator(np.random.PCG64(5)).integers(1, 1 << 63, 256, dtype=np.uint64)
+#: Bytes of text that array operations work on at once, if texts are shorter; small, to stay in cache and memory.
+PIECE = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _powers: list[np.ndarray] = []
 
@@ -31,7 +33,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the odd base and of its inverse modulo 2**64, at least ``n`` of each."""
     if not _powers or len(_powers[0]) < n:
-        size = max(1 << 20, 1 << max(0, n - 1).bit_length())
+        size = max(PIECE << 1, 1 << max(0, n - 1).bit_length())
         _powers[:] = []
         for base in (_BASE, pow(_BASE, -1, 1 << 64)):
             p = np.full(size, base, np.uint64)
@@ -51,7 +53,7 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets.astype(np.int64) - int(offsets[0])
 
 
-def chunks(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, size: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of consecutive whole texts with about ``size`` bytes together."""
     data, offsets = column_bytes(column)
     first = 0
@@ -77,7 +79,7 @@ class Words:
         self.lower = _LOWER[data]
         up, self._down = powers(n + 1)
         self._sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_VALUE[self.lower] * up[:n], out=self._sums[1:])
+        np.cumsum(BYTE_VALUES[self.lower] * up[:n], out=self._sums[1:])
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """64-bit hash of each span of bytes."""

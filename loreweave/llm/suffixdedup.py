@@ -33,13 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import _VALUE, chunks, column_bytes, mix, powers
+from .bytewords import BYTE_VALUES, PIECE, chunks, column_bytes, mix, powers
 from .common import shared_path, stage
 
 LENGTH, GRAM = 50, 24
 BATCH = 16 << 20
+PAIR = np.dtype([("key", np.uint64), ("context", np.uint64)])
 #: Entries of one key range, about.
-RANGE = 1 << 20
+RANGE = 1 << 18
 
 
 class Suffixes:
@@ -50,7 +51,7 @@ class Suffixes:
         parts: list[tuple[np.ndarray, ...]] = []
         _, self.offsets = column_bytes(texts)
         self.rank_of = rank
-        for first, _, data, offsets in chunks(texts, 1 << 20):
+        for first, _, data, offsets in chunks(texts):
             found = self._sample(data, offsets)
             if found is not None:
                 key, context, low, high = found
@@ -68,8 +69,8 @@ class Suffixes:
             return None
         up, down = powers(n + 1)
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_VALUE[data] * up[:n], out=sums[1:])
-        grams = mix((sums[GRAM:] - sums[:-GRAM]) * down[: n - GRAM + 1])
+        np.cumsum(BYTE_VALUES[data] * up[:n], out=sums[1:])
+        grams = (sums[GRAM:] - sums[:-GRAM]) * down[: n - GRAM + 1]
         # High bits of the fingerprint and the position in one number: the least is the leftmost smallest.
         least = (grams & ~np.uint64((1 << 24) - 1)) if n < 1 << 24 else (grams >> np.uint64(32)) << np.uint64(32)
         least |= np.arange(len(grams), dtype=np.uint64)
@@ -93,32 +94,47 @@ class Suffixes:
         place = at[low]
         span_hash = (sums[high + LENGTH] - sums[low]) * down[low]
         shape = ((place - low).astype(np.uint64) << np.uint64(8)) | (high - low).astype(np.uint64)
-        return grams[place], mix(mix(span_hash) ^ mix(shape + np.uint64(1))), low, high
+        return mix(grams[place]), mix(mix(span_hash) ^ mix(shape + np.uint64(1))), low, high
 
 
 def window_prints(data: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Fingerprints of the LENGTH bytes at each start (rising), in pieces of the batch."""
     out = np.zeros(len(start), np.uint64)
-    piece = 1 << 20
-    for base in range(0, len(data), piece):
-        low, high = np.searchsorted(start, [base, base + piece])
+    for base in range(0, len(data), PIECE):
+        low, high = np.searchsorted(start, [base, base + PIECE])
         if low == high:
             continue
-        part = data[base : base + piece + LENGTH]
+        part = data[base : base + PIECE + LENGTH]
         up, down = powers(len(part) + 1)
         sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_VALUE[part] * up[: len(part)], out=sums[1:])
+        np.cumsum(BYTE_VALUES[part] * up[: len(part)], out=sums[1:])
         s = start[low:high] - base
         out[low:high] = mix((sums[s + LENGTH] - sums[s]) * down[s] + np.uint64(77))
     return out
 
 
-def least_rank(values: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct values in order, place of each value, smallest rank of each distinct value)."""
-    distinct, place = np.unique(values, return_inverse=True)
-    low = np.full(len(distinct), np.iinfo(np.int64).max)
-    np.minimum.at(low, place, rank)
-    return distinct, place, low
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values in order."""
+    s = np.sort(values)
+    return s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s
+
+
+def ranks(values: np.ndarray, rank: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(places of the distinct values, in order, among ``values``; place of each value among the distinct ones; smallest
+    and largest rank of each distinct value). With ``more``, values are pairs."""
+    order = np.argsort(values) if more is None else np.lexsort((more, values))
+    s = values[order]
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    if more is not None:
+        new[1:] |= more[order][1:] != more[order][:-1]
+    place = np.empty(len(s), np.int64)
+    place[order] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    if len(first) == 0:
+        return first, place, first, first
+    of = rank[order]
+    return order[first], place, np.minimum.reduceat(of, first), np.maximum.reduceat(of, first)
 
 
 class Batch:
@@ -151,29 +167,26 @@ class Batch:
         return got
 
     def keys(self) -> np.ndarray:
-        return np.unique(self.s.key)
+        return distinct(self.s.key)
 
     def live(self) -> np.ndarray:
         """Suffixes whose key occurs in another batch or in another document of this one."""
-        distinct, place, low = least_rank(self.s.key, self.s.rank)
-        high = np.full(len(distinct), -1)
-        np.maximum.at(high, place, self.s.rank)
-        return ((high > low) | self.flags(1, len(distinct)))[place]
+        first, place, low, high = ranks(self.s.key, self.s.rank)
+        return ((high > low) | self.flags(1, len(first)))[place]
 
-    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
-        """(suffix numbers, (key, context) of each) of live suffixes."""
+    def contexts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(live suffixes; the distinct (key, context) of these, in order; which of them each has; its smallest rank)."""
         live = np.flatnonzero(self.live())
-        pairs = np.empty(len(live), [("key", np.uint64), ("context", np.uint64)])
-        pairs["key"], pairs["context"] = self.s.key[live], self.s.context[live]
-        return live, pairs
+        key, context = self.s.key[live], self.s.context[live]
+        first, place, low, _ = ranks(key, self.s.rank[live], context)
+        pairs = np.empty(len(first), PAIR)
+        pairs["key"], pairs["context"] = key[first], context[first]
+        return live, pairs, place, low
 
     def judged(self) -> tuple[np.ndarray, np.ndarray]:
         """(suffixes whose context an earlier document holds, suffixes whose windows are to be asked)."""
-        live, pairs = self.contexts()
-        distinct, place = np.unique(pairs, return_inverse=True)
-        both = self.flags(2, 2 * len(distinct)).reshape(-1, 2)
-        low = np.full(len(distinct), np.iinfo(np.int64).max)
-        np.minimum.at(low, place, self.s.rank[live])
+        live, pairs, place, low = self.contexts()
+        both = self.flags(2, 2 * len(pairs)).reshape(-1, 2)
         held = both[place, 0] | (low[place] < self.s.rank[live])
         return live[held], live[~held & both[place, 1]]
 
@@ -187,8 +200,8 @@ class Batch:
         """Removed spans of bytes of the batch, apart from each other and in order."""
         held, asked = self.judged()
         start, prints, rank = self.windows(asked)
-        distinct, place, low = least_rank(prints, rank)
-        gone = (self.flags(3, len(distinct))[place] | (low[place] < rank)) if len(start) else np.zeros(0, bool)
+        first, place, low, _ = ranks(prints, rank)
+        gone = self.flags(3, len(first))[place] | (low[place] < rank)
         a = np.concatenate([self.s.low[held], start[gone]])
         b = np.concatenate([self.s.high[held] + LENGTH, start[gone] + LENGTH])
         if len(a) == 0:
@@ -239,7 +252,7 @@ class Levels:
         self.levels: list[tuple[int, np.ndarray]] = []
 
     def scan(self, new: np.ndarray) -> np.ndarray:
-        """Which values of a sorted array any level holds."""
+        """Which values of an array any level holds; fastest if it is sorted."""
         held = np.zeros(len(new), bool)
         for _, level in self.levels:
             at = np.searchsorted(level, new)
@@ -253,7 +266,7 @@ class Levels:
         size = 1
         while self.levels and self.levels[-1][0] == size:
             n, level = self.levels.pop()
-            new, size = np.union1d(level, new), size + n
+            new, size = distinct(np.concatenate([level, new])), size + n
         self.levels.append((size, new))
 
 
@@ -264,17 +277,15 @@ RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_
 
 def answerer(kind: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Function for ``mapInArrow`` over ASKED, sorted by part and batch: the answers of one key range after another."""
-    dtype = np.dtype([("key", np.uint64), ("context", np.uint64)]) if kind == 2 else np.dtype(np.uint64)
+    dtype = PAIR if kind == 2 else np.dtype(np.uint64)
 
     def one(part: int, asked: list[tuple[int, np.ndarray]]) -> list[tuple[int, np.ndarray]]:
         if kind == 1:
-            # A value that a level holds occurs in two batches or more; earlier holders learn of it at the end.
-            levels, twice = Levels(), [np.zeros(0, np.uint64)]
-            for _, new in asked:
-                twice.append(new[levels.scan(new)])
-                levels.add(new)
+            # A filter before the index: what occurs in two batches or more, whichever comes first. The parts of
+            # one batch hold a value once each, as the batch is whole in its task.
+            every = np.sort(np.concatenate([new for _, new in asked]))
             again = Levels()
-            again.add(np.unique(np.concatenate(twice)))
+            again.add(distinct(every[1:][every[1:] == every[:-1]]))
             return [(batch, again.scan(new)) for batch, new in asked]
         levels, out = Levels(), []
         if kind == 3:
@@ -282,15 +293,15 @@ def answerer(kind: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                 out.append((batch, levels.scan(new)))
                 levels.add(new)
             return out
-        every = np.unique(np.concatenate([new for _, new in asked]))
-        keys, count = np.unique(every["key"], return_counts=True)
-        many = keys[count > 1]
+        every = np.concatenate([new for _, new in asked])
+        first, *_ = ranks(every["key"], np.zeros(len(every), np.int64), every["context"])
+        keys = every["key"][first]
+        many = Levels()
+        many.add(distinct(keys[1:][keys[1:] == keys[:-1]]))
         for batch, new in asked:
-            value = np.sort(new["context"])
-            held = levels.scan(value)
-            levels.add(np.unique(value))
-            older = np.isin(new["context"], value[held])
-            out.append((batch, np.column_stack([older, np.isin(new["key"], many)]).ravel()))
+            value = np.ascontiguousarray(new["context"])
+            out.append((batch, np.column_stack([levels.scan(value), many.scan(np.ascontiguousarray(new["key"]))]).ravel()))
+            levels.add(distinct(value))
         return out
 
     def emit(part: int, asked: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
@@ -324,9 +335,9 @@ def asker(kind: int, bits: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         if kind == 1:
             what = b.keys()
         elif kind == 2:
-            what = np.unique(b.contexts()[1])
+            what = b.contexts()[1]
         else:
-            what = np.unique(b.windows(b.judged()[1])[1])
+            what = distinct(b.windows(b.judged()[1])[1])
         return b.ask(what, left["batch"][0].as_py())
 
     return ask
@@ -349,7 +360,7 @@ def remove_seen(docs: DataFrame, size: int = BATCH, entries: int = RANGE) -> Dat
     spark = docs.sparkSession
     texts, name, total = dealt(docs, size)
     # About one suffix in 14 bytes; a power of two of key ranges.
-    bits = max(3, math.ceil(math.log2(max(1, total / 14 / entries))))
+    bits = max(6, math.ceil(math.log2(max(1, total / 14 / entries))))
     answers = stage(spark.createDataFrame([], ANSWER), "suffix-answers")
     for kind in (1, 2, 3):
         asked = texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(asker(kind, bits), ASKED)
