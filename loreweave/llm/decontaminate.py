@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.textfns import let
 from .common import small, stage, words
 
 WINDOW = 13
@@ -92,19 +93,26 @@ def phrase_hits(docs: DataFrame, found: DataFrame, items: DataFrame, size: int =
     texts = docs.select("doc_id", "text", text_key().alias("text_key"))
     texts = texts.join(keys, (F.col("text_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi").distinct()
     texts = texts.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), words(F.col("text")).alias("doc_words"))
-    laid = found.join(items, "item").join(texts, (F.col("text_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")))
-    # Alignments on which the document and the item overlap: item word i lies over document word i + shift.
-    laid = laid.withColumn("n", F.size("item_words")).withColumn("low", F.greatest(-F.col("shift"), F.lit(0)))
-    laid = laid.withColumn("len", F.least(F.col("n"), F.size("doc_words") - F.col("shift")) - F.col("low"))
-    laid = laid.withColumn("need", F.least(F.lit(size), F.col("n"))).filter("len >= need")
-    laid = laid.withColumn("equal", F.zip_with(
-        F.slice("item_words", F.col("low") + 1, F.col("len")), F.slice("doc_words", F.col("low") + F.col("shift") + 1, F.col("len")),
-        lambda a, b: a == b,
-    ))
-    starts = F.filter(F.sequence(F.lit(0), F.col("len") - F.col("need")), lambda s: F.forall(F.slice("equal", s + 1, F.col("need")), lambda x: x))
-    hit = laid.select("doc_id", "text_key", "item_id", "low", "shift", "need", F.explode(starts).alias("s"))
-    first = F.col("low") + F.col("shift") + F.col("s")
-    return hit.select("doc_id", "text_key", "item_id", F.explode(F.sequence(first, first + F.col("need") - 1)).alias("position")).distinct()
+    # One row per document and item, so that the words of a document are not copied for each alignment; a word is read
+    # by its index.
+    laid = found.groupBy("doc_id", "text_key", "item").agg(F.collect_list("shift").alias("shifts")).join(items, "item")
+    laid = laid.join(texts, (F.col("text_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")))
+    n, need = F.size("item_words"), F.least(F.lit(size), F.size("item_words"))
+
+    def covered(shift: Column) -> Column:
+        """Document words inside equal windows, if item word i lies over document word i + shift."""
+        low = F.greatest(-shift, F.lit(0))
+        many = F.greatest(F.least(n, F.size("doc_words") - shift) - low, F.lit(0))
+        same = F.transform(F.sequence(low, low + many - 1), lambda i: F.get("item_words", i) == F.get("doc_words", i + shift))
+
+        def words_of(equal: Column) -> Column:
+            whole = F.filter(F.sequence(F.lit(0), many - need), lambda s: F.forall(F.slice(equal, s + 1, need), lambda x: x))
+            return F.flatten(F.transform(whole, lambda s: F.sequence(low + shift + s, low + shift + s + need - 1)))
+
+        return F.when(many >= need, let(same, words_of)).otherwise(F.array().cast("array<int>"))
+
+    hit = F.explode(F.array_distinct(F.flatten(F.transform("shifts", covered)))).alias("position")
+    return laid.select("doc_id", "text_key", "item_id", hit).distinct()
 
 
 def find(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
