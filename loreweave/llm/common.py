@@ -12,8 +12,8 @@ from ..session import ensure_checkpoint_dir
 SPACE = r"[\x20\x09-\x0D]"
 #: Fixed value: what separates words, once A-Z are lower case.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A side of a join is sent to all executors only if counted to be at most this many narrow rows (about 16 MB).
-SMALL_ROWS = 500_000
+#: A side of a join is sent to all executors only if measured to be at most this large.
+SMALL_BYTES = 16 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -31,8 +31,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def small(df: DataFrame) -> DataFrame:
-    """A staged table, marked for broadcast if its counted size allows it; else Spark shuffles both sides."""
-    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+    """A staged table, marked for broadcast if its measured size allows it; else Spark shuffles both sides."""
+    width = F.lit(8 * len(df.columns))
+    for name, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            width = width + F.coalesce(F.octet_length(name), F.lit(0))
+    size = df.agg(F.coalesce(F.sum(width.cast("bigint")), F.lit(0))).head()[0]
+    return F.broadcast(df) if size <= SMALL_BYTES else df
 
 
 def ascii_lower(text: Column) -> Column:
