@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .textmodel import BITS, Sample, descend, margin_column, sampled, screen, sigmoid
 
-MOST_ROWS, MOST_BYTES = 12_000, 32 << 20
+MOST_ROWS, MOST_BYTES = 8_000, 24 << 20
 
 
 def fit(texts: list[str | None], grades: list[int]) -> tuple[np.ndarray, list[float], list[int]]:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .textmodel import Sample, descend, margin_column, sampled, screen, sigmoid
 
-MOST_ROWS, MOST_BYTES = 12_000, 32 << 20
+MOST_ROWS, MOST_BYTES = 8_000, 24 << 20
 THRESHOLD = 0.7
 
 #: Names of groups that may stand for each other, by kind.
