@@ -6,7 +6,8 @@ writer, so archives come from ordinary tasks; they are gzip files of at most ``P
 
 Reading. Payloads may hold the magic line, even whole false records, so a magic alone proves nothing. Each task
 streams its archives as segments between magics and emits for every magic the offset of the successor that its
-header claims. Pointer jumping from offset 0 of each archive (reached offsets and jumps double per round) leaves
+header claims; a url may end in the magic, so a header that is cut in its target line takes the next segment too.
+Pointer jumping from offset 0 of each archive (reached offsets and jumps double per round) leaves
 the offsets on the chain; all other candidates are dropped.
 
 Edge cases: null html is an empty payload; payloads below ``LEAST`` bytes are all responses; a null page_id is written
@@ -68,6 +69,8 @@ def write(pages: DataFrame, path: str, least: int = LEAST) -> None:
     text.write.option("lineSep", GAP.decode()).option("maxRecordsPerFile", PER_FILE).option("compression", "gzip").text(path)
 
 
+#: The only value of a header that may end in the magic.
+TARGET = b"WARC-Target-URI:"
 _FIELD = re.compile(rb"([!-9;-~]+):[ \t]*(.*?)[ \t]*\r\n")
 
 
@@ -90,13 +93,23 @@ class Candidate:
         self.file, self.offset, self.next = file, offset, -1
         self.type = self.page = self.refers = self.stated = None
         self.size, self.hash, self.left = None, hashlib.sha256(), 0
+        cut = GAP not in after and after.rpartition(b"\r\n")[2].startswith(TARGET)
+        self.cut = after if cut else None
+        if not cut:
+            self.begin(after)
+
+    @property
+    def open(self) -> bool:
+        return self.left > 0 or self.cut is not None
+
+    def begin(self, after: bytes) -> None:
         head, gap, body = after.partition(GAP)
         named = fields(head + b"\r\n") if gap else None
         length = (named or {}).get("content-length", "")
         if not length.isascii() or not length.isdigit() or "warc-type" not in named:
             return
         self.type, self.left = named["warc-type"], int(length)
-        self.next = offset + len(MAGIC) + len(head) + len(GAP) + self.left + len(GAP)
+        self.next = self.offset + len(MAGIC) + len(head) + len(GAP) + self.left + len(GAP)
         self.page = self.number(named.get("warc-record-id", ""))
         self.refers = self.number(named.get("warc-refers-to", ""))
         self.stated = named.get("warc-payload-digest", "").removeprefix("sha256:")
@@ -113,7 +126,10 @@ class Candidate:
         return int(m[1]) if m else None
 
     def feed(self, data: bytes) -> None:
-        if self.left > 0:
+        if self.cut is not None:
+            after, self.cut = self.cut + data, None
+            self.begin(after)
+        elif self.left > 0:
             self.hash.update(data[: self.left])
             self.left -= len(data)
 
@@ -146,8 +162,8 @@ def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 c.feed(MAGIC + segment)
             open_.append(Candidate(file, offset, segment))
             offset += len(MAGIC) + len(segment)
-            done += [c for c in open_ if c.left <= 0]
-            open_ = [c for c in open_ if c.left > 0]
+            done += [c for c in open_ if not c.open]
+            open_ = [c for c in open_ if c.open]
         if done:
             yield pa.RecordBatch.from_pylist([c.row() for c in done], ROW)
             done = []

@@ -64,3 +64,13 @@ def test_archive_format_and_damage(spark):
 def test_empty(spark):
     pages = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert warc.round_trip(pages).count() == 0
+
+
+def test_urls_that_end_in_the_magic(spark, monkeypatch):
+    monkeypatch.setattr(warc, "PER_FILE", 10)
+    urls = ["https://host/spec/WARC/1.0", "WARC/1.0", "WARC/1.0\r\nWARC/1.0", "WARC-Target-URI: WARC/1.0", "WARC/1.0\r\n", "http://x/"]
+    rows = [(i, urls[i % 6], f"{i % 9} " + "WARC/1.0\r\nWARC-Target-URI: " * (i % 4) + "WARC/1.0\r\n" * (i % 3) + "y" * 120) for i in range(60)]
+    pages = spark.createDataFrame([*rows, (70, urls[0], None), (71, urls[0], "s")], "page_id bigint, url string, html string").coalesce(1)
+    got = warc.round_trip(pages).collect()
+    assert sorted(str((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to)) for r in got) == brute([*rows, (70, urls[0], None), (71, urls[0], "s")])
+    assert all(r.digest_ok for r in got)
