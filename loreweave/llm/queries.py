@@ -123,8 +123,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_zstd_novelty_secrets")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.select("doc_id", secrets.find(F.col("text"), secrets.identifiers(docs)).alias("f")).select("doc_id", "f.*")
+    return secrets.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @query(

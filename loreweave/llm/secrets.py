@@ -2,9 +2,8 @@
 
 Patterns find assigned values, access keys and long hex runs. The method adds ``novel`` spans: strings of 16 or more
 characters in a sensitive context (a keyword such as ``key`` or ``auth`` shortly before) that are new. New means:
-compressed behind the surrounding text, with a dictionary of surrounding vocabulary and identifiers, the string
-costs at least ``NOVEL`` bytes of output for each of its own bytes. Ordinary identifiers, paths and repeated strings
-are cheap there; random strings are not.
+compressed alone behind a raw dictionary of vocabulary, identifiers and the surrounding text, the string costs at
+least ``NOVEL`` bytes of output for each of its own bytes.
 
 The identifier dictionary lists the long strings that occur outside sensitive contexts in several documents, counted
 over all documents (most frequent last, as zstandard prefers, up to ``DICTIONARY`` bytes); so a secret does not become
@@ -39,6 +38,11 @@ LONG = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: Characters before a string that are searched for a keyword, and text before it that primes the compressor.
 NEAR, AROUND = 40, 400
 NOVEL = 0.72
+#: From this length zstandard may code literals by frequency, by which long hex would look known; these settings never do.
+HUFFMAN = 64
+RAW_LITERALS = zstandard.ZstdCompressionParameters(
+    strategy=zstandard.STRATEGY_FAST, target_length=1, min_match=4, window_log=19, hash_log=17, chain_log=16, search_log=1, write_content_size=False
+)
 DICTIONARY = 32 << 10
 #: Vocabulary that surrounds settings and code; the identifiers of the corpus are added to it.
 COMMON = (
@@ -82,32 +86,42 @@ def plain_strings(text: str) -> set[str]:
     return {m[0] for m in LONG.finditer(text) if m.end() - m.start() <= 64 and not CONTEXT.search(text, max(0, m.start() - NEAR), m.start())}
 
 
+def cost(value: str, before: str, after: str, dictionary: bytes) -> int:
+    """Bytes of the string alone behind dictionary and surroundings; nothing else is coded along with it."""
+    primer = zstandard.ZstdCompressionDict(dictionary + f"{after}\n{before}".encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    if len(value) < HUFFMAN:
+        packer = zstandard.ZstdCompressor(level=9, dict_data=primer, write_content_size=False)
+    else:
+        packer = zstandard.ZstdCompressor(compression_params=RAW_LITERALS, dict_data=primer)
+    return len(packer.compress(value.encode())) - len(packer.compress(b""))
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], dictionary: bytes) -> list[tuple[int, int, int]]:
-    found = [(a, b) for a, b in long_strings(text) if not any(s < b and a < e for s, _, e in base)]
-    if not found:
-        return []
-    packer = zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False)
     out = []
-    for a, b in found:
-        before, after = text[max(0, a - AROUND) : a].encode(), text[b : b + AROUND].encode()
-        value = text[a:b].encode()
-        around = after + b"\n" + before
-        if len(packer.compress(around + value)) - len(packer.compress(around)) >= NOVEL * len(value):
+    for a, b in long_strings(text):
+        if any(s < b and a < e for s, _, e in base):
+            continue
+        before, after = text[max(0, a - AROUND) : a], text[b : b + AROUND]
+        if cost(text[a:b], before, after, dictionary) >= NOVEL * (b - a):
             out.append((a, 3, b))
     return out
 
 
 def scan(text: str | None, dictionary: bytes) -> dict:
-    base = pattern_spans(text or "")
-    joined = lambda spans: ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
+    """Counts of the fixed patterns; ``spans`` as (span, key of a novel string, else None) in order of the text."""
+    text = text or ""
+    base = pattern_spans(text)
+    named = lambda s: f"{KINDS[s[1]]}:{s[0]}:{s[2]}"
     count = [sum(k == kind for _, k, _ in base) for kind in range(3)]
     return {
-        "n_assign": count[0], "n_access": count[1], "n_hex": count[2], "base_sha256": hashlib.sha256(joined(base).encode()).hexdigest(),
-        "spans": joined(sorted(base + novel_spans(text or "", base, dictionary))),
+        "n_assign": count[0], "n_access": count[1], "n_hex": count[2], "base_sha256": hashlib.sha256(",".join(map(named, base)).encode()).hexdigest(),
+        "spans": [{"span": named(s), "key": text[s[0] : s[2]] if s[1] == 3 else None} for s in sorted(base + novel_spans(text, base, dictionary))],
     }
 
 
-RESULT = "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string"
+COUNTS = "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, "
+RESULT = COUNTS + "spans string"
+_COUNTS = [("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string())]
 
 
 def identifiers(docs: DataFrame, most: int = DICTIONARY) -> bytes:
@@ -129,11 +143,16 @@ def identifiers(docs: DataFrame, most: int = DICTIONARY) -> bytes:
 
 
 def find(text: Column, dictionary: bytes) -> Column:
-    """Struct of RESULT for each whole text."""
+    """Struct of RESULT for each whole text, by the dictionary alone."""
 
     @F.arrow_udf(RESULT)
     def run(texts: pa.Array) -> pa.Array:
-        kind = pa.struct([("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string())])
-        return pa.array([scan(t.as_py(), dictionary) for t in texts], kind)
+        rows = [scan(t.as_py(), dictionary) for t in texts]
+        return pa.array([r | {"spans": ",".join(s["span"] for s in r["spans"])} for r in rows], pa.struct([*_COUNTS, ("spans", pa.string())]))
 
     return run(text)
+
+
+def report(docs: DataFrame) -> DataFrame:
+    """doc_id and the columns of RESULT for each row."""
+    return docs.select("doc_id", find(F.col("text"), identifiers(docs)).alias("f")).select("doc_id", "f.*")

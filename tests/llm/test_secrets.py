@@ -48,3 +48,25 @@ def test_novel_strings(spark, docs):
     assert got[1] == f"novel:{rows[0][1].index(noise)}:{rows[0][1].index(noise) + 32}"
     assert got[2] == "" and got[3] == "" and got[4].startswith("assign:0:") and "novel" not in got[4]
     assert secrets.identifiers(docs([])) == secrets.COMMON.encode()
+
+
+B62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def drawn(r, n, letters=B62):
+    return "".join(r.choice(letters) for _ in range(n))
+
+
+def plain(r, n):
+    return " ".join(r.choice("we set the remote host and then name a new port for each user of this service".split()) for _ in range(n))
+
+
+def novel(text, dictionary=secrets.COMMON.encode()):
+    return [x["span"] for x in secrets.scan(text, dictionary)["spans"] if x["key"] is not None]
+
+
+def test_short_texts_hide_no_secret():
+    r = random.Random(5)
+    for n, letters in ((20, B62), (40, B62), (64, "0123456789ABCDEF"), (128, "0123456789ABCDEF")):
+        for words in (0, 2, 5, 8, 20):
+            assert sum(len(novel(f"{plain(r, words)} bearer {drawn(r, n, letters)} {plain(r, words)}")) for _ in range(50)) == 50
