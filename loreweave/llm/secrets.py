@@ -3,20 +3,22 @@
 Patterns find assigned values, access keys and long hex runs. The method adds ``novel`` spans: strings of 16 or more
 characters in a sensitive context (a keyword such as ``key`` or ``auth`` shortly before) that are new. New means:
 compressed alone behind a raw dictionary of vocabulary, identifiers and the surrounding text, the string costs at
-least ``NOVEL`` bytes of output for each of its own bytes.
+least ``NOVEL`` bytes of output for each of its own bytes. Copies of the string in its
+surroundings are blanked first, so a secret that is stated and used is found at both places.
 
-The identifier dictionary lists the long strings that occur outside sensitive contexts in several documents, counted
-over all documents (most frequent last, as zstandard prefers, up to ``DICTIONARY`` bytes); so a secret does not become
-known by being copied along with its text.
+Known identifiers are the long strings that at least two different texts hold, at least once outside a sensitive
+context; one that also occurs in a sensitive context must read as words, so a key does not become known by being
+copied. The most frequent (last, as zstandard prefers, up to ``DICTIONARY`` bytes) prime the compressor.
 
 Edge cases: null text is empty and has no span; spans that overlap a pattern span are not added; repeated rows are
-scanned alike (and count as documents for the dictionary); offsets are code points of the whole text; an empty table
+scanned alike (and count once for the identifiers); offsets are code points of the whole text; an empty table
 gives no rows.
 """
 from __future__ import annotations
 
 import hashlib
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
@@ -34,7 +36,12 @@ LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 
 #: What makes the text before a string sensitive.
 CONTEXT = re.compile(r"pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|auth|bearer|credential|private|signature|access[_-]?key|client[_-]?id|salt|cookie|session", re.ASCII | re.IGNORECASE)
+LEAST_LONG = 16
 LONG = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Longer strings are named by their hash.
+LONGEST_NAME = 64
+#: Words of a name; names have LETTERS letters or more for each word or number.
+PARTS, LETTERS = re.compile(r"[A-Z]+[a-z]*|[a-z]+|[0-9]+"), 4
 #: Characters before a string that are searched for a keyword, and text before it that primes the compressor.
 NEAR, AROUND = 40, 400
 NOVEL = 0.72
@@ -81,9 +88,49 @@ def long_strings(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def plain_strings(text: str) -> set[str]:
-    """Long strings of at most 64 characters outside sensitive contexts."""
-    return {m[0] for m in LONG.finditer(text) if m.end() - m.start() <= 64 and not CONTEXT.search(text, max(0, m.start() - NEAR), m.start())}
+def key(s: str) -> str:
+    return s if len(s) <= LONGEST_NAME else "#" + hashlib.sha256(s.encode()).hexdigest()
+
+
+def like_words(s: str) -> bool:
+    """Whether a string reads as a few words, as identifiers and paths do; random strings change class too often."""
+    return sum(c.isalpha() for c in s) >= LETTERS * len(PARTS.findall(s))
+
+
+def names_of(text: str) -> list[dict]:
+    """Each long string of a text by its key: whether it occurs outside and in sensitive contexts, and reads as words."""
+    out = {}
+    for m in LONG.finditer(text):
+        near = CONTEXT.search(text, max(0, m.start() - NEAR), m.start()) is not None
+        name = key(m[0])
+        if name not in out:
+            out[name] = {"name": name, "plain": False, "sensitive": False, "words": like_words(m[0])}
+        out[name]["sensitive" if near else "plain"] = True
+    return list(out.values())
+
+
+def pieces(s: str) -> set[str]:
+    return {s[i : i + LEAST_LONG] for i in range(len(s) - LEAST_LONG + 1)}
+
+
+def without(text: str, shared: set[str]) -> str:
+    """The text with blanks in place of all it shares with a string, given as its pieces."""
+
+    def blank(m: re.Match) -> str:
+        s = list(m[0])
+        for i in range(len(s) - LEAST_LONG + 1):
+            if m[0][i : i + LEAST_LONG] in shared:
+                s[i : i + LEAST_LONG] = " " * LEAST_LONG
+        return "".join(s)
+
+    return LONG.sub(blank, text)
+
+
+@lru_cache(2)
+def names_part(dictionary: bytes) -> tuple[str, set[str]]:
+    """The identifiers of a dictionary and their pieces."""
+    names = dictionary.removeprefix(COMMON.encode()).decode()
+    return names, set().union(*(pieces(m[0]) for m in LONG.finditer(names)))
 
 
 def cost(value: str, before: str, after: str, dictionary: bytes) -> int:
@@ -101,8 +148,16 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], dictionary: bytes)
     for a, b in long_strings(text):
         if any(s < b and a < e for s, _, e in base):
             continue
-        before, after = text[max(0, a - AROUND) : a], text[b : b + AROUND]
-        if cost(text[a:b], before, after, dictionary) >= NOVEL * (b - a):
+        value, size = text[a:b], b - a
+        shared = pieces(value)
+        # Wider by the string, so that a copy across the border of the window is seen whole.
+        before = without(text[max(0, a - AROUND - size) : a], shared)[-AROUND:]
+        after = without(text[b : b + AROUND + size], shared)[:AROUND]
+        names, held = names_part(dictionary)
+        own = dictionary
+        if not like_words(value) and not shared.isdisjoint(held):
+            own = (COMMON + without(names, shared)).encode()
+        if cost(value, before, after, own) >= NOVEL * size:
             out.append((a, 3, b))
     return out
 
@@ -115,31 +170,43 @@ def scan(text: str | None, dictionary: bytes) -> dict:
     count = [sum(k == kind for _, k, _ in base) for kind in range(3)]
     return {
         "n_assign": count[0], "n_access": count[1], "n_hex": count[2], "base_sha256": hashlib.sha256(",".join(map(named, base)).encode()).hexdigest(),
-        "spans": [{"span": named(s), "key": text[s[0] : s[2]] if s[1] == 3 else None} for s in sorted(base + novel_spans(text, base, dictionary))],
+        "spans": [{"span": named(s), "key": key(text[s[0] : s[2]]) if s[1] == 3 else None} for s in sorted(base + novel_spans(text, base, dictionary))],
     }
 
 
 COUNTS = "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, "
 RESULT = COUNTS + "spans string"
 _COUNTS = [("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string())]
+_NAMES = pa.list_(pa.struct([("name", pa.string()), ("plain", pa.bool_()), ("sensitive", pa.bool_()), ("words", pa.bool_())]))
 
 
-def identifiers(docs: DataFrame, most: int = DICTIONARY) -> bytes:
-    """Dictionary of the plain long strings that several rows hold, from counts over all rows; at most ``most`` bytes."""
+def named(docs: DataFrame) -> DataFrame:
+    """(name, texts, sensitive) of all known identifiers, counted over distinct texts."""
 
-    @F.arrow_udf("array<string>")
+    @F.arrow_udf("array<struct<name:string,plain:boolean,sensitive:boolean,words:boolean>>")
     def held(texts: pa.Array) -> pa.Array:
-        return pa.array([sorted(plain_strings(t.as_py() or "")) for t in texts], pa.list_(pa.string()))
+        return pa.array([names_of(t.as_py() or "") for t in texts], _NAMES)
+
+    each = docs.select(F.xxhash64("text").alias("text"), F.explode(held(F.col("text"))).alias("s")).select("text", "s.*").distinct()
+    names = each.groupBy("name").agg(F.count(F.lit(1)).alias("texts"), *(F.bool_or(c).alias(c) for c in ("plain", "sensitive", "words")))
+    return names.filter("texts > 1 AND plain AND (words OR NOT sensitive)").select("name", "texts", "sensitive")
 
-    counts = docs.select(F.explode(held(F.col("text"))).alias("name")).groupBy("name").count().filter("count > 1")
-    top = stage(counts, "secrets-identifiers").orderBy(F.desc("count"), "name").limit(most // 17).collect()
-    names, size = [], 0
+
+def primer(names: DataFrame, most: int = DICTIONARY) -> bytes:
+    """Dictionary of the most frequent identifiers, at most ``most`` bytes of them."""
+    top = names.filter("name NOT LIKE '#%'").orderBy(F.desc("texts"), "name").limit(most // (LEAST_LONG + 1)).collect()
+    kept, size = [], 0
     for row in top:
         if size + len(row["name"]) + 1 > most:
             break
-        names.append(row["name"])
+        kept.append(row["name"])
         size += len(row["name"]) + 1
-    return (COMMON + " ".join(reversed(names))).encode()
+    return (COMMON + " ".join(reversed(kept))).encode()
+
+
+def identifiers(docs: DataFrame, most: int = DICTIONARY) -> bytes:
+    """Dictionary of the identifiers of ``docs``, from counts over all rows."""
+    return primer(stage(named(docs), "secrets-identifiers"), most)
 
 
 def find(text: Column, dictionary: bytes) -> Column:

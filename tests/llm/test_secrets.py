@@ -65,6 +65,30 @@ def novel(text, dictionary=secrets.COMMON.encode()):
     return [x["span"] for x in secrets.scan(text, dictionary)["spans"] if x["key"] is not None]
 
 
+def test_a_secret_that_occurs_twice_is_found_twice():
+    r = random.Random(3)
+    for words in (3, 20, 50, 75):
+        for _ in range(20):
+            a, b = drawn(r, 40), drawn(r, 2)
+            text = f"{plain(r, 9)} bearer {a} {plain(r, words)} bearer {b}/{a} {plain(r, 9)}"
+            first, second = text.index(a), text.index(f"{b}/{a}")
+            assert novel(text) == [f"novel:{first}:{first + 40}", f"novel:{second}:{second + 43}"]
+
+
+def test_a_copied_key_does_not_become_known(spark, docs):
+    r = random.Random(4)
+    key, other, name = drawn(r, 40), drawn(r, 40), "RemoteServiceAccountSettings2"
+    both = f"run {key} once, {plain(r, 12)}; auth header Bearer {key} end"
+    rows = [(i, both) for i in range(6)] + [(10, f"run {other} now"), (11, f"start {other} now"), (12, f"auth header Bearer {other} end")]
+    rows += [(20, f"use {name} now"), (21, f"take {name} now"), (22, f"auth header Bearer {name} end")]
+    d = docs(rows)
+    got = {x.doc_id: x.spans for x in secrets.report(d.select("doc_id", "text")).collect()}
+    at = both.rindex(key)
+    assert len(got) == len(rows) and all(got[i] == f"novel:{at}:{at + 40}" for i in range(6))
+    assert got[12] == "novel:19:59" and got[10] == got[11] == got[20] == got[21] == got[22] == ""
+    assert not {key.encode(), other.encode()} & set(secrets.identifiers(d).split())
+
+
 def test_short_texts_hide_no_secret():
     r = random.Random(5)
     for n, letters in ((20, B62), (40, B62), (64, "0123456789ABCDEF"), (128, "0123456789ABCDEF")):
