@@ -3,12 +3,13 @@
 Patterns find assigned values, access keys and long hex runs. The method adds ``novel`` spans: strings of 16 or more
 characters in a sensitive context (a keyword such as ``key`` or ``auth`` shortly before) that are new. New means:
 compressed alone behind a raw dictionary of vocabulary, identifiers and the surrounding text, the string costs at
-least ``NOVEL`` bytes of output for each of its own bytes. Copies of the string in its
+least ``NOVEL`` bytes of output for each of its own bytes, and it is no known identifier. Copies of the string in its
 surroundings are blanked first, so a secret that is stated and used is found at both places.
 
 Known identifiers are the long strings that at least two different texts hold, at least once outside a sensitive
 context; one that also occurs in a sensitive context must read as words, so a key does not become known by being
-copied. The most frequent (last, as zstandard prefers, up to ``DICTIONARY`` bytes) prime the compressor.
+copied. All of them are a table that candidates are joined with; the most frequent (last, as zstandard prefers, up to
+``DICTIONARY`` bytes) also prime the compressor.
 
 Edge cases: null text is empty and has no span; spans that overlap a pattern span are not added; repeated rows are
 scanned alike (and count once for the identifiers); offsets are code points of the whole text; an empty table
@@ -25,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import small, stage
 
 #: The patterns of the contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -176,7 +177,9 @@ def scan(text: str | None, dictionary: bytes) -> dict:
 
 COUNTS = "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, "
 RESULT = COUNTS + "spans string"
+APART = COUNTS + "spans array<struct<span:string,key:string>>"
 _COUNTS = [("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string())]
+_APART = pa.struct([*_COUNTS, ("spans", pa.list_(pa.struct([("span", pa.string()), ("key", pa.string())])))])
 _NAMES = pa.list_(pa.struct([("name", pa.string()), ("plain", pa.bool_()), ("sensitive", pa.bool_()), ("words", pa.bool_())]))
 
 
@@ -220,6 +223,20 @@ def find(text: Column, dictionary: bytes) -> Column:
     return run(text)
 
 
-def report(docs: DataFrame) -> DataFrame:
-    """doc_id and the columns of RESULT for each row."""
-    return docs.select("doc_id", find(F.col("text"), identifiers(docs)).alias("f")).select("doc_id", "f.*")
+def report(docs: DataFrame, most: int = DICTIONARY) -> DataFrame:
+    """doc_id and the columns of RESULT for each row: novel strings are looked up in all known identifiers."""
+    names = stage(named(docs), "secrets-identifiers")
+    dictionary = primer(names, most)
+
+    @F.arrow_udf(APART)
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([scan(t.as_py(), dictionary) for t in texts], _APART)
+
+    found = stage(docs.select("doc_id", F.monotonically_increasing_id().alias("row"), run(F.col("text")).alias("f")), "secrets-found")
+    known = small(stage(names.filter("sensitive").select(F.col("name").alias("key")), "secrets-known"))
+    novel = found.select("row", F.explode("f.spans.key").alias("key")).filter("key IS NOT NULL")
+    drop = small(stage(novel.join(known, "key").groupBy("row").agg(F.collect_set("key").alias("known")), "secrets-dropped"))
+    kept = F.filter("f.spans", lambda s: s["key"].isNull() | F.col("known").isNull() | ~F.array_contains("known", s["key"]))
+    return found.join(drop, "row", "left").select(
+        "doc_id", "f.n_assign", "f.n_access", "f.n_hex", "f.base_sha256", F.concat_ws(",", F.transform(kept, lambda s: s["span"])).alias("spans")
+    )

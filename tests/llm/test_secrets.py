@@ -94,3 +94,14 @@ def test_short_texts_hide_no_secret():
     for n, letters in ((20, B62), (40, B62), (64, "0123456789ABCDEF"), (128, "0123456789ABCDEF")):
         for words in (0, 2, 5, 8, 20):
             assert sum(len(novel(f"{plain(r, words)} bearer {drawn(r, n, letters)} {plain(r, words)}")) for _ in range(50)) == 50
+
+
+def test_identifiers_past_the_dictionary_are_known(spark, docs):
+    r = random.Random(6)
+    word = lambda: drawn(r, 1, "BCDFGHKLMNPRSTVW") + "".join(drawn(r, 1, "aeiou") + drawn(r, 1, "bcdfghklmnprstvw") for _ in range(3))
+    names = ["".join(word() for _ in range(4)) + "2" for _ in range(60)] + ["".join(word() for _ in range(14)) + "2"]
+    rows = [(1000 + i, f"auth header Bearer {x} end") for i, x in enumerate(names)] + [(i, f"{j} uses {x}") for i, x in enumerate(names) for j in "ab"]
+    d = docs(rows)
+    assert secrets.identifiers(d, 200).count(b"2") < 10 + secrets.COMMON.count("2")
+    assert {x.spans for x in secrets.report(d.select("doc_id", "text"), 200).collect()} == {""}
+    assert secrets.report(docs([]).select("doc_id", "text")).count() == 0
