@@ -155,13 +155,13 @@ def cancel_event_type(kind: Column) -> Column:
     return out
 
 
-def replay_jobs(jobs: DataFrame, requests: DataFrame, width: int = 1024) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(jobs after the requests, events, refused requests).
+def states_before(jobs: DataFrame, requests: DataFrame, width: int = 1024) -> DataFrame:
+    """State of its job before each request: job_id, sequence, from_status. ``requests``: job_id, sequence (unique
+    integer per job), target (status).
 
-    ``requests``: job_id, sequence (unique integer per job), target (status), at, reason, code. A
-    status step is a function on six states, and functions compose: each bucket of requests is
-    reduced to where it leads from every state, buckets are composed on one row each, and then every
-    bucket is replayed from its true start. No job has to fit into one task."""
+    A status step is a function on six states, and functions compose: each bucket of requests is reduced to where it
+    leads from every state, buckets are composed on one row each, and then every bucket is replayed from its true
+    start. No job has to fit into one task."""
     def step(s: Column, target: Column) -> Column:
         return F.when(legal_edge(s, target), target).otherwise(s)
 
@@ -208,10 +208,17 @@ def replay_jobs(jobs: DataFrame, requests: DataFrame, width: int = 1024) -> tupl
     at_low = mid.join(at_mid, ["job_id", "_bb"]).select(
         "job_id", F.inline(walk("_r", F.col("_start"), by_map, "b")).alias("_b", "_start")
     )
-    walked = leaf.join(at_low, ["job_id", "_b"]).select(
+    return leaf.join(at_low, ["job_id", "_b"]).select(
         "job_id", F.inline(walk("_r", F.col("_start"), by_target, "sequence")).alias("sequence", "from_status")
     )
-    rows = requests.join(walked, ["job_id", "sequence"])
+
+
+def replay_jobs(jobs: DataFrame, requests: DataFrame, width: int = 1024) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(jobs after the requests, events, refused requests).
+
+    ``requests``: job_id, sequence (unique integer per job), target (status), at, reason, code. No job has to fit
+    into one task (``states_before``)."""
+    rows = requests.join(states_before(jobs, requests, width), ["job_id", "sequence"])
     changed = F.col("from_status") != F.col("target")
     legal = legal_edge(F.col("from_status"), F.col("target"))
     done = rows.filter(changed & legal)

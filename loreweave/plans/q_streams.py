@@ -54,8 +54,8 @@ def _job_steps(spark, sf):
     first = steps.filter(~late & (s <= half))
     again = first.filter(s % 10 == 0)
     parts = [first, steps.filter(~late & (s > half)).unionByName(again), steps.filter(late).unionByName(again)]
-    _arrivals(spark, base, parts, lambda stream: N.append_to(N.job_steps(stream), f"{base}/steps", f"{base}/checkpoint"))
-    return spark.read.parquet(f"{base}/steps")
+    _arrivals(spark, base, parts, lambda stream: N.run_batches(stream, f"{base}/checkpoint", N.job_step(f"{base}/tables")))
+    return N.job_tables(f"{base}/tables")[0].rows(spark).drop("batch_id")
 
 
 @query("n1_job_state_stream", _N1 + " SELECT job_id, max_by(s, n) AS status, max(sequence) AS last_sequence FROM w GROUP BY 1")

@@ -38,7 +38,8 @@ JOB_STEPS = "sequence bigint, from_status string, to_status string, applied bool
 def job_steps(steps: DataFrame) -> DataFrame:
     """What becomes of each step (job_id, sequence, status) of a stream: job_id, sequence, from_status, to_status
     and applied. A step that repeats or comes after a later one gives no row, an illegal one is not applied and changes
-    nothing. Jobs start as pending. Spark keeps status and last sequence per job as keyed state."""
+    nothing. Jobs start as pending. Spark keeps status and last sequence per job as keyed state. The steps of a job in a
+    micro-batch are held in one task; ``job_step`` has no such limit."""
     key = steps.schema["job_id"].dataType.simpleString()
 
     def apply(job: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -57,6 +58,37 @@ def job_steps(steps: DataFrame) -> DataFrame:
         apply, f"job_id {key}, {JOB_STEPS}", "status string, last_sequence bigint", "append", GroupStateTimeout.NoTimeout)
 
 
+def job_step(path: str) -> Callable[[DataFrame, int], None]:
+    """N1 per micro-batch: the rows of ``job_steps``, for jobs of any size. A micro-batch is replayed natively in buckets
+    of the sequence, from one row of state per job, so no task holds the steps of a job. Tables: ``job_tables``."""
+    out, state = job_tables(path)
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        # in a struct, so that steps without a job are a job too, as in a group
+        new = batch.filter("sequence IS NOT NULL").groupBy(F.struct("job_id").alias("job_id"), "sequence").agg(F.min("status").alias("target"))
+        before = state.latest(spark, batch_id)
+        if before is None:
+            new = new.withColumn("status", F.lit("pending"))
+        else:
+            new = new.join(before, "job_id", "left").filter("last_sequence IS NULL OR sequence > last_sequence")
+            new = new.withColumn("status", F.coalesce("status", F.lit("pending"))).drop("last_sequence")
+        new = cut_lineage(new)
+        jobs = new.groupBy("job_id").agg(F.first("status").alias("status"))
+        steps = new.drop("status")
+        s, t = F.col("from_status"), F.col("target")
+        rows = steps.join(R.states_before(jobs, steps), ["job_id", "sequence"])
+        rows = cut_lineage(rows.select("job_id", "sequence", s, t.alias("to_status"), F.coalesce(R.legal_edge(s, t), F.lit(False)).alias("applied")))
+        out.append(rows.withColumn("job_id", F.col("job_id.job_id")), batch_id)
+        state.append(job_state(rows), batch_id)
+
+    return step
+
+
+def job_tables(path: str) -> tuple[LogTable, LogTable]:
+    return LogTable(f"{path}/steps", ["job_id", "sequence"]), LogTable(f"{path}/state", ["job_id"])
+
+
 def job_state(steps: DataFrame) -> DataFrame:
     """Status and last sequence per job, of the rows that ``job_steps`` wrote."""
     after = F.when(F.col("applied"), F.col("to_status")).otherwise(F.col("from_status"))
