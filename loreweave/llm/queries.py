@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exactdedup, jaccard, langid, mixing, quality, secrets, suffixdedup, toxicity, warc
+from . import decontaminate, exactdedup, filteraudit, jaccard, langid, mixing, quality, secrets, suffixdedup, toxicity, warc
 from .common import remainder, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +151,35 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixdedup.remove_seen(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query(
+    "op11_transducer_filter_audit",
+    r"""
+    WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, min(doc_id) OVER (PARTITION BY text) AS low FROM d),
+    l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY 1),
+    r AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, CAST(len(ws) < 200 AS INT) AS a,
+        CAST(100 * len(list_distinct(ws)) < 50 * len(ws) AS INT) AS b,
+        CAST(100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) AS INT) AS c,
+        CAST(regexp_matches(text, '[#$%&*|]') AS INT) AS d, CAST(coalesce(low < w.doc_id, low IS NOT NULL AND w.doc_id IS NULL) AS INT) AS e
+        FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+    cells AS (SELECT part, a, b, c, d, e, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM r GROUP BY ALL),
+    f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+    o AS (SELECT p.f || q.f || r.f || s.f || t.f AS filter_order FROM f p, f q, f r, f s, f t
+        WHERE len(list_distinct([p.f, q.f, r.f, s.f, t.f])) = 5),
+    x AS (SELECT part, n, good, toxic, filter_order, list_transform(string_split(filter_order, ''), lambda k: CASE k WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d ELSE e END) AS fails
+        FROM cells, o),
+    y AS (SELECT *, coalesce(list_position(fails, 1), 6) AS pos, list_sum(fails) AS k FROM x),
+    z AS (SELECT part, filter_order, step, CAST(sum(n) FILTER (pos > step) AS BIGINT) AS kept, CAST(sum(n) FILTER (pos = step) AS BIGINT) AS removed,
+        CAST(sum(n) FILTER (pos < step AND fails[step] = 1) AS BIGINT) AS redundant, CAST(sum(n) FILTER (k = 1 AND pos = step) AS BIGINT) AS unique_fails,
+        CAST(sum(good) FILTER (pos = step) AS BIGINT) AS good_lost, CAST(sum(toxic) FILTER (pos = step) AS BIGINT) AS toxic_lost
+        FROM y, (SELECT unnest(range(1, 6)) AS step) GROUP BY 1, 2, 3)
+    SELECT part, filter_order, CAST(step AS INT) AS step, coalesce(kept, 0) AS kept, coalesce(removed, 0) AS removed, coalesce(redundant, 0) AS redundant,
+        coalesce(unique_fails, 0) AS unique_fails, coalesce(good_lost, 0) AS good_lost, coalesce(toxic_lost, 0) AS toxic_lost,
+        CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, filter_order[step]) AS BIGINT) AS shapley
+    FROM z
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
