@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exactdedup, filteraudit, jaccard, langid, mixing, quality, secrets, suffixdedup, toxicity, warc
+from . import decontaminate, exactdedup, fertility, filteraudit, jaccard, langid, mixing, quality, secrets, suffixdedup, toxicity, warc
 from .common import remainder, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -183,3 +183,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_fertility_rules")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fertility.report(table(spark, sf_dir, "documents"))
+    base = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return out.select(*base, "outside", "script", "token_entropy", *fertility.FIGURES)
