@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exactdedup, fertility, filteraudit, jaccard, langid, mixing, quality, secrets, suffixdedup, toxicity, warc
+from . import decontaminate, exactdedup, fertility, fillmiddle, filteraudit, jaccard, langid, mixing, quality, secrets, suffixdedup, toxicity, warc
 from .common import remainder, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -190,3 +190,24 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fertility.report(table(spark, sf_dir, "documents"))
     base = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return out.select(*base, "outside", "script", "token_entropy", *fertility.FIGURES)
+
+
+@query(
+    "op13_seekable_fill_middle",
+    r"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+    p AS (SELECT *, string_split(t, chr(10)) AS ls, [CAST('0x' || h[8 * i + 1 : 8 * i + 8] AS BIGINT) FOR i IN range(4)] AS r FROM d),
+    u AS (SELECT *, CASE WHEN t = '' THEN 0 ELSE len(ls) - CAST(ls[len(ls)] = '' AS INT) END AS n FROM p),
+    c AS (SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 100 THEN 'plain' WHEN r[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+    k AS (SELECT *, [CASE WHEN x = 0 THEN 0 WHEN x = n THEN length(t) ELSE length(array_to_string(ls[1:x], chr(10))) + 1 END FOR x IN [a, b]] AS cut FROM c),
+    s AS (SELECT *, substr(t, 1, cut[1]) AS pre, substr(t, cut[1] + 1, cut[2] - cut[1]) AS mid, substr(t, cut[2] + 1) AS suf FROM k)
+    SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(cut[1] AS BIGINT) END AS prefix_chars,
+        CASE WHEN form <> 'plain' THEN CAST(cut[2] - cut[1] AS BIGINT) END AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+        sha256(t) AS restored_sha256 FROM s
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fillmiddle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
