@@ -22,8 +22,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def prefix_starts(lengths: Column, block: int = 128) -> Column:
-    """Exclusive prefix sums of an array. Two levels keep the cost at n * block copies."""
+def prefix_starts(lengths: Column, block: int | None = None) -> Column:
+    """Exclusive prefix sums of an array. Two levels of ``block`` (twice the cube root of n) keep the copies of growing
+    arrays at n * block and (n / block) ** 2."""
 
     def scan(values: Column, first: Column) -> Column:
         grown = F.aggregate(
@@ -36,11 +37,9 @@ def prefix_starts(lengths: Column, block: int = 128) -> Column:
     def total(values: Column) -> Column:
         return F.aggregate(values, F.lit(0).cast("long"), lambda acc, x: acc + x)
 
-    def by_blocks(lens: Column) -> Column:
-        n_blocks = F.ceil(F.size(lens) / F.lit(block)).cast("int")
-        blocks = F.transform(
-            F.sequence(F.lit(0), n_blocks - 1), lambda b: F.slice(lens, b * block + 1, F.lit(block))
-        )
+    def by_blocks(lens: Column, size: Column) -> Column:
+        n_blocks = F.ceil(F.size(lens) / size).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda b: F.slice(lens, b * size + 1, size))
         return let(
             blocks,
             lambda bs: let(
@@ -54,8 +53,8 @@ def prefix_starts(lengths: Column, block: int = 128) -> Column:
     return let(
         lengths,
         lambda lens: F.when(F.size(lens) == 0, F.array().cast("array<bigint>"))
-        .when(F.size(lens) <= block, scan(lens, F.lit(0)))
-        .otherwise(by_blocks(lens)),
+        .when(F.size(lens) <= (block or 16), scan(lens, F.lit(0)))
+        .otherwise(let(F.lit(block) if block else F.ceil(2 * F.cbrt(F.size(lens))).cast("int"), lambda size: by_blocks(lens, size))),
     )
 
 
@@ -137,6 +136,22 @@ def scan_spans(text: Column, variant: Column) -> Column:
     ).otherwise(none)
 
 
+def word_runs(text: Column) -> Column:
+    """Every maximal word run of a text, found in one pass -> array of structs, in this order: run, where the gap before
+    it starts, that gap, the gap behind it, the run before that and the run behind this (null at the ends)."""
+    pattern = f"[{WORD}]+"
+
+    def build(x: Column) -> Column:
+        runs, gaps = x["runs"], x["gaps"]
+        n = F.size(runs)
+        before, after = F.slice(gaps, F.lit(1), n), F.slice(gaps, F.lit(2), n)
+        lengths = F.zip_with(before, runs, lambda g, r: (F.length(g) + F.length(r)).cast("long"))
+        shifted = F.slice(F.concat(F.array(F.lit(None).cast("string")), runs), F.lit(1), n)
+        return F.arrays_zip(runs, prefix_starts(lengths), before, after, shifted, F.slice(runs, F.lit(2), n))
+
+    return let(F.struct(F.regexp_extract_all(text, F.lit(pattern), 0).alias("runs"), F.split(text, pattern, -1).alias("gaps")), build)
+
+
 def char_slice(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, (start + 1).cast("int"), F.greatest(end - start, F.lit(0)).cast("int"))
 

@@ -26,6 +26,7 @@ REVIEW_GAP = 0.05
 STORED_ALIAS_SCORE = 0.82
 SUBSTRING_SCORE = 0.93
 DICE_WEIGHT = 0.9
+GRAM = 3  # our choice: letters of a gram of the candidate search
 MERGE_SCORE_MIN = 0.90
 MERGE_CONFIDENCE = 0.80
 IGNORE_CONFIDENCE = 0.95
@@ -192,54 +193,29 @@ def _limit_of(n: Column) -> Column:
     return F.floor(n * (1 - REVIEW_MIN) + 1e-9).cast("int")
 
 
-def _cuts(length: Column, n: Column) -> Column:
-    """Even partition of ``length`` characters into ``n`` segments -> array of (i, start, len)."""
-    base = F.floor(length / n).cast("int")
-    short = n - (length - base * n)
+def _grams(k: Column) -> Column:
+    """Runs of ``GRAM`` letters of a key padded at both ends -> array of (gram, at)."""
+    pad = GRAM - 1
+    padded = F.concat(F.lit("^" * pad), k, F.lit("$" * pad))
     return F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: F.struct(
-            i.alias("i"),
-            (i * base + F.greatest(i - short, F.lit(0))).alias("p"),
-            (base + (i >= short).cast("int")).alias("n"),
-        ),
+        F.sequence(F.lit(1), F.length(k) + pad), lambda i: F.struct(F.substring(padded, i, F.lit(GRAM)).alias("gram"), i.alias("at"))
     )
 
 
-def _edit_blocks(k: Column, as_shorter: str, as_longer: str) -> Column:
-    """Segment keys of one name in both roles of the pigeonhole argument."""
-    n = F.length(k)
-
-    def shorter(big: Column) -> Column:
-        return F.transform(
-            _cuts(n, _limit_of(big) + 1),
-            lambda s: F.concat_ws("|", F.lit(as_shorter), n, big, s["i"], F.substring(k, s["p"] + 1, s["n"])),
-        )
-
-    def longer(small: Column) -> Column:
-        limit, delta = _limit_of(n), n - small
-        return F.flatten(
-            F.transform(
-                _cuts(small, limit + 1),
-                lambda s: F.transform(
-                    F.sequence(
-                        F.greatest(s["p"] - s["i"], s["p"] + delta - (limit - s["i"]), F.lit(0)),
-                        F.greatest(
-                            F.least(s["p"] + s["i"], s["p"] + delta + (limit - s["i"]), n - s["n"]),
-                            F.greatest(s["p"] - s["i"], s["p"] + delta - (limit - s["i"]), F.lit(0)),
-                        ),
-                    ),
-                    lambda q: F.concat_ws("|", F.lit(as_longer), small, n, s["i"], F.substring(k, q + 1, s["n"])),
-                ),
-            )
-        )
+def _rare_grams(keys: DataFrame) -> DataFrame:
+    """(skey, rare): the grams of each distinct key at which a key within the edit limit must be met, with places.
 
-    biggest = F.floor(n / REVIEW_MIN + 1e-9).cast("int")
-    smallest = F.ceil(n * REVIEW_MIN - 1e-9).cast("int")
-    return F.concat(
-        F.flatten(F.transform(F.sequence(n, biggest), shorter)),
-        F.flatten(F.transform(F.sequence(smallest, n), longer)),
-    )
+    Two keys within d edits share all but GRAM * d grams of the longer one, each at a place that differs by d at most.
+    In an order common to all keys the first of these stands among the first grams of both; the order is by rarity, so
+    a word that very many names carry is hardly ever among them. How many are needed depends on the longer key."""
+    grams = keys.select("skey").distinct().select("skey", F.explode(_grams(F.col("skey"))).alias("_g")).select("skey", "_g.gram", "_g.at")
+    counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    n = F.length("skey")
+    need = F.array_max(F.transform(
+        F.sequence(n, F.floor(n / REVIEW_MIN + 1e-9).cast("int")), lambda longer: n - longer + GRAM * _limit_of(longer) + 1
+    ))
+    ranked = grams.join(counts, "gram").groupBy("skey").agg(F.array_sort(F.collect_list(F.struct("n", "gram", "at"))).alias("_all"))
+    return ranked.select("skey", F.slice("_all", F.lit(1), need).alias("rare"))
 
 
 def _word_blocks(k: Column) -> Column:
@@ -278,14 +254,18 @@ def _border_blocks(k: Column, role: str, all_widths: bool) -> Column:
 
 
 def _blocks(side: str) -> Column:
+    """(block, place) of a key with its rare grams; only grams have a place."""
     k = F.col("skey")
     left = side == "left"
-    return F.array_distinct(F.concat(
-        _edit_blocks(k, *(("e1", "e2") if left else ("e2", "e1"))),
+    words = F.array_distinct(F.concat(
         _word_blocks(k),
         _border_blocks(k, "c1" if left else "c2", False),
         _border_blocks(k, "c2" if left else "c1", True),
     ))
+    return F.concat(
+        F.transform("rare", lambda g: F.struct(F.concat(F.lit("e|"), g["gram"]).alias("x"), g["at"].alias("at"))),
+        F.transform(words, lambda x: F.struct(x.alias("x"), F.lit(0).alias("at"))),
+    )
 
 
 def _presence(parts: Column) -> Column:
@@ -303,26 +283,28 @@ def _bigrams(k: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(k) + 1), lambda i: F.substring(padded, i, F.lit(2)))
 
 
-def _block_rows(surfaces: DataFrame, scope: Sequence[str], side: str, out: str) -> DataFrame:
+def _block_rows(keys: DataFrame, rare: DataFrame, scope: Sequence[str], side: str, out: str) -> DataFrame:
     """One row per distinct key and blocking key; the blocking key travels as a hash (pairs that only
     share a hash are dropped by the comparison). Letters and bigrams travel as bits."""
-    keys = surfaces.select(*scope, "skey").distinct()
-    keys = keys.withColumn("_one", _presence(_letters(F.col("skey")))).withColumn("_two", _presence(_bigrams(F.col("skey"))))
-    keys = keys.withColumn("_x", F.explode(_blocks(side)))
-    return keys.select(
+    rows = keys.join(rare, "skey").withColumn("_one", _presence(_letters(F.col("skey")))).withColumn("_two", _presence(_bigrams(F.col("skey"))))
+    rows = rows.withColumn("_x", F.explode(_blocks(side)))
+    return rows.select(
         *scope, F.col("skey").alias(out), F.col("_one").alias(out + "1"), F.col("_two").alias(out + "2"),
-        F.left("_x", F.lit(1)).alias("_kind"), F.xxhash64("_x").alias("_b"))
+        F.left("_x.x", F.lit(1)).alias("_kind"), F.xxhash64("_x.x").alias("_b"), F.col("_x.at").alias(out + "_at"))
 
 
 def _can_reach(minimum: float) -> Column:
     """Only the part of the score that the blocking key stands for, cheapest form; the full score is
     computed later, on distinct pairs.
 
-    One edit changes at most two letters and four bigrams (those it removes and those it adds), so keys
-    whose bits differ in more cannot be near; this spares nearly all edit distances."""
+    One edit moves a gram by one place at most and changes at most two letters and four bigrams (those it removes and
+    those it adds), so keys whose places or bits differ in more cannot be near; this spares nearly all edit distances."""
     a, b = F.col("_l"), F.col("_r")
     most = f"cast(floor(greatest(length(_l), length(_r)) * {1 - minimum!r} + 1e-9) as int)"
-    near = F.expr(f"bit_count(_l2 ^ _r2) <= 4 * {most} AND bit_count(_l1 ^ _r1) <= 2 * {most} AND levenshtein(_l, _r, {most}) >= 0")
+    near = F.expr(
+        f"abs(_l_at - _r_at) <= {most} AND abs(length(_l) - length(_r)) <= {most} AND "
+        f"bit_count(_l2 ^ _r2) <= 4 * {most} AND bit_count(_l1 ^ _r1) <= 2 * {most} AND levenshtein(_l, _r, {most}) >= 0"
+    )
     return F.when(F.col("_kind") == "e", near).when(F.col("_kind") == "c", F.contains(a, b) | F.contains(b, a)).otherwise(F.lit(True))
 
 
@@ -357,7 +339,9 @@ def identity_scores(
     if minimum < REVIEW_MIN:
         raise ValueError("blocking is complete only from the review score upwards")
     ls, rs = resolution_surfaces(left, [*scope, left_id]), resolution_surfaces(right, [*scope, right_id])
-    lb, rb = _block_rows(ls, scope, "left", "_l"), _block_rows(rs, scope, "right", "_r")
+    lk, rk = (s.select(*scope, "skey").distinct() for s in (ls, rs))
+    rare = _rare_grams(lk.unionByName(rk))
+    lb, rb = _block_rows(lk, rare, scope, "left", "_l"), _block_rows(rk, rare, scope, "right", "_r")
     pairs = (
         lb.join(rb, [*scope, "_kind", "_b"])
         .filter(_can_reach(minimum))

@@ -1,9 +1,7 @@
 """Dictionary x text matching: occurrences of surfaces with exact offsets, and what follows from them.
 
-Matching is an equi-join, never a cross join. Surfaces that belong to one text join it on the text
-id. Surfaces with a wider scope (all aliases of a novel) are first matched to the texts that hold
-their longest word run, on distinct runs only, so that neither text nor offsets are shuffled for
-texts without a chance to match.
+Matching is an equi-join, never a cross join: texts become a positional index of word runs, and surfaces, of one
+text or of a wider scope (all aliases of a novel), meet it on their runs.
 """
 from __future__ import annotations
 
@@ -19,6 +17,7 @@ from loreweave.functions.textfns import (
     scan_spans,
     sentence_window,
     split_with_starts,
+    word_runs,
 )
 from loreweave.operators.segment import sentences
 
@@ -68,11 +67,62 @@ def variant_rows(surfaces: DataFrame) -> DataFrame:
     return surfaces.withColumn("variant", F.explode(K.surface_variants(F.col("surface"))))
 
 
-def _longest_run(c: Column) -> Column:
-    runs = F.transform(
-        F.regexp_extract_all(c, F.lit(RUN), 0), lambda r: F.struct((-F.length(r)).alias("n"), r.alias("r"))
+RUN_FIELDS = ("run", "gap", "before", "after", "prev", "next")
+
+
+def _exploded_runs(rows: DataFrame, text: Column) -> DataFrame:
+    """``rows`` times the word runs of ``text``: _place and the fields of each run, _start where it starts."""
+    kind = ",".join(f"{c}:{'bigint' if c == 'gap' else 'string'}" for c in RUN_FIELDS)
+    out = rows.select("*", F.posexplode(word_runs(text)).alias("_place", "_w")).withColumn("_w", F.col("_w").cast(f"struct<{kind}>"))
+    fields = {f"_{c}": F.col(f"_w.{c}") for c in RUN_FIELDS if c != "gap"}
+    return out.withColumns({"_start": F.col("_w.gap") + F.length("_w.before"), **fields}).drop("_w")
+
+
+def _anchors(rows: DataFrame) -> DataFrame:
+    """The runs by which a variant is looked up, each with its neighbours; _n of them must be met. Every second run is
+    enough, as each is met with both neighbours: of the two choices the one with the longer shortest run. A variant
+    that begins or ends with other characters is looked up by all of its runs."""
+    lengths = F.transform(F.regexp_extract_all("variant", F.lit(RUN), 0), F.length)
+
+    def shortest(parity: int) -> Column:
+        return F.coalesce(F.array_min(F.filter("_lengths", lambda _, i: i % 2 == parity)), F.lit(0))
+
+    bare = F.col("variant").rlike(rf"\A[{K.WORD}]") & F.col("variant").rlike(rf"[{K.WORD}]\z")
+    parsed = rows.withColumn("_lengths", lengths)
+    n = F.size("_lengths")
+    parsed = parsed.withColumns({"_last": n - 1, "_parity": F.when(~bare, -1).when(shortest(1) > shortest(0), 1).otherwise(0)})
+    parsed = parsed.withColumn("_n", F.when(~bare, n).otherwise(F.ceil((n - F.col("_parity")) / 2))).drop("_lengths")
+    runs = _exploded_runs(parsed, F.col("variant"))
+    used = runs.filter((F.col("_parity") < 0) | (F.col("_place") % 2 == F.col("_parity"))).drop("_parity")
+    return used.select(*rows.columns, "_n", F.col("_run").alias("_run_key"), *(F.col(f"_{c}").alias(f"_v_{c}") for c in ("place", "start", "before", "after", "prev", "next", "last")))
+
+
+def _overlaps_itself(variant: Column) -> Column:
+    """Whether a match of ``variant`` that begins a word can lie across the end of an earlier one: then the left-to-right
+    scan of the whole text decides. A variant of one run never does, as a word begins behind a character of no word."""
+    n = F.length(variant)
+    step = rf"\A[{K.WORD}]"
+    lengths = F.when((n > 1) & variant.rlike(rf"[^{K.WORD}]"), F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
+    return F.exists(
+        lengths,
+        lambda k: (F.left(variant, k) == F.right(variant, k)) & ~F.coalesce(variant.substr(n - k, F.lit(1)).rlike(step), F.lit(False)),
     )
-    return F.get(F.array_sort(runs), F.lit(0))["r"]
+
+
+def run_index(texts: DataFrame, keys: Sequence[str], text_col: str) -> DataFrame:
+    """Positional index of the word runs of each text: (*keys, _run_key, _place, _start, _before, _after, _prev, _next)."""
+    return _exploded_runs(texts, F.col(text_col)).select(*keys, F.col("_run").alias("_run_key"), "_place", "_start", "_before", "_after", "_prev", "_next")
+
+
+def _run_fits() -> Column:
+    """A run of a text and its surroundings against an anchor of a variant: neighbours within the variant are equal, and
+    what the variant has beyond its first and last run is there, not next to a word."""
+    first, last = F.col("_v_place") == 0, F.col("_v_place") == F.col("_v_last")
+    lead = F.endswith("_before", F.col("_v_before")) & ((F.length("_before") > F.length("_v_before")) | F.col("_prev").isNull())
+    tail = F.startswith("_after", F.col("_v_after")) & ((F.length("_after") > F.length("_v_after")) | F.col("_next").isNull())
+    left = F.when(first, (F.col("_v_before") == "") | lead).otherwise((F.col("_before") == F.col("_v_before")) & (F.col("_prev") == F.col("_v_prev")))
+    right = F.when(last, (F.col("_v_after") == "") | tail).otherwise((F.col("_after") == F.col("_v_after")) & (F.col("_next") == F.col("_v_next")))
+    return F.coalesce(left & right, F.lit(False))
 
 
 def find_occurrences(
@@ -81,35 +131,36 @@ def find_occurrences(
 ) -> DataFrame:
     """Every occurrence of every surface variant between word boundaries.
 
-    ``on`` names the scope the surfaces share with the texts. Every word run of a variant is a
-    complete word run of a text it matches, so blocking on the longest one loses nothing. A run
-    that very many texts hold is split by AQE as a skewed join."""
-    rows = variant_rows(surfaces)
+    ``on`` names the scope the surfaces share with the texts. Texts are read once, into a positional index of word
+    runs. A variant meets it by equi-join on every second of its runs, each with its neighbours, at places that agree; no
+    text is searched per variant. A key that very many texts hold is split by AQE as a skewed join.
+    Only texts that hold a variant which can overlap itself are scanned for it, as earlier matches then count. Equal rows
+    of ``surfaces`` count once."""
+    keys = list(dict.fromkeys([*on, text_id]))
     carried = [c for c in surfaces.columns if c not in on]
-    if text_id in on:
-        found = rows.join(texts.select(*on, F.col(text_col).alias("_text")), list(on))
-    else:
-        runs = (
-            texts.select(
-                text_id, *on,
-                F.explode(F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(RUN), 0))).alias("_run"),
-            )
-        )
-        dictionary = rows.withColumn("_run", _longest_run(F.col("variant")))
-        # text ids may repeat between scopes (chapter numbers do), so texts are found by both
-        found = (
-            runs.join(dictionary, [*on, "_run"])
-            .select(text_id, *on, *carried, "variant")
-            .join(texts.select(text_id, *on, F.col(text_col).alias("_text")), [*on, text_id])
-        )
+    rows = variant_rows(surfaces.distinct()).withColumn("_hard", _overlaps_itself(F.col("variant")))
+    # dealt by text, as the scan of the texts below needs them; both read the same shuffle
+    dealt = texts.select(*keys, F.col(text_col).alias("_text")).repartition(*keys)
+    index = run_index(dealt, keys, "_text")
+    columns = [*keys, *carried, "variant"]
+
+    # one join and one shuffle of what met; whether a variant is hard comes out of the aggregate, so that both uses of
+    # the matches below share them. The planner takes the index to be as large as the texts and might broadcast it.
+    found = index.join(_anchors(rows).hint("merge"), [*on, "_run_key"]).filter(_run_fits())
+    met = found.groupBy(*columns, (F.col("_place") - F.col("_v_place")).alias("_head")).agg(
+        F.count(F.lit(1)).alias("_met"), F.max("_n").alias("_n"), F.bool_or("_hard").alias("_hard"),
+        F.max(F.col("_start") - F.col("_v_start")).alias("_from"),
+    ).filter("_met = _n")
+    plain = met.filter("NOT _hard").select(*columns, "_from", (F.col("_from") + F.length("variant")).alias("_to"))
+    hard = met.filter("_hard AND _from IS NOT NULL").select(*columns).distinct()  # asks for what plain asks for, so they share
+    without_run = rows.filter(~F.col("variant").rlike(RUN)).drop("_hard").join(texts.select(*keys), list(on)).select(*columns)
+    scanned = hard.unionByName(without_run).join(dealt, keys).select(
+        *columns, F.inline(scan_spans(F.col("_text"), F.col("variant"))).alias("_from", "_to")
+    )
     keep = list(dict.fromkeys([text_id, *on, *carried]))
-    return (
-        found.select(*keep, "variant", F.explode(scan_spans(F.col("_text"), F.col("variant"))).alias("_h"))
-        .select(
-            *keep, F.col("variant").alias("text"),
-            F.col("_h.start").alias("start_char"), F.col("_h.end").alias("end_char"),
-            K.is_ambiguous(F.col("surface")).alias("ambiguous"),
-        )
+    return plain.unionByName(scanned).select(
+        *keep, F.col("variant").alias("text"), F.col("_from").alias("start_char"), F.col("_to").alias("end_char"),
+        K.is_ambiguous(F.col("surface")).alias("ambiguous"),
     )
 
 

@@ -17,6 +17,7 @@ def get_session(master: str | None = None, app: str = "loreweave", **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         # text work is bound by the processor: small splits keep all cores busy
         "spark.sql.files.maxPartitionBytes": "16m",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
         "spark.ui.enabled": "false",
     }
     for k, v in {**base, **conf}.items():
@@ -31,6 +32,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         folder = os.path.join(tempfile.gettempdir(), "loreweave-checkpoints")
     spark.sparkContext.setCheckpointDir(folder)
     return folder

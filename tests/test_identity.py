@@ -29,6 +29,26 @@ def similarity(a, b):
     return max(1.0 - lev(a, b) / max(len(a), len(b)), 2.0 * len(ta & tb) / (len(ta) + len(tb)) * 0.9, part)
 
 
+def test_blocks_are_linear_and_a_shared_word_hides_no_pair(spark):
+    """Half of the names carry one word; every key has at most about as many grams as letters."""
+    rng = random.Random(11)
+    names = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(4, 12))) for _ in range(120)]
+    left = [f"thane {n}" if i % 2 else n for i, n in enumerate(names)]
+    right = [s[: rng.randrange(len(s))] + rng.choice("abx") + s[rng.randrange(len(s)) :] for s in left]
+    key = lambda s: "_".join(s.split())
+    ld = spark.createDataFrame([(1, f"l{i}", s, []) for i, s in enumerate(left)], "novel_id int, left_id string, name string, aliases array<string>")
+    rd = spark.createDataFrame([(1, f"r{i}", s, []) for i, s in enumerate(right)], "novel_id int, right_id string, name string, aliases array<string>")
+    got = {(r.left_id, r.right_id): r.score for r in E.identity_scores(ld, rd).collect()}
+    want = {
+        (f"l{i}", f"r{j}"): similarity(key(a), key(b))
+        for i, a in enumerate(left) for j, b in enumerate(right)
+        if strong(key(a)) and strong(key(b)) and similarity(key(a), key(b)) >= 0.70
+    }
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    keys = ld.select(F.regexp_replace("name", " ", "_").alias("skey"))
+    assert keys.join(E._rare_grams(keys), "skey").filter(F.size("rare") > F.length("skey") + 2).isEmpty()
+
+
 def test_blocking_misses_no_pair(spark):
     rng = random.Random(7)
 

@@ -151,6 +151,25 @@ def test_scope_matching_equals_direct(spark):
     assert got == sorted(want)
 
 
+def test_runs_and_pairs_equal_twin(spark):
+    """Names of up to four runs, with edges, that overlap themselves, and without any run, in both scopes."""
+    rng = random.Random(9)
+    texts = [(i, i % 4, "".join(rng.choice(["a", "b", "ab", " ", " ", ", ", "-", ".", "é😀", "\n"]) for _ in range(rng.randint(0, 60)))) for i in range(80)]
+    surfaces = sorted({(n, "".join(rng.choice(["a", "b", "ab", " ", "-", "."]) for _ in range(rng.randint(1, 7)))) for n in range(4) for _ in range(60)})
+    td = spark.createDataFrame(texts, "text_id int, novel_id int, text string")
+    want = []
+    for i, n, t in texts:
+        for m, s in surfaces:
+            if m == n:
+                for v in {s, s[0].lower() + s[1:], s[0].upper() + s[1:]}:
+                    want += [(i, s, a, b) for a, b in scan_twin(t, v)]
+    by_novel = M.find_occurrences(td, spark.createDataFrame(surfaces + surfaces[:5], "novel_id int, surface string"), ["novel_id"])
+    assert sorted((r.text_id, r.surface, r.start_char, r.end_char) for r in by_novel.collect()) == sorted(want)
+    own = spark.createDataFrame([(i, s) for i, n, _ in texts for m, s in surfaces if m == n], "text_id int, surface string")
+    by_text = M.find_occurrences(td, own, ["text_id"])
+    assert sorted((r.text_id, r.surface, r.start_char, r.end_char) for r in by_text.collect()) == sorted(want) and len(want) > 500
+
+
 def test_first_letter_and_borders(spark):
     td = spark.createDataFrame([(1, "😀 anna Anna Annabel xAnna Anna_ Anna")], "text_id int, text string")
     sd = spark.createDataFrame([(1, "Anna")], "text_id int, surface string")
