@@ -4,20 +4,22 @@ Similarity is a blocked equi-join. Blocking keys are chosen so that no pair that
 review score is missed, and so that common letters or words do not pair everything with everything:
 * shared words: the few longest words of each name (prefix filter for the Dice score);
 * containment: the letters around a word border of the shorter name;
-* edit distance: one of its d + 1 segments must occur unchanged near its place (pigeonhole).
+* edit distance: one of the rarest grams of a name must occur near its place (prefix filter with places).
 """
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from loreweave.functions import keys as K
 from loreweave.functions import vocab as V
 from loreweave.functions.textfns import let
 from loreweave.operators.mentions import find_occurrences, identity_surfaces, quoted_span_array
-from loreweave.session import cut_lineage
+from loreweave.session import cut_lineage, ensure_checkpoint_dir
 
 # --- Fixed values -------------------------------------------------------------------------
 AUTO_MERGE = 0.98
@@ -622,19 +624,41 @@ def resolve_over_chapters(
     """E20 over whole novels: (outcomes, characters known at the end).
 
     ``observed`` also has ``position`` (0, 1, ... per novel). Chapters of one novel depend on each
-    other, so the driver walks over positions, every pass resolves that position of all novels at once
-    and sees only what was known before, reading the texts of that position only. State is checkpointed
-    per pass."""
-    last = observed.agg(F.max("position")).first()[0]
-    state, outcomes = start, None
+    other, so the driver walks over positions; every pass resolves that position of all novels at once and sees only
+    what was known before. A pass reads the observed and the texts of its position, and the characters of the novels
+    that go on: outcomes, and characters of novels that end, are files of their own below the shared folder, so the plan
+    of a pass does not grow with their number."""
+    spark, name = observed.sparkSession, uuid.uuid4().hex
+    folder = f"{ensure_checkpoint_dir(spark)}/resolve-{name}"
+    kinds = dict(observed.dtypes)
+    observed.withColumn("_part", F.col("position")).write.partitionBy("_part").parquet(f"{folder}/observed")
+    ends = cut_lineage(observed.groupBy(*scope).agg(F.max("position").alias("_end")))
+    last = ends.agg(F.max("_end")).first()[0]
+
+    def keep(df: DataFrame, kind: str, position: int) -> None:
+        df.write.parquet(f"{folder}/{kind}/position={position}")
+
+    state = cut_lineage(start.join(ends, list(scope), "left"))
+    keep(state.filter("_end IS NULL").drop("_end"), "known", -1)
+    going = state.filter("_end IS NOT NULL").drop("_end")
+    pass_schema = None
     for position in range(-1 if last is None else int(last) + 1):
-        now = observed.filter(F.col("position") == position).drop("position")
+        now = spark.read.parquet(f"{folder}/observed").filter(F.col("_part") == position).select(
+            *(F.col(c).cast(kinds[c]).alias(c) for c in observed.columns if c != "position"))
         here = texts.join(now.select(*scope, "text_id").distinct(), [*scope, "text_id"], "left_semi")
-        out = cut_lineage(resolve_identities(now, state, here, merge_decisions, creation_decisions, scope).withColumn(
-            "position", F.lit(position)))
-        state = cut_lineage(learn(state, now, out, scope))
-        outcomes = out if outcomes is None else outcomes.unionByName(out)
-    return outcomes, state
+        out = resolve_identities(now, going, here, merge_decisions, creation_decisions, scope)
+        keep(out, "outcomes", position)
+        pass_schema = out.schema
+        out = spark.read.schema(pass_schema).parquet(f"{folder}/outcomes/position={position}")
+        learned = cut_lineage(learn(going, now, out, scope).join(ends, list(scope)))
+        keep(learned.filter(F.col("_end") <= position).drop("_end"), "known", position)
+        going = learned.filter(F.col("_end") > position).drop("_end")
+    known = spark.read.schema(start.schema).parquet(f"{folder}/known/position=*")
+    if pass_schema is None:
+        return resolve_identities(observed.drop("position"), start, texts, merge_decisions, creation_decisions, scope).withColumn("position", F.lit(0)), known
+    outcomes = spark.read.schema(StructType([*pass_schema.fields, StructField("position", IntegerType())])).option(
+        "basePath", f"{folder}/outcomes").parquet(f"{folder}/outcomes")
+    return outcomes, known
 
 
 def learn(state: DataFrame, now: DataFrame, out: DataFrame, scope: Sequence[str] = ("novel_id",)) -> DataFrame:

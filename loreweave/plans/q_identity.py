@@ -277,6 +277,16 @@ def e20(spark, sf):
     return E.resolve_identities(observed(spark, sf), candidates(spark, sf), _texts(spark, sf), _merge_dec(spark, sf), _creation_dec(spark, sf))
 
 
+@query("e20_resolve_over_chapters")
+def e20_chapters(spark, sf):
+    """Two passes: the names of the later chapters of a novel meet what the earlier ones left."""
+    seen = observed(spark, sf)
+    middle = seen.groupBy("novel_id").agg(F.avg("text_id").alias("_middle"))
+    seen = seen.join(middle, "novel_id").withColumn("position", (F.col("text_id") > F.col("_middle")).cast("int")).drop("_middle")
+    outcomes, _ = E.resolve_over_chapters(seen, candidates(spark, sf), _texts(spark, sf), _merge_dec(spark, sf), _creation_dec(spark, sf))
+    return outcomes
+
+
 _E15 = f"""m AS (SELECT novel_id, observed_id, cand_id, o.name AS oname, o.alias AS oalias, c.alias AS calias FROM exact JOIN {OBS} o USING (novel_id, observed_id) JOIN {CAND} c USING (novel_id, cand_id)),
 kn AS (SELECT DISTINCT novel_id, {Q.key('display_name')} AS k FROM {CAND} WHERE source <> 'alias_map'),
 raw AS (SELECT novel_id, observed_id, cand_id, oname AS t, 1 AS g, calias FROM m UNION ALL SELECT novel_id, observed_id, cand_id, oalias, 2, calias FROM m),
