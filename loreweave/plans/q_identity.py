@@ -322,13 +322,52 @@ def e16(spark, sf):
     return E.merge_identity_list(rows, ["chapter_id"]).select("chapter_id", "name", "text")
 
 
-@query("e17_apply_alias_ownership")
+def _strong(k):
+    return f"(length(replace({k}, '_', '')) >= 4 AND (contains({k}, '_') OR length(replace({k}, '_', '')) >= 6))"
+
+
+_IDC, _OWN = I.duck(I.identities), I.duck(I.ownerships)
+_LONG = "list_filter(string_split({}, '_'), lambda t: length(t) >= 2)"
+_OWNER_SCORE = f"""CASE WHEN NOT {_strong('afold')} THEN 0.0::DOUBLE ELSE greatest(CASE WHEN {_strong('i.fold')} THEN {_sim('afold', 'i.fold')} ELSE 0.0 END,
+ coalesce(list_max(list_transform(list_filter(i.als, lambda a: {_strong('a.fold')} AND a.fold <> i.fold), lambda a: least({_sim('afold', 'a.fold')}, 0.82))), 0.0)) END"""
+# one row per chapter and step of the fold: a step looks up the owner, redirects it, checks the quote, applies the alias
+_FOLD17 = f"""WITH RECURSIVE own AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY chapter_id ORDER BY ord) AS rn FROM (
+ SELECT chapter_id, ord, alias_text AS text, {Q.key('alias_text')} AS akey, {Q.fkey('alias_text')} AS afold, {Q.key('owner_name')} AS okey, alias_type <> 'title' AS typed, length(alias_text) BETWEEN 2 AND 64 AS fit,
+  confidence >= 0.95 AS prim, {Q.fkey('quote')} AS qfold FROM {_OWN} WHERE confidence >= 0.78) WHERE okey <> akey),
+ids0 AS (SELECT chapter_id, list({{'name': name, 'key': {Q.key('name')}, 'fold': {Q.fkey('name')}, 'als': [{{'text': alias, 'key': {Q.key('alias')}, 'fold': {Q.fkey('alias')}, 'prim': FALSE}}]}} ORDER BY ord) AS ids FROM {_IDC} GROUP BY 1),
+st AS (SELECT chapter_id, 0::BIGINT AS rn, ids, []::VARCHAR[] AS gone, NULL::BIGINT AS l_ord, NULL::BOOLEAN AS l_applied, NULL::VARCHAR AS l_owner, NULL::VARCHAR AS l_alias FROM ids0
+ UNION ALL
+ SELECT chapter_id, rn,
+  CASE WHEN done AND valid THEN list_transform(ids, lambda i, n: CASE WHEN n = hit THEN {{'name': i.name, 'key': i.key, 'fold': i.fold, 'als': CASE WHEN len(list_filter(i.als, lambda a: a.key = akey)) > 0
+   THEN list_transform(i.als, lambda a: {{'text': a.text, 'key': a.key, 'fold': a.fold, 'prim': a.prim OR (a.key = akey AND prim)}}) ELSE list_append(i.als, {{'text': text, 'key': akey, 'fold': afold, 'prim': prim}}) END}} ELSE i END) ELSE ids END,
+  CASE WHEN done AND other AND NOT list_contains(gone, akey) THEN list_append(gone, akey) ELSE gone END,
+  CASE WHEN live THEN ord END, CASE WHEN live THEN done END, CASE WHEN live THEN t.name END, CASE WHEN live THEN text END
+ FROM (SELECT *, coalesce(live AND grounded, FALSE) AS done, fit AND akey <> t.key AND NOT (t.fold <> '' AND contains(afold, t.fold)) AS valid,
+   len(list_filter(list_transform(ids, lambda i, n: n <> hit AND i.key = akey), lambda x: x)) > 0 AS other FROM (
+  SELECT *, coalesce(hit > 0 AND NOT list_contains(gone, okey) AND NOT list_contains(gone, t.key) AND typed, FALSE) AS live,
+   contains(qfold, afold) AND (len(list_filter(folds, lambda f: f <> '' AND contains(qfold, f))) > 0
+    OR len(list_filter(folds, lambda f: len(list_intersect({_LONG.format('f')}, {_LONG.format('afold')})) > 0)) > 0) AS grounded FROM (
+  SELECT *, ids[hit] AS t, list_concat([ids[hit].fold], list_transform(ids[hit].als, lambda a: a.fold)) AS folds FROM (
+  SELECT *, CASE WHEN p = 0 OR taken OR coalesce(best, -1) < 0 OR NOT (best > scores[p] + 0.05) THEN p ELSE list_position(others, best) END AS hit FROM (
+  SELECT *, list_max(others) AS best FROM (
+  SELECT *, list_transform(scores, lambda x, n: CASE WHEN n = p OR x < 0.55 THEN -1.0 ELSE x END) AS others,
+   len(list_filter(list_transform(ids, lambda i, n: n <> p AND i.key = akey), lambda x: x)) > 0 AS taken FROM (
+  SELECT st.chapter_id, own.rn, ids, gone, own.ord, own.text, akey, afold, okey, typed, fit, prim, qfold,
+   coalesce(list_position(list_transform(ids, lambda i: i.key = okey OR len(list_filter(i.als, lambda a: a.key = okey)) > 0), TRUE), 0) AS p,
+   list_transform(ids, lambda i: {_OWNER_SCORE}) AS scores
+  FROM st JOIN own ON own.chapter_id = st.chapter_id AND own.rn = st.rn + 1) x1) x2) x3) x4) x5) x6) x7)"""
+
+
+@query("e17_apply_alias_ownership", _FOLD17 + """ SELECT x.chapter_id, o.ord, i.name AS name, array_to_string(list_transform(i.als, lambda a: a.text), '|') AS aliases,
+ array_to_string(list_transform(list_filter(i.als, lambda a: a.prim), lambda a: a.text), '|') AS primary_aliases
+ FROM (SELECT chapter_id, gone, unnest(ids) AS i FROM (SELECT chapter_id, arg_max(ids, rn) AS ids, arg_max(gone, rn) AS gone FROM st GROUP BY 1)) x JOIN (SELECT chapter_id, name, ord FROM """ + _IDC + """) o ON o.chapter_id = x.chapter_id AND o.name = i.name
+ WHERE NOT list_contains(gone, i.key)""")
 def e17(spark, sf):
     after, _ = E.apply_alias_ownership(chapter_identities(spark, sf), ownerships(spark, sf), ["chapter_id"])
     return after.withColumn("aliases", F.array_join("aliases", "|")).withColumn("primary_aliases", F.array_join("primary_aliases", "|"))
 
 
-@query("e17_ownership_report")
+@query("e17_ownership_report", _FOLD17 + " SELECT chapter_id, l_ord AS ord, l_applied AS applied, l_owner AS owner, l_alias AS alias FROM st WHERE l_ord IS NOT NULL")
 def e17_report(spark, sf):
     return E.apply_alias_ownership(chapter_identities(spark, sf), ownerships(spark, sf), ["chapter_id"])[1]
 
@@ -339,16 +378,11 @@ def _owned(spark, sf):
         "owner", E.owner_position(F.col("ids"), F.col("okey"))).filter("owner > 0")
 
 
-_IDC, _OWN = I.duck(I.identities), I.duck(I.ownerships)
 _OWNER = f"""own AS (SELECT o.*, {Q.key('alias_text')} AS akey, {Q.fkey('alias_text')} AS afold, {Q.key('owner_name')} AS okey FROM {_OWN} o),
 ids AS (SELECT *, {Q.key('name')} AS nk, {Q.fkey('name')} AS nf, {Q.key('alias')} AS ak2, {Q.fkey('alias')} AS af2 FROM {_IDC}),
 res AS MATERIALIZED (SELECT own.chapter_id, own.ord, any_value(akey) AS akey, any_value(afold) AS afold, any_value(quote) AS quote, min(ids.ord) AS oo FROM own JOIN ids ON own.chapter_id = ids.chapter_id AND (nk = okey OR ak2 = okey) GROUP BY 1, 2)"""
 
 
-def _strong(k):
-    return f"(length(replace({k}, '_', '')) >= 4 AND (contains({k}, '_') OR length(replace({k}, '_', '')) >= 6))"
-
-
 _SC = f"CASE WHEN NOT {_strong('afold')} THEN 0.0 ELSE greatest(CASE WHEN {_strong('nf')} THEN {_sim('afold', 'nf')} ELSE 0.0 END, CASE WHEN {_strong('af2')} AND af2 <> nf THEN least({_sim('afold', 'af2')}, 0.82) ELSE 0.0 END) END"
 
 
