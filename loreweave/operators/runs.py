@@ -1,12 +1,15 @@
 """Job, run and workspace analytics over the bookkeeping tables."""
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loreweave.functions.keys import blank_to_null, trim_ws
 from loreweave.functions.ordered import WIDTH, bucket_of, lag_in_key, row_number_in_key
 from loreweave.functions.textfns import is_json
+from loreweave.operators.aliases import retract_records
 from loreweave.operators.segment import word_count
 
 # --- Fixed values -------------------------------------------------------------------------
@@ -295,26 +298,41 @@ def finish_runs(runs: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFra
     return after, events
 
 
-def reset_runs(runs: DataFrame, records: DataFrame, jobs: DataFrame, resets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(runs, records, jobs) after the resets. ``resets``: job_id, from_num, to_num; no bounds = all
-    chapters. The alias map is rebuilt from the records that stay (J1)."""
-    r = resets.select("job_id", F.col("from_num").alias("_f"), F.col("to_num").alias("_t"))
-
-    def keep(df: DataFrame) -> DataFrame:
-        return df.join(
-            r, (df["job_id"] == r["job_id"]) & (df["chapter_num"] >= F.coalesce(r["_f"], df["chapter_num"]))
-            & (df["chapter_num"] <= F.coalesce(r["_t"], df["chapter_num"])), "left_anti",
-        )
-
+def reset_runs(runs: DataFrame, jobs: DataFrame, resets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(runs, jobs) after the resets. ``resets``: job_id, from_num, to_num; no bounds = all chapters.
+    ``reset_records`` does the same to records, what belongs to them and the alias map."""
     hit = F.col("_hit").isNotNull()
-    j = jobs.join(r.select("job_id", F.lit(1).alias("_hit")).distinct(), "job_id", "left")
+    j = jobs.join(resets.select("job_id", F.lit(1).alias("_hit")).distinct(), "job_id", "left")
     cols = [c for c in ("started_at", "finished_at", "error_code", "error_message") if c in jobs.columns]
     after = j.select(*[
         F.when(hit, F.lit("pending")).otherwise(F.col(c)).alias(c) if c == "status"
         else F.when(~hit, F.col(c)).alias(c) if c in cols else F.col(c)
         for c in jobs.columns
     ])
-    return keep(runs), keep(records), after
+    return outside(runs, resets), after
+
+
+def _within(rows: DataFrame, resets: DataFrame, job: Sequence[str], how: str) -> DataFrame:
+    r = resets.select(*(F.col(c).alias(f"_r_{c}") for c in job), F.col("from_num").alias("_f"), F.col("to_num").alias("_t"))
+    hit = (F.col("chapter_num") >= F.coalesce("_f", "chapter_num")) & (F.col("chapter_num") <= F.coalesce("_t", "chapter_num"))
+    for c in job:
+        hit = hit & (F.col(c) == F.col(f"_r_{c}"))
+    return rows.join(r, hit, how)
+
+
+def outside(rows: DataFrame, resets: DataFrame, job: Sequence[str] = ("job_id",)) -> DataFrame:
+    """Rows (job, chapter_num and more) in no range of ``resets``."""
+    return _within(rows, resets, job, "left_anti")
+
+
+def reset_records(
+    records: DataFrame, parts: dict[str, DataFrame], values: DataFrame, aliases: DataFrame, resets: DataFrame, job: Sequence[str] = ("job_id",)
+) -> dict[str, DataFrame]:
+    """K13 for what an analysis has written: ``records`` of reset chapters go, with them the rows of ``parts`` and
+    ``values`` (by record_id), and the alias map is kept up by what left (J1)."""
+    gone = _within(records, resets, job, "left_semi").select(*job, "record_id")
+    out = {name: df.join(gone.select("record_id"), "record_id", "left_anti") for name, df in {**parts, "values": values}.items()}
+    return {**out, "records": outside(records, resets, job), "aliases": retract_records(aliases, records, values, gone, job)}
 
 
 def latest_job(jobs: DataFrame) -> DataFrame:
@@ -335,7 +353,7 @@ def workspace_snapshot(
     projects: DataFrame, novels: DataFrame, chapters: DataFrame, jobs: DataFrame, runs: DataFrame, events: DataFrame
 ) -> DataFrame:
     """One flat row per active project: novel in use, its latest job and what belongs to them.
-    The lists behind the counts are the tables themselves, joined on novel_id and job_id."""
+    ``workspace_lists`` has the lists behind the counts."""
     base = (
         projects.filter(F.col("deleted_at").isNull()).select("project_id", "name")
         .join(active_novel(novels), "project_id", "left")
@@ -350,6 +368,20 @@ def workspace_snapshot(
     )
 
 
+def workspace_lists(projects: DataFrame, novels: DataFrame, jobs: DataFrame, lists: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The lists of the snapshot of each active project, one flat view each: the rows of the novel in use or, where a
+    list has a job_id, of its latest job. Every list keeps its columns and gets project_id first."""
+    active = active_novel(novels).select("project_id", "novel_id")
+    base = projects.filter(F.col("deleted_at").isNull()).select("project_id").join(active, "project_id")
+    latest = latest_job(jobs).select("novel_id", "job_id")
+    of_job = base.join(latest, "novel_id").select("project_id", "job_id")
+    out = {}
+    for name, rows in lists.items():
+        key, owner = ("job_id", of_job) if "job_id" in rows.columns else ("novel_id", base)
+        out[name] = rows.join(owner.withColumnRenamed("project_id", "_project"), key).select(F.col("_project").alias("project_id"), *rows.columns)
+    return out
+
+
 def estimate_cost(usage: DataFrame) -> DataFrame:
     """Cost per usage row; unknown token counts give no cost."""
     model = F.lower(trim_ws(F.col("model")))

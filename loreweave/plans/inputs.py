@@ -138,6 +138,13 @@ def char_recs(d: str) -> str:
  split_part(name, ' ', 1) AS display_name, MIN(pos) AS ord FROM ({pairs(d)}) _p GROUP BY chapter_id, novel_id, chapter_num, split_part(name, ' ', 1)"""
 
 
+def novel_resets(d: str) -> str:
+    """Resets of the analysis of some novels: a range of chapters, or all of them."""
+    whole = "MIN(doc_id) % 4 = 0"
+    return f"""SELECT source AS novel_id, CASE WHEN {whole} THEN NULL ELSE MIN(doc_id) + COUNT(*) END AS from_num, CASE WHEN {whole} THEN NULL ELSE MIN(doc_id) + 8 * COUNT(*) END AS to_num
+ FROM documents GROUP BY source HAVING MIN(doc_id) % 5 <> 0"""
+
+
 def char_values(d: str) -> str:
     """Alias and attribute values of the records of ``char_recs``: the word after the name."""
     return f"""SELECT chapter_id, novel_id, chapter_num, CAST(chapter_id AS STRING) || ':' || split_part(name, ' ', 1) AS record_id, split_part(name, ' ', 1) AS display_name, pos,

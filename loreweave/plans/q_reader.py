@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from loreweave.operators import mentions as D
 from loreweave.operators import reader as M
+from loreweave.operators import runs as RU
 from loreweave.plans import inputs as I
 from loreweave.plans import q_mentions as QM
 from loreweave.plans import q_records as QR
@@ -246,3 +247,36 @@ SELECT novel_id, ik AS identity_key, own AS record_id, c AS from_chapter, CASE W
 UNION ALL SELECT novel_id, ik, f, c + 1, e FROM w WHERE n > 1 AND (e IS NULL OR e > c)""")
 def m6(spark, sf):
     return M.identity_records(QR.char_recs(spark, sf))
+
+
+# --- K13: resets of what an analysis has written --------------------------------------------------
+_NR = I.duck(I.novel_resets)
+_LEFT = f"(SELECT * FROM {CR} c WHERE NOT EXISTS (SELECT 1 FROM {_NR} x WHERE x.novel_id = c.novel_id AND (x.from_num IS NULL OR c.chapter_num BETWEEN x.from_num AND x.to_num)))"
+
+
+def _after_reset(spark, sf):
+    resets = I.run(spark, sf, I.novel_resets)
+    values = QR.char_values(spark, sf).select("record_id", "field_key", "field_label", "pos", "value_text", "confidence", "evidence")
+    records = QR.char_recs(spark, sf).drop("chapter_id")
+    return RU.reset_records(records, {"mentions": mentions(spark, sf)}, values, QR.alias_map(spark, sf), resets, ["novel_id"])
+
+
+@query("k13_reset_records", f"SELECT novel_id, record_id, chapter_num FROM {_LEFT}")
+def k13_records(spark, sf):
+    return _after_reset(spark, sf)["records"].select("novel_id", "record_id", "chapter_num")
+
+
+@query("k13_reset_values", f"SELECT record_id, field_key, pos, value_text FROM {CV} v WHERE record_id IN (SELECT record_id FROM {_LEFT})")
+def k13_values(spark, sf):
+    return _after_reset(spark, sf)["values"].select("record_id", "field_key", "pos", "value_text")
+
+
+@query("k13_reset_mentions", f"SELECT record_id, text, start_char, end_char, mention_type FROM {MN} m WHERE record_id IN (SELECT record_id FROM {_LEFT})")
+def k13_mentions(spark, sf):
+    return _after_reset(spark, sf)["mentions"].select("record_id", "text", "start_char", "end_char", "mention_type")
+
+
+@query("k13_reset_aliases", f"WITH {QR._J1.replace(CR, _LEFT)} SELECT novel_id, entity_key, alias_key, display_name, alias_type, alias_label, alias_text, first_chapter_num, confidence, quote FROM amap")
+def k13_aliases(spark, sf):
+    left = _after_reset(spark, sf)["aliases"]
+    return left.withColumn("quote", F.get("evidence", F.lit(0))["quote"]).drop("evidence")

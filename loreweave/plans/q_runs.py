@@ -159,7 +159,7 @@ def k13(spark, sf):
 
 @query("k13_reset_jobs", f"SELECT job_id, CASE WHEN h THEN 'pending' ELSE status END AS status, CASE WHEN NOT h THEN started_at END AS started_at, CASE WHEN NOT h THEN error_code END AS error_code, CASE WHEN NOT h THEN error_message END AS error_message FROM (SELECT *, job_id IN (SELECT job_id FROM ({_RESETS})) AS h FROM {T('jobs')})")
 def k13_jobs(spark, sf):
-    return _reset(spark, sf)[2].select("job_id", "status", "started_at", "error_code", "error_message")
+    return _reset(spark, sf)[1].select("job_id", "status", "started_at", "error_code", "error_message")
 
 
 def _reset(spark, sf):
@@ -167,7 +167,7 @@ def _reset(spark, sf):
     resets = R.normalize_ranges(raw)[0].unionByName(
         jobs.filter("job_id % 4 = 3").select("job_id", F.lit(None).cast("bigint").alias("from_num"), F.lit(None).cast("bigint").alias("to_num"))
     )
-    return R.reset_runs(runs, runs, jobs, resets)
+    return R.reset_runs(runs, jobs, resets)
 
 
 _LATEST = f"SELECT novel_id, job_id, status, created_at FROM {T('jobs')} QUALIFY row_number() OVER (PARTITION BY novel_id ORDER BY created_at DESC, job_id DESC) = 1"
@@ -188,6 +188,34 @@ def k15(spark, sf):
     return R.workspace_snapshot(*S(spark, sf, "projects", "job_novels", "job_chapters", "jobs", "runs", "history"))
 
 
+_BASE = f"(SELECT p.project_id AS pid, a.novel_id, l.job_id FROM {T('projects')} p JOIN ({_ACTIVE}) a USING (project_id) LEFT JOIN ({_LATEST}) l USING (novel_id) WHERE p.deleted_at IS NULL) b"
+
+
+def _lists(spark, sf):
+    projects, novels, chapters, jobs, runs, events = S(spark, sf, "projects", "job_novels", "job_chapters", "jobs", "runs", "history")
+    lists = {
+        "chapters": chapters.select("novel_id", "chapter_id", "chapter_num", "title"),
+        "states": R.chapter_states(jobs, chapters, runs).select("job_id", "chapter_id", "status", "attempt"),
+        "events": events.select("job_id", "sequence", "event_type"),
+    }
+    return R.workspace_lists(projects, novels, jobs, lists)
+
+
+@query("k15_chapter_list", f"SELECT pid AS project_id, novel_id, chapter_id, chapter_num, title FROM {T('job_chapters')} c JOIN {_BASE} USING (novel_id)")
+def k15_chapters(spark, sf):
+    return _lists(spark, sf)["chapters"]
+
+
+@query("k15_state_list", f"SELECT pid AS project_id, s.job_id, chapter_id, status, attempt FROM ({_STATE}) s JOIN {_BASE} ON b.job_id = s.job_id")
+def k15_states(spark, sf):
+    return _lists(spark, sf)["states"]
+
+
+@query("k15_event_list", f"SELECT pid AS project_id, h.job_id, sequence, event_type FROM {T('history')} h JOIN {_BASE} ON b.job_id = h.job_id")
+def k15_events(spark, sf):
+    return _lists(spark, sf)["events"]
+
+
 _USAGE = """SELECT l_orderkey AS job_id, CASE l_returnflag WHEN 'A' THEN ' Model-2.5-Pro' WHEN 'N' THEN 'model-2.5-flash' ELSE 'other' END AS model,
  CASE WHEN l_linenumber <> 3 THEN CAST(l_quantity * 1000 AS BIGINT) END AS input_tokens, CASE WHEN l_linenumber <> 4 THEN CAST(l_quantity * 10 AS BIGINT) END AS output_tokens FROM lineitem"""
 _COST = f"SELECT *, CASE WHEN contains(lower(model), '2.5-pro') THEN input_tokens / 1000000.0 * 1.25 + output_tokens / 1000000.0 * 10.0 ELSE input_tokens / 1000000.0 * 0.3 + output_tokens / 1000000.0 * 2.5 END AS c FROM ({_USAGE})"
