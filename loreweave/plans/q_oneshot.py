@@ -110,7 +110,28 @@ def i2_suspects(spark, sf):
     return O.build_character_records(characters(spark, sf), chapters(spark, sf))["suspects"]
 
 
-@query("i3_merge_probable_aliases")
+# one row per chapter and step of the fold over its records; merged records leave the list, so the place stays
+_BROAD = "(length({0}) >= 6 AND contains({0}, '_'))"
+_STRONG = "t.id <> src.id AND (len(t.m) > len(src.m) OR t.n > 0 OR len(t.a) > 0)"
+_I3 = f"""m3 AS (SELECT own.chapter_id, record_ord, list(DISTINCT s || ':' || e || ':' || {Q.key('text')}) AS m FROM own JOIN men ON men.chapter_id = own.chapter_id AND men.ord = own.ord GROUP BY 1, 2),
+v3 AS (SELECT own.chapter_id, record_ord, count(*) FILTER (attr) AS n, list(DISTINCT f) FILTER (f <> '') AS a FROM own JOIN (SELECT chapter_id, ord, {Q.fkey('text')} AS f, FALSE AS attr FROM al
+ UNION ALL SELECT chapter_id, ord, {Q.fkey('value_text')}, TRUE FROM f1 WHERE okc AND p >= 0) x ON x.chapter_id = own.chapter_id AND x.ord = own.ord GROUP BY 1, 2),
+rs0 AS (SELECT rec.chapter_id, list({{'id': rec.record_ord, 'k': {Q.fkey('display_name')}, 'm': coalesce(m, []::VARCHAR[]), 'n': coalesce(n, 0), 'a': coalesce(a, []::VARCHAR[])}} ORDER BY rec.record_ord) AS rs
+ FROM rec LEFT JOIN m3 ON m3.chapter_id = rec.chapter_id AND m3.record_ord = rec.record_ord LEFT JOIN v3 ON v3.chapter_id = rec.chapter_id AND v3.record_ord = rec.record_ord GROUP BY 1),
+st3 AS (SELECT chapter_id, 0 AS step, 1::BIGINT AS i, rs, []::STRUCT(s BIGINT, t BIGINT, kind VARCHAR)[] AS log FROM rs0
+ UNION ALL SELECT chapter_id, step + 1, CASE WHEN hit = 0 THEN i + 1 ELSE i END,
+  CASE WHEN hit = 0 THEN rs ELSE list_filter(list_transform(rs, lambda r, n: CASE WHEN n = hit THEN {{'id': r.id, 'k': r.k, 'm': list_distinct(list_concat(r.m, src.m)), 'n': r.n, 'a': list_distinct(list_concat(r.a, src.a))}} ELSE r END), lambda r: r.id <> src.id) END,
+  CASE WHEN hit = 0 THEN log ELSE list_append(log, {{'s': src.id, 't': rs[hit].id, 'kind': CASE WHEN exact > 0 THEN 'exact_alias_surface' ELSE 'near_alias_surface' END}}) END
+ FROM (SELECT *, CASE WHEN NOT (len(src.m) <= 2 AND src.n = 0 AND src.k <> '') THEN 0 WHEN exact > 0 THEN exact ELSE close END AS hit FROM (
+  SELECT *, coalesce(list_position(list_transform(rs, lambda t: {_STRONG} AND (t.k = src.k OR list_contains(t.a, src.k))), TRUE), 0) AS exact,
+   coalesce(list_position(list_transform(rs, lambda t: {_STRONG} AND len(list_filter(t.a, lambda a: a = src.k OR ({_BROAD.format('a')} AND {_BROAD.format('src.k')} AND levenshtein(a, src.k) <= 1))) > 0), TRUE), 0) AS close
+  FROM (SELECT *, rs[i] AS src FROM st3 WHERE i <= len(rs)) x1) x2) x3),
+log3 AS (SELECT chapter_id, log, unnest(log) AS e FROM (SELECT chapter_id, arg_max(log, step) AS log FROM st3 GROUP BY 1)),
+mrg3 AS (SELECT chapter_id, e.s AS source_ord, e.t AS target_ord, e.kind AS match_kind,
+ list_reduce(list_prepend({{'s': 0::BIGINT, 't': e.t, 'kind': ''}}, log), lambda c, x: {{'s': 0::BIGINT, 't': CASE WHEN x.s = c.t THEN x.t ELSE c.t END, 'kind': ''}}).t AS final_ord FROM log3)"""
+
+
+@query("i3_merge_probable_aliases", f"WITH RECURSIVE {_CC}, {_FLD}, {_I3} SELECT chapter_id, source_ord, target_ord, match_kind, final_ord FROM mrg3")
 def i3(spark, sf):
     b = O.build_character_records(characters(spark, sf), chapters(spark, sf))
     return O.merge_probable_aliases(b["records"], b["mentions"], b["values"])
@@ -160,7 +181,36 @@ def i7_suspects(spark, sf):
     return _rel(spark, sf)["suspects"]
 
 
-@query("i8_merge_relationship_values")
+_TOKS = "list_filter(string_split({0}, '_'), lambda t: t <> '')"
+_SPEC = "len(" + _TOKS + ") * 1000 + length(regexp_replace({0}, '[^A-Za-z0-9]', '', 'g'))"
+
+
+def _starts(a, b):
+    return f"(len({a}) < len({b}) AND {b}[1:len({a})] = {a})"
+
+
+def _overlap(a, b):
+    return f"(len({a}) > 0 AND len({b}) > 0 AND ({a} = {b} OR {_starts(a, b)} OR {_starts(b, a)}))"
+
+
+# one row per pair, chapter and value in order of arrival; a value goes into the first one of the same edge
+_EDGE = "'value': {0}value, 'related': {0}related, 'direction': {0}direction, 'rtype': {0}rtype, 'conf': {0}conf, 'ev': {0}ev, 'rk': {0}rk, 'toks': {0}toks, 'spec': {0}spec, 'tspec': {0}tspec"
+_BETTER = "(len(v.toks) > 0 AND (len(x.toks) = 0 OR v.spec > x.spec))"
+_TYPED = "(v.rtype <> '' AND (x.rtype = '' OR v.tspec > x.tspec))"
+_I8 = f"""e8 AS (SELECT chapter_id, entity_key, ord, pos, value, related, direction, ty AS rtype, confidence AS conf, [{{'p': (p - 1)::BIGINT, 'q': quote}}] AS ev, {Q.akey('related')} AS rk, {Q.fkey('value')} AS vf, {Q.fkey('ty')} AS tf, ord = min(ord) OVER (PARTITION BY chapter_id, entity_key) AS first
+ FROM (SELECT *, 0 AS pos, ll AS value, rn AS related, 'self_to_related' AS direction FROM pairs2 UNION ALL SELECT *, 1, rl, ln, 'related_to_self' FROM pairs2)),
+v8 AS MATERIALIZED (SELECT *, {_TOKS.format('vf')} AS toks, {_SPEC.format('vf')} AS spec, {_SPEC.format('tf')} AS tspec, row_number() OVER (PARTITION BY chapter_id, entity_key ORDER BY ord, pos) AS rn8 FROM e8),
+st8 AS (SELECT chapter_id, entity_key, 1::BIGINT AS rn8, [{{{_EDGE.format('')}}}] AS acc FROM v8 WHERE rn8 = 1
+ UNION ALL SELECT chapter_id, entity_key, rn8, CASE WHEN hit = 0 THEN list_append(acc, v) ELSE list_transform(acc, lambda x, n: CASE WHEN n <> hit THEN x ELSE {{'value': CASE WHEN {_BETTER} THEN v.value ELSE x.value END, 'related': x.related, 'direction': x.direction,
+  'rtype': CASE WHEN {_TYPED} THEN v.rtype ELSE x.rtype END, 'conf': greatest(x.conf, v.conf), 'ev': list_sort(list_distinct(list_concat(x.ev, v.ev))), 'rk': x.rk, 'toks': CASE WHEN {_BETTER} THEN v.toks ELSE x.toks END,
+  'spec': CASE WHEN {_BETTER} THEN v.spec ELSE x.spec END, 'tspec': CASE WHEN {_TYPED} THEN v.tspec ELSE x.tspec END}} END) END
+ FROM (SELECT *, CASE WHEN first THEN 0 ELSE coalesce(list_position(list_transform(acc, lambda x: x.rk = v.rk AND x.direction = v.direction AND ((x.rtype <> '' AND x.rtype = v.rtype) OR {_overlap('x.toks', 'v.toks')})), TRUE), 0) END AS hit
+  FROM (SELECT st8.chapter_id, st8.entity_key, v8.rn8, acc, first, {{{_EDGE.format('v8.')}}} AS v FROM st8 JOIN v8 ON v8.chapter_id = st8.chapter_id AND v8.entity_key = st8.entity_key AND v8.rn8 = st8.rn8 + 1) y1) y2),
+val8 AS (SELECT chapter_id, entity_key, (unnest(range(len(acc))))::BIGINT AS pos, unnest(acc) AS x FROM (SELECT chapter_id, entity_key, arg_max(acc, rn8) AS acc FROM st8 GROUP BY 1, 2)),
+values8 AS (SELECT chapter_id, entity_key, pos, x.value AS value, x.related AS related, x.direction AS direction, x.rtype AS rtype, x.conf AS confidence, x.ev AS ev FROM val8)"""
+
+
+@query("i8_merge_relationship_values", f"WITH RECURSIVE {_I7}, {_I8} SELECT chapter_id, entity_key, pos::INT AS pos, value, related, direction, rtype, confidence, array_to_string(list_transform(ev, lambda e: e.p || '~' || e.q), '|') AS evidence FROM values8")
 def i8(spark, sf):
     v = _rel(spark, sf)["values"]
     return v.withColumn("evidence", F.array_join(F.transform("evidence", lambda e: F.concat_ws("~", e["start_char"].cast("string"), e["quote"])), "|"))
