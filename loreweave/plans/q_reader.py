@@ -10,7 +10,7 @@ from loreweave.plans import inputs as I
 from loreweave.plans import q_mentions as QM
 from loreweave.plans import q_records as QR
 from loreweave.plans import sqlkit as Q
-from loreweave.plans.q_oneshot import _rel
+from loreweave.plans.q_oneshot import _I7, _I8, _rel
 from loreweave.plans.registry import query
 
 CR, CV, IDC, CH, QT = I.duck(I.char_recs), I.duck(I.char_values), I.duck(I.identities), I.duck(I.chapters), I.duck(I.quoted_texts)
@@ -222,7 +222,23 @@ def m3(spark, sf):
     return M.alias_summaries(QR.char_recs(spark, sf), QR.char_values(spark, sf), amap, mentions(spark, sf))
 
 
-@query("m4_relationship_summaries")
+def _read_spec(x):
+    t = f"list_filter(string_split(regexp_replace({rk(x)}, '[^\\p{{L}}\\p{{N}}]+', '_', 'g'), '_'), lambda t: t <> '')"
+    return f"(len({t}) * 1000 + length(array_to_string({t}, '')))"
+
+
+_M4 = f"""ch4 AS (SELECT novel_id, ek, min_by(display_name, o) AS display_name, min_by(chapter_num, o) AS chapter_num FROM (SELECT novel_id, replace(lower(name), ' ', '_') AS ek, name AS display_name, chapter_num, (chapter_num, name, chapter_id || '/' || name) AS o FROM {IDC}) GROUP BY 1, 2),
+rl4 AS (SELECT p.chapter_id, p.entity_key, c.novel_id, c.chapter_num, min_by(ln || ' ↔ ' || rn, ord) AS pair, p.chapter_id || '/' || p.entity_key AS record_id FROM pairs2 p JOIN (SELECT chapter_id, novel_id, chapter_num FROM {CH}) c ON c.chapter_id = p.chapter_id GROUP BY 1, 2, 3, 4),
+en4 AS (SELECT DISTINCT rl4.*, split_part(entity_key, '|', a) AS own, split_part(entity_key, '|', 5 - a) AS other FROM rl4, (SELECT unnest([2, 3]) AS a)),
+j4 AS (SELECT en4.*, a.display_name AS own_name, coalesce(b.display_name, CASE WHEN {rk("split_part(pair, ' ↔ ', 1)")} = {rk('a.display_name')} THEN split_part(pair, ' ↔ ', 2) ELSE split_part(pair, ' ↔ ', 1) END) AS related_name,
+ b.chapter_num || ':entity:' || lower(b.ek) AS rkey FROM en4 JOIN ch4 a ON a.novel_id = en4.novel_id AND a.ek = own LEFT JOIN ch4 b ON b.novel_id = en4.novel_id AND b.ek = other),
+v4 AS (SELECT j4.*, pos, trim(value) AS l, ev, {rk('related_name')} AS rel, (j4.chapter_num, pair, record_id, pos) AS o FROM j4 JOIN values8 v ON v.chapter_id = j4.chapter_id AND v.entity_key = j4.entity_key WHERE trim(value) <> '' AND (related = '' OR {rk('related')} = {rk('related_name')})),
+q4 AS (SELECT novel_id, own, rel, chapter_num, min(q) AS q FROM (SELECT novel_id, own, rel, chapter_num, trim(unnest(ev).q) AS q FROM v4) WHERE q <> '' GROUP BY 1, 2, 3, 4, {rk('q')})"""
+
+
+@query("m4_relationship_summaries", f"""WITH RECURSIVE {_I7}, {_I8}, {_M4} SELECT b.novel_id, b.own AS entity_key, related_name, label, record_key, coalesce(quotes, '') AS quotes FROM (
+ SELECT novel_id, own, rel, min_by(related_name, o) AS related_name, min_by(l, (-{_read_spec('l')}, o)) AS label, min_by(rkey, (rkey IS NULL, o)) AS record_key FROM v4 GROUP BY 1, 2, 3) b
+ LEFT JOIN (SELECT novel_id, own, rel, string_agg(chapter_num || ':' || q, '|' ORDER BY chapter_num, q) AS quotes FROM q4 GROUP BY 1, 2, 3) q ON q.novel_id = b.novel_id AND q.own = b.own AND q.rel = b.rel""")
 def m4(spark, sf):
     built = _rel(spark, sf)
     rec = I.run(spark, sf, I.identities).select(
