@@ -39,6 +39,8 @@ from .common import shared_path, stage
 LENGTH, GRAM = 50, 24
 BATCH = 16 << 20
 PAIR = np.dtype([("key", np.uint64), ("context", np.uint64)])
+#: Bytes of which windows are named at once.
+STRIDE = 1 << 20
 #: Entries of one key range, about.
 RANGE = 1 << 18
 
@@ -52,9 +54,16 @@ class Suffixes:
         _, self.offsets = column_bytes(texts)
         self.rank_of = rank
         for first, _, data, offsets in chunks(texts):
-            found = self._sample(data, offsets)
-            if found is not None:
+            for begin in range(0, len(data), STRIDE):
+                # One window before, to see whether the first one goes on with a suffix, and what the last ones need.
+                start, end = max(0, begin - 1), min(len(data), begin + STRIDE + 2 * LENGTH)
+                found = self._sample(data[start:end], np.unique(np.clip(offsets, start, end)) - start)
+                if found is None:
+                    continue
                 key, context, low, high = found
+                low, high = low + start, high + start
+                own = (low >= begin) & (low < begin + STRIDE)
+                key, context, low, high = key[own], context[own], low[own], high[own]
                 doc = np.searchsorted(offsets, low, "right") - 1
                 base = int(self.offsets[first])
                 parts.append((key, context, low + base, high + base, doc + first))
@@ -71,15 +80,16 @@ class Suffixes:
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(BYTE_VALUES[data] * up[:n], out=sums[1:])
         grams = (sums[GRAM:] - sums[:-GRAM]) * down[: n - GRAM + 1]
-        # High bits of the fingerprint and the position in one number: the least is the leftmost smallest.
-        least = (grams & ~np.uint64((1 << 24) - 1)) if n < 1 << 24 else (grams >> np.uint64(32)) << np.uint64(32)
+        # The top 40 bits of the fingerprint and the position in one number: the least is the leftmost smallest. The same
+        # rule holds in texts of any length, as none is read in larger pieces.
+        least = grams & ~np.uint64((1 << 24) - 1)
         least |= np.arange(len(grams), dtype=np.uint64)
         wide, span = LENGTH - GRAM + 1, 1
         while span < wide:
             step = min(span, wide - span)
             least = np.minimum(least[:-step], least[step:])
             span += step
-        at = (least & np.uint64((1 << 24) - 1 if n < 1 << 24 else (1 << 32) - 1)).astype(np.int64)
+        at = (least & np.uint64((1 << 24) - 1)).astype(np.int64)
         # Windows that lie within one text.
         text_end = np.repeat(offsets[1:], np.diff(offsets))[: len(at)]
         inside = np.arange(len(at)) + LENGTH <= text_end

@@ -58,3 +58,18 @@ def test_levels_merge_like_a_counter():
         levels.add(new)
     assert [n for n, _ in levels.levels] == [8, 2, 1]
     assert levels.scan(np.arange(0, 110, 5, dtype=np.uint64)).all()
+
+
+def test_named_suffixes_do_not_depend_on_pieces(monkeypatch):
+    """Texts of all lengths name the same suffixes, in whatever pieces they are read."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(5)
+    rows = ["".join(r.choice("abcé ") for _ in range(n)) for n in (0, 49, 50, 51, 300, 5000)] + ["z" * 900, "ab" * 700, "", "x" * 50]
+    texts, found = pa.array(rows, pa.string()), []
+    for stride in (1 << 20, 1000, 64, 7):
+        monkeypatch.setattr(sd, "STRIDE", stride)
+        s = sd.Suffixes(texts, np.arange(len(rows)))
+        found.append([x.tolist() for x in (s.key, s.context, s.low, s.high, s.doc)])
+    assert found[0] == found[1] == found[2] == found[3] and len(found[0][0]) > 300
