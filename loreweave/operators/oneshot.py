@@ -356,16 +356,16 @@ def known_relationship_context(records: DataFrame, values: DataFrame, present: D
         F.array_distinct(F.flatten(F.collect_list(F.transform("evidence", lambda e: e["chapter_num"])))).alias("_ev")
     ).filter("rtype IS NOT NULL")
     here = present.select("scope_id", "chapter_num", "identity_key").distinct()
-    seen = r.join(here.withColumnRenamed("identity_key", "left_key"), ["scope_id", "left_key"]).filter("_at < chapter_num").join(
-        here.withColumnRenamed("identity_key", "right_key"), ["scope_id", "chapter_num", "right_key"], "left_semi").join(said, "record_id")
-    before = F.array_sort(F.filter("_ev", lambda c: c < F.col("chapter_num")))
-    seen = seen.withColumn("_ch", F.when(F.size(before) > 0, before).otherwise(F.array(F.col("_at").cast("long"))))
-    keys = ["scope_id", "chapter_num", "left_key", "right_key"]
+    pair = ["scope_id", "left_key", "right_key"]
+    told = r.join(said, "record_id")
+    # chapters in which both ends of a pair are present
+    asked = told.select(*pair).distinct().join(here.withColumnRenamed("identity_key", "left_key"), ["scope_id", "left_key"]).join(
+        here.withColumnRenamed("identity_key", "right_key"), ["scope_id", "chapter_num", "right_key"], "left_semi")
     hint = F.struct(
         F.col("_order").alias("o"), F.col("left_name").alias("ln"), F.col("right_name").alias("rn"), F.col("rtype").alias("t"), label_specificity(F.col("rtype")).alias("ts"),
         *[x for c in ("forward", "backward") for x in (
             F.col(c).alias(c[0]), label_tokens(F.coalesce(c, F.lit(""))).alias(c[0] + "t"), label_specificity(F.coalesce(c, F.lit(""))).alias(c[0] + "s"))],
-        F.col("_ch").alias("ch"))
+        F.array(F.struct(F.col("_at").cast("long").alias("at"), F.col("_ev").alias("ev"))).alias("said"))
 
     def same(a: Column, b: Column) -> Column:
         return (a["t"] == b["t"]) | tokens_overlap(a["ft"], b["ft"]) | tokens_overlap(a["bt"], b["bt"])
@@ -378,29 +378,45 @@ def known_relationship_context(records: DataFrame, values: DataFrame, present: D
         typed = b["ts"] > a["ts"]
         return F.struct(
             a["o"].alias("o"), a["ln"].alias("ln"), a["rn"].alias("rn"), F.when(typed, b["t"]).otherwise(a["t"]).alias("t"), F.greatest(a["ts"], b["ts"]).alias("ts"),
-            *pick("f"), *pick("b"), F.array_sort(F.array_union(a["ch"], b["ch"])).alias("ch"))
+            *pick("f"), *pick("b"), F.concat(a["said"], b["said"]).alias("said"))
+
+    def running(rows: Column) -> Column:
+        """The hints after each record of a pair."""
+        def add(hints: Column, h: Column) -> Column:
+            return let(F.array_position(F.transform(hints, lambda x: same(x, h)), True), lambda p: F.when(
+                p == 0, F.concat(hints, F.array(h))).otherwise(F.transform(hints, lambda x, i: F.when(i + 1 == p, merge(x, h)).otherwise(x))))
 
-    def fold(rows: Column) -> Column:
         def step(acc: Column, h: Column) -> Column:
-            return let(F.array_position(F.transform(acc, lambda x: same(x, h)), True), lambda p: F.when(
-                p == 0, F.concat(acc, F.array(h))).otherwise(F.transform(acc, lambda x, i: F.when(i + 1 == p, merge(x, h)).otherwise(x))))
+            return let(add(acc["hints"], h), lambda hints: F.struct(hints.alias("hints"), F.concat(acc["out"], F.array(hints)).alias("out")))
+
+        def scan(rs: Column) -> Column:
+            none = F.slice(rs, F.lit(1), F.lit(0))
+            start = F.struct(none.alias("hints"), F.slice(F.array(none), F.lit(1), F.lit(0)).alias("out"))
+            return F.aggregate(rs, start, step, lambda acc: acc["out"])
 
-        return let(rows, lambda rs: F.aggregate(rs, F.slice(rs, F.lit(1), F.lit(0)), step))
+        return let(rows, scan)
 
-    def hints(df: DataFrame) -> DataFrame:
-        packed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(hint)).alias("_hs"))
-        return packed.select(*keys, F.explode(fold(F.col("_hs"))).alias("_h"))
+    def hints(records: DataFrame, by: list[str]) -> DataFrame:
+        """(*by, chapter_num, _h): the hints of each asked chapter. The records of a pair are folded once, along the
+        chapters; a chapter takes the state after the last record before it."""
+        packed = records.groupBy(*by).agg(F.array_sort(F.collect_list(hint)).alias("_hs"))
+        states = packed.select(*by, F.transform("_hs", lambda h: h["o"]["chapter_num"]).alias("_ats"), running(F.col("_hs")).alias("_states"))
+        before = F.size(F.filter("_ats", lambda at: at < F.col("chapter_num")))
+        return asked.join(states, by).withColumn("_n", before).filter("_n > 0").select(*asked.columns, F.explode(F.get("_states", F.col("_n") - 1)).alias("_h"))
 
-    read = seen
-    # the record that opens the last allowed hint is the last one read
-    w = Window.partitionBy("scope_id", "chapter_num").orderBy("_h.o")
+    found = hints(told, pair)
     if limit is not None:
-        opened = hints(seen).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limit)
+        # the record that opens the last allowed hint is the last one that a chapter reads
+        w = Window.partitionBy("scope_id", "chapter_num").orderBy("_h.o")
+        opened = found.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limit)
         last = opened.groupBy("scope_id", "chapter_num").agg(F.max("_h.o").alias("_last"), F.max("_n").alias("_full"))
-        read = seen.join(last, ["scope_id", "chapter_num"]).filter((F.col("_full") < limit) | (F.col("_order") <= F.col("_last"))).drop("_last", "_full")
-    return hints(read).select(
-        *keys, F.col("_h.ln").alias("left_name"), F.col("_h.rn").alias("right_name"), F.col("_h.t").alias("relationship_type"),
-        F.col("_h.f").alias("left_to_right"), F.col("_h.b").alias("right_to_left"), F.col("_h.ch").alias("evidence_chapters"))
+        read = told.join(asked, pair).filter("_at < chapter_num").join(last, ["scope_id", "chapter_num"]).filter((F.col("_full") < limit) | (F.col("_order") <= F.col("_last")))
+        found = hints(read, [*pair, "chapter_num"])
+    chapters = F.array_sort(F.array_distinct(F.flatten(F.transform("_h.said", lambda s: let(
+        F.filter(s["ev"], lambda c: c < F.col("chapter_num")), lambda e: F.when(F.size(e) > 0, e).otherwise(F.array(s["at"])))))))
+    return found.select(
+        "scope_id", "chapter_num", "left_key", "right_key", F.col("_h.ln").alias("left_name"), F.col("_h.rn").alias("right_name"), F.col("_h.t").alias("relationship_type"),
+        F.col("_h.f").alias("left_to_right"), F.col("_h.b").alias("right_to_left"), chapters.alias("evidence_chapters"))
 
 
 def run_summary(chapters: DataFrame, records: DataFrame, suspects: DataFrame, reviews: DataFrame) -> DataFrame:

@@ -258,7 +258,32 @@ def i11(spark, sf):
     return known_identities_in_text(chapters(spark, sf).withColumnRenamed("content", "text"), _alias_surfaces(spark, sf), prior_only=True)
 
 
-@query("i12_known_relationship_context")
+# one row per pair and record along the chapters of a novel: the hints after that record
+_HINT = "'ln': {0}ln, 'rn': {0}rn, 't': {0}t, 'ts': {0}ts, 'f': {0}f, 'ft': {0}ft, 'fs': {0}fs, 'b': {0}b, 'bt': {0}bt, 'bs': {0}bs, 'ch': {0}ch"
+
+
+def _picked(c):
+    better = f"(len(v.{c}t) > 0 AND (len(x.{c}t) = 0 OR v.{c}s > x.{c}s))"
+    return ", ".join(f"'{k}': CASE WHEN {better} THEN v.{k} ELSE x.{k} END" for k in (c, c + "t", c + "s"))
+
+
+_I12 = f"""rc12 AS (SELECT p.chapter_id, c.novel_id, p.entity_key, min_by(ln || ' ↔ ' || rn, ord) AS display FROM pairs2 p JOIN (SELECT chapter_id, novel_id FROM {CH}) c ON c.chapter_id = p.chapter_id GROUP BY 1, 2, 3),
+sp12 AS (SELECT *, trim(value) AS l, {_SPEC.format(Q.fkey('value'))} AS vs, {_SPEC.format(Q.fkey('rtype'))} AS ks FROM values8),
+sd12 AS (SELECT chapter_id, entity_key, max_by(rtype, (ks, -pos)) AS t, max_by(l, (vs, -pos)) FILTER (direction = 'self_to_related' AND l <> '') AS f, max_by(l, (vs, -pos)) FILTER (direction = 'related_to_self' AND l <> '') AS b FROM sp12 GROUP BY 1, 2),
+h12 AS MATERIALIZED (SELECT *, {_SPEC.format(Q.fkey('t'))} AS ts, {_TOKS.format(Q.fkey("coalesce(f, '')"))} AS ft, {_SPEC.format(Q.fkey("coalesce(f, '')"))} AS fs, {_TOKS.format(Q.fkey("coalesce(b, '')"))} AS bt, {_SPEC.format(Q.fkey("coalesce(b, '')"))} AS bs, [chap] AS ch,
+ row_number() OVER (PARTITION BY novel_id, lk, rk ORDER BY chap, display, rid) AS n FROM (SELECT novel_id, rc12.chapter_id AS chap, display, rc12.chapter_id || '/' || rc12.entity_key AS rid, split_part(rc12.entity_key, '|', 2) AS lk, split_part(rc12.entity_key, '|', 3) AS rk,
+ split_part(display, ' ↔ ', 1) AS ln, split_part(display, ' ↔ ', 2) AS rn, t, f, b FROM rc12 JOIN sd12 ON sd12.chapter_id = rc12.chapter_id AND sd12.entity_key = rc12.entity_key)),
+st12 AS (SELECT novel_id, lk, rk, n, [{{{_HINT.format('')}}}] AS acc FROM h12 WHERE n = 1
+ UNION ALL SELECT novel_id, lk, rk, n, CASE WHEN hit = 0 THEN list_append(acc, v) ELSE list_transform(acc, lambda x, i: CASE WHEN i <> hit THEN x ELSE {{'ln': x.ln, 'rn': x.rn, 't': CASE WHEN v.ts > x.ts THEN v.t ELSE x.t END, 'ts': greatest(x.ts, v.ts), {_picked('f')}, {_picked('b')}, 'ch': list_sort(list_distinct(list_concat(x.ch, v.ch)))}} END) END
+ FROM (SELECT *, coalesce(list_position(list_transform(acc, lambda x: x.t = v.t OR {_overlap('x.ft', 'v.ft')} OR {_overlap('x.bt', 'v.bt')}), TRUE), 0) AS hit
+  FROM (SELECT st12.novel_id, st12.lk, st12.rk, h12.n, acc, {{{_HINT.format('h12.')}}} AS v FROM st12 JOIN h12 ON h12.novel_id = st12.novel_id AND h12.lk = st12.lk AND h12.rk = st12.rk AND h12.n = st12.n + 1) z1) z2),
+pr12 AS (SELECT DISTINCT novel_id, chapter_num, unnest([replace(lower(name), ' ', '_'), lower(alias)]) AS k FROM {IDC}),
+as12 AS (SELECT q.novel_id, q.chapter_num, q.lk, q.rk, count(*) AS n FROM (SELECT DISTINCT p.novel_id, a.chapter_num, lk, rk FROM (SELECT DISTINCT novel_id, lk, rk FROM h12) p JOIN pr12 a ON a.novel_id = p.novel_id AND a.k = lk JOIN pr12 b ON b.novel_id = p.novel_id AND b.k = rk AND b.chapter_num = a.chapter_num) q
+ JOIN h12 ON h12.novel_id = q.novel_id AND h12.lk = q.lk AND h12.rk = q.rk AND h12.chap < q.chapter_num GROUP BY 1, 2, 3, 4)"""
+
+
+@query("i12_known_relationship_context", f"""WITH RECURSIVE {_I7}, {_I8}, {_I12} SELECT scope_id, chapter_num, left_key, right_key, x.ln AS left_name, x.rn AS right_name, x.t AS relationship_type, x.f AS left_to_right, x.b AS right_to_left, array_to_string(x.ch, '|') AS evidence_chapters
+FROM (SELECT q.novel_id AS scope_id, q.chapter_num, q.lk AS left_key, q.rk AS right_key, unnest(acc) AS x FROM as12 q JOIN st12 s ON s.novel_id = q.novel_id AND s.lk = q.lk AND s.rk = q.rk AND s.n = q.n)""")
 def i12(spark, sf):
     built = _rel(spark, sf)
     ch = chapters(spark, sf).select("chapter_id", "chapter_num", "novel_id")
