@@ -1,8 +1,9 @@
 """Mixing of sources to target weights by Pareto order sampling.
 
-Every source has a target number of words. A document takes as many whole copies as its expected number
-of copies surely holds; the fraction that is left is its inclusion probability for one more copy. The
-documents of a source are ranked by random odds over inclusion odds (Pareto order sampling) and take
+Every source has a target number of words. The expected copies of a document are its preference times the level of its
+source, at most ``most``; the level is set by water filling, so that expected words meet the target and what documents at
+their limit leave goes to the others. A document takes as many whole copies as that number surely holds; the fraction
+that is left is its inclusion probability for one more copy. The documents of a source are ranked by random odds over inclusion odds (Pareto order sampling) and take
 the further copy in that order until the words of the source are used up; the document on the border
 takes only the words that are left. So the sample of each source has a fixed size in words.
 
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import SPACE, stage
 
 BUCKETS = 4096
+#: Preferences count in steps of this part of a doubling, so a source has some hundred of them at most.
+STEPS = 16
 
 
 def n_words(text: Column) -> Column:
@@ -56,6 +59,28 @@ def targets(sources: DataFrame, share: float, weights: tuple[float, ...], most:
     return s.select("source", "source_size", goal.alias("target"))
 
 
+def damped(size: Column) -> Column:
+    """A preference that falls slowly with the words of a document, so that long ones do not crowd out the many short
+    ones of their source: one over the fourth root."""
+    return F.pow(F.greatest(size, F.lit(1)).cast("double"), F.lit(-0.25))
+
+
+def levels(likings: DataFrame, goals: DataFrame, most: int) -> DataFrame:
+    """(source, level) such that the words of a source times min(``most``, level * preference) meet its target.
+
+    ``likings``: source, _p, _w (words of that preference). Sorted by falling preference, those at their limit are a
+    prefix, so running sums over the preferences of a source give the level."""
+    s = likings.join(goals, likings.source.eqNullSafe(goals._g)).drop("_g")
+    whole = Window.partitionBy("source")
+    by_limit = whole.orderBy(F.desc("_p"))
+    full = F.coalesce(F.sum("_w").over(by_limit.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) * most
+    rest = F.sum(F.col("_p") * F.col("_w")).over(by_limit.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    s = s.withColumn("_level", F.when(rest > 0, (F.col("target") - full) / rest))
+    below = F.col("_level") * F.col("_p") < most
+    # The level if all before are at their limit; it is highest at the first preference that stays below its own.
+    return s.groupBy("source").agg(F.max(F.when(below, F.col("_level"))).alias("level"))
+
+
 def mix(
     docs: DataFrame,
     share: float = 1.5,
@@ -65,31 +90,37 @@ def mix(
     size: str | None = None,
     seed: int = 20,
 ) -> DataFrame:
-    """Rows of ``docs`` as struct ``row`` with size, source_size, target, copies (whole ones) and taken (words).
+    """Rows of ``docs`` as struct ``row`` with size, source_size, target, expected (copies), copies (whole ones) and
+    taken (words).
 
     ``preference`` names a positive column that raises or lowers the expected copies of a document within its
-    source (null counts as 1); without it all documents of a source are alike. ``size`` names a column that
+    source (null, zero and less count as 1); without it all documents of a source are alike. ``size`` names a column that
     already holds the words of a row; else they are counted in ``text``.
     """
-    liking = F.coalesce(F.col(preference).cast("double"), F.lit(1.0)) if preference else F.lit(1.0)
+    given = F.col(preference).cast("double") if preference else F.lit(1.0)
+    liking = F.when(given > 0, F.pow(F.lit(2.0), F.round(F.log2(given) * STEPS) / STEPS)).otherwise(1.0)
     random = F.xxhash64(F.lit(seed), F.col("_id"), F.col("size")).bitwiseAND(F.lit((1 << 52) - 1)) + 0.5
     d = docs.select(
         F.struct(*docs.columns).alias("row"), F.col("source"), F.col("doc_id").alias("_id"),
         (F.coalesce(F.col(size), F.lit(0)) if size else n_words(F.col("text"))).alias("size"), liking.alias("_p"),
     ).withColumn("_u", random / float(1 << 52))
-    per_source = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("_p") * F.col("size")).alias("_ps"))
-    per_source = stage(per_source, "mix-sources")
-    t = targets(per_source.drop("_ps"), share, weights, most)
-    facts = t.join(per_source.drop("source_size"), t.source.eqNullSafe(per_source.source)).select(
-        t.source.alias("_s"), "source_size", "target",
-        F.when(F.col("_ps") > 0, F.col("target") / F.col("_ps")).otherwise(0.0).alias("_rate"),
+    likings = stage(d.groupBy("source", "_p").agg(F.sum("size").alias("_w")), "mix-sources")
+    per_source = likings.groupBy("source").agg(F.sum("_w").alias("source_size"))
+    t = stage(targets(per_source, share, weights, most), "mix-goals")
+    goals = t.select(F.col("source").alias("_g"), "target")
+    level = levels(likings, goals, most)
+    facts = t.join(level, t.source.eqNullSafe(level.source)).select(
+        t.source.alias("_s"), "source_size", "target", "level",
         F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("_mean"),
     )
     facts = stage(facts, "mix-targets")
     d = d.join(facts, d.source.eqNullSafe(facts._s)).drop("_s")
-    # Copies are certain up to the whole part; 1e-9 keeps a rate that is whole but for rounding whole.
-    expected = F.least(F.lit(float(most)), F.col("_rate") * F.col("_p"))
-    d = d.withColumn("copies", F.floor(expected + 1e-9).cast("bigint"))
+    # Without a level all documents of the source are at their limit. Copies are certain up to the whole part; 1e-9 keeps
+    # a number that is whole but for rounding whole.
+    limit = F.when(F.col("target") > 0, F.lit(float(most))).otherwise(0.0)
+    d = d.withColumn("expected", F.when(F.col("level").isNull(), limit).otherwise(F.least(limit, F.col("level") * F.col("_p"))))
+    d = d.withColumn("copies", F.floor(F.col("expected") + 1e-9).cast("bigint"))
+    expected = F.col("expected")
     part = F.least(F.greatest(expected - F.col("copies"), F.lit(1e-9)), F.lit(1 - 1e-9))
     typical = F.least(F.greatest(F.col("_mean") - F.floor(F.col("_mean") + 1e-9), F.lit(1e-9)), F.lit(1 - 1e-9))
     odds = F.col("_u") / (1 - F.col("_u")) / (part / (1 - part)) * (typical / (1 - typical))
@@ -109,7 +140,7 @@ def mix(
     )
     cut = stage(cut, "mix-borders")
     d = d.join(cut, d.source.eqNullSafe(cut._s) & (d._bucket == cut._b)).drop("_s", "_b")
-    out = ["row", "size", "source_size", "target", "copies"]
+    out = ["row", "size", "source_size", "target", "expected", "copies"]
     border = (F.col("_left") > 0) & (F.col("_left") < F.col("_words"))
     sure = F.col("copies") * F.col("size")
     flat = d.filter(~border).select(*out, (sure + F.when(F.col("_left") > 0, F.col("_more")).otherwise(0)).alias("taken"))

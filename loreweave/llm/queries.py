@@ -30,9 +30,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op1_pareto_mix")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    sized = stage(docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size")), "mix-sizes")
-    out = mixing.mix(sized, share=1.5, weights=(3, 1, 2), most=2, size="size")
-    return out.select("row.doc_id", "row.source", "size", "source_size", "target", "copies", "taken")
+    sized = docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"))
+    sized = stage(sized.withColumn("liking", mixing.damped(F.col("size"))), "mix-sizes")
+    out = mixing.mix(sized, share=1.5, weights=(3, 1, 2), most=2, preference="liking", size="size")
+    return out.select("row.doc_id", "row.source", "size", "source_size", "target", "expected", "copies", "taken")
 
 
 @query(

@@ -57,6 +57,42 @@ def test_inclusion_follows_odds(spark, docs):
     assert 1.5 < high / low < 2.7
 
 
+def filled(sizes, likings, target, most):
+    """Expected copies by bisection of the level."""
+    low, high = 0.0, 1e9
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(n * min(most, mid * p) for n, p in zip(sizes, likings)) < target else (low, mid)
+    return [min(most, low * p) for p in likings]
+
+
+def test_inclusion_meets_its_probability(spark, docs):
+    """400 sources of the same documents are 400 draws: whole copies are certain, and the share of draws in which a
+    document gets one more is its fraction, within three standard errors; equal probabilities would fail."""
+    likings, words, draws = [1.0] * 20 + [2.0] * 20 + [4.0] * 20 + [16.0] * 4, 5, 400
+    rows = [(s * 100 + i, "one two three four five", "en", f"s{s:03}", None, None, None, None, p) for s in range(draws) for i, p in enumerate(likings)]
+    got = mixing.mix(docs(rows).repartition(4), share=0.6, weights=(1,), preference="label").collect()
+    want = filled([words] * len(likings), likings, 0.6 * words * len(likings), 2)
+    more = [0] * len(likings)
+    for r in got:
+        i = r.row["doc_id"] % 100
+        assert r.expected == pytest.approx(want[i], abs=1e-6) and r.copies == int(want[i] + 1e-9) and r.taken <= 10
+        more[i] += (r.taken - r.copies * words) / words
+    groups = {p: [i for i, q in enumerate(likings) if q == p] for p in set(likings)}
+    for p, members in groups.items():
+        part, n = want[members[0]] % 1, draws * len(members)
+        assert abs(sum(more[i] for i in members) / n - part) <= 3 * (part * (1 - part) / n) ** 0.5 + 0.01
+    assert want[-1] == 2 and len({round(w, 6) for w in want}) == 4
+
+
+def test_a_source_fills_up_within_its_limits(spark, docs):
+    """What documents at their limit leave goes to the others, down to the last word."""
+    rows = [(i, " ".join(["w"] * (1 + i % 50)), "en", "a", None, None, None, None, float(1 + i % 9) ** 3) for i in range(200)]
+    got = mixing.mix(docs(rows), share=1.7, weights=(1,), preference="label").collect()
+    assert abs(sum(r.taken for r in got) - got[0].target) <= 1 and all(r.taken <= 2 * r["size"] for r in got)
+    assert abs(sum(r.expected * r["size"] for r in got) - got[0].target) < 1e-6
+
+
 def test_empty(spark, docs):
     assert mixing.mix(docs([])).count() == 0
     assert [r.taken for r in mixing.mix(docs([(1, None, "en", None), (2, " \n", "en", "a")])).collect()] == [0, 0]
