@@ -6,6 +6,7 @@ arrival, ``pos`` the values inside one field. Relationship columns stay on the v
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -111,9 +112,11 @@ def merge_identity_records(records: DataFrame, values: DataFrame, identities: Da
 
 def components(edges: DataFrame, scope: Sequence[str], node: str, key: str) -> DataFrame:
     """Connected components of nodes that share keys: scope, node, label (smallest node). Labels travel
-    through minimum aggregates only, so a key that very many nodes share costs no pairs."""
+    through minimum aggregates only, so a key that very many nodes share costs no pairs. A round only reads the scopes
+    in which the round before still changed a label."""
     edges = cut_lineage(edges.select(*scope, node, key).distinct())
     labels = edges.select(*scope, node, F.col(node).alias("label")).distinct()
+    settled: list[DataFrame] = []
     while True:
         heard = edges.join(labels, [*scope, node]).groupBy(*scope, key).agg(F.min("label").alias("label"))
         near = edges.join(heard, [*scope, key]).groupBy(*scope, node).agg(F.min("label").alias("_near"))
@@ -123,9 +126,12 @@ def components(edges: DataFrame, scope: Sequence[str], node: str, key: str) -> D
             step.join(jump, [*scope, "_near"], "left").select(
                 *scope, node, F.least("_near", F.coalesce("_far", "_near")).alias("label"), F.col("label").alias("_old"))
         )
-        labels = new.drop("_old")
-        if new.filter("label <> _old").isEmpty():
-            return labels
+        active = cut_lineage(new.filter("label <> _old").select(*scope).distinct())
+        new = new.drop("_old")
+        if active.isEmpty():
+            return reduce(DataFrame.unionByName, settled, new)
+        settled.append(new.join(active, list(scope), "left_anti"))
+        labels, edges = new.join(active, list(scope), "left_semi"), cut_lineage(edges.join(active, list(scope), "left_semi"))
 
 
 def dedupe_records(records: DataFrame, values: DataFrame, scope: Sequence[str] = ("chapter_id",)) -> DataFrame:
