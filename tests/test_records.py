@@ -178,3 +178,27 @@ def test_pause_keeps_reason_and_run_clears_it(spark):
     after, events, _ = K.replay_jobs(jd, rd)
     assert tuple(after.first()) == (1, "cancelled", 10, 50, None, "again")
     assert [r.event_type for r in events.orderBy("sequence").collect()] == ["analysis_job_started", "analysis_job_paused", "analysis_job_resumed", "analysis_job_paused", "analysis_job_cancelled"]
+
+
+def test_reset_keeps_the_alias_map_up(spark):
+    """After a reset the map equals one that is built from what is left, whatever left it: first, best or only sources."""
+    from loreweave.operators import aliases as J
+    from loreweave.operators import runs as RU
+
+    rng = random.Random(6)
+    names = ["Han Lap", "Nam Cung Uyen", "Ma Quang", "Han Lap"]
+    rec = [(j, f"{j}/{c}/{k}", c, ["han_lap", "nam_cung", " "][k % 3], names[(c + k) % 4]) for j in (1, 2) for c in range(1, 9) for k in range(3)]
+    val = [(r[1], ["other_alias", "Nickname", "appearance"][rng.randrange(3)], "L", p, rng.choice(["Han Nhi", "Old Ma", "Uyen Nhi", "x"]), rng.choice([None, 0.2, 0.9])) for r in rec for p in range(3)]
+    records = spark.createDataFrame(rec, "job_id int, record_id string, chapter_num int, entity_key string, display_name string")
+    values = spark.createDataFrame(val, "record_id string, field_key string, field_label string, pos int, value_text string, confidence double").withColumn(
+        "evidence", F.when(F.col("pos") == 1, F.array(F.struct(F.col("record_id").alias("quote")))).otherwise(F.array().cast("array<struct<quote:string>>")))
+    aliases = J.rebuild_alias_map(records, values)
+    for resets in ([(1, 1, 3)], [(1, 2, 2), (1, 5, 8), (2, None, None)], []):
+        r = spark.createDataFrame(resets, "job_id int, from_num int, to_num int")
+        out = RU.reset_records(records, {}, values, aliases, r)
+        left = [x for x in rec if not any(x[0] == j and (a is None or a <= x[2] <= b) for j, a, b in resets)]
+        assert sorted(x.record_id for x in out["records"].collect()) == sorted(x[1] for x in left)
+        kept = spark.createDataFrame(left, records.schema)
+        want = J.rebuild_alias_map(kept, values.join(kept.select("record_id"), "record_id", "left_semi"))
+        assert sorted(map(str, out["aliases"].collect())) == sorted(map(str, want.collect()))
+        assert out["values"].count() == 3 * len(left)
