@@ -229,3 +229,49 @@ def test_segment_mentions_match_text(spark):
     assert sorted((r.start_char, r.text) for r in rows) == [(0, "Ông Lão Tổ"), (14, "Lão Tổ")]
     assert all(text[r.start_char:r.end_char] == r.text for r in rows)
     assert re.match("Ông", text)
+
+
+def shuffled_rows(df):
+    """Rows that all shuffles of a query wrote."""
+    df.collect()
+    todo, total = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        else:
+            if node.metrics().contains("shuffleRecordsWritten"):
+                total += node.metrics().apply("shuffleRecordsWritten").value()
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
+def test_search_shuffles_texts_and_not_their_runs(spark):
+    """Surfaces of a text: no row per word. Of a wider scope: a row per distinct run at most, however often it occurs, and
+    names with a common first word do not multiply what a text is compared with."""
+    names = [f"Anna w{i}" for i in range(40)]
+    text = " ".join(["Anna", "w7", "and"] * 500)
+    td = spark.createDataFrame([(1, 1, text)], "text_id int, novel_id int, text string")
+    sd = spark.createDataFrame([(1, n) for n in names], "text_id int, surface string")
+    by_text = M.find_occurrences(td, sd, ["text_id"])
+    assert by_text.count() == 500 and shuffled_rows(by_text) < 100
+    by_novel = M.find_occurrences(td, sd.withColumnRenamed("text_id", "novel_id"), ["novel_id"])
+    assert by_novel.count() == 500 and shuffled_rows(by_novel) < 1000
+
+
+def test_parts_of_a_text_share_its_surfaces(spark):
+    td = spark.createDataFrame([(1, "a", "Anna came. Anna"), (1, "b", "no one"), (1, "c", None), (2, "a", "Lee, anna")], "chunk int, part string, text string")
+    sd = spark.createDataFrame([(1, "Anna"), (2, "Lee"), (2, "...")], "chunk int, surface string")
+    got = sorted((r.chunk, r.part, r.surface, r.start_char) for r in M.find_occurrences(td, sd, ["chunk"], text_id="part", per_text=True).collect())
+    assert got == [(1, "a", "Anna", 0), (1, "a", "Anna", 11), (2, "a", "Lee", 0)]
+
+
+def test_entities_with_one_surface_meet_what_is_found_once(spark):
+    td = spark.createDataFrame([(1, "n", 5, "Anna and Lee. Anna")], "chapter_id int, novel_id string, chapter_num int, text string")
+    rows = [("n", "anna", "Anna", 1), ("n", "anna", "Lee", 9), ("n", "lee", "Lee", 7), ("n", "ann", "Anna", 2), ("n", "ann", "Anna", 8)]
+    ad = spark.createDataFrame(rows, "novel_id string, entity_key string, surface string, first_chapter_num int")
+    assert sorted(r.entity_key for r in M.known_identities_in_text(td, ad).collect()) == ["ann", "anna", "lee"]
+    assert sorted(r.entity_key for r in M.known_identities_in_text(td, ad, prior_only=True).collect()) == ["ann", "anna"]
