@@ -55,3 +55,18 @@ def test_record_to_show_changes_only_in_its_chapters(spark):
     shown = {c: [r.record_id for r in R.identity_records_at(changes, c).collect()] for c in range(1, 12)}
     assert shown[1] == [] and all(shown[c] == [f"r{c}" if c in (5, 6, 9) else "r2"] for c in range(2, 12))
     assert {r.record_id for r in R.visible_as_of(rec, 5).collect()} == {"r2", "r5"}
+
+
+def test_highlight_takes_the_first_listed_alias_known_by_then(spark):
+    """Also where very many entities share a surface: an occurrence then meets the few that can win."""
+    chapters = spark.createDataFrame([(c, "n", c, "then Annas came") for c in (1, 5, 9)], "chapter_id long, novel_id string, chapter_num long, content string")
+    rows = [("n", f"e{i}", "Annas", "alias", i % 7 + 3, 1000 - i) for i in range(300)] + [("n", "early", "Annas", "alias", 2, 9000), ("n", "unknown", "Annas", "alias", None, 0)]
+    aliases = spark.createDataFrame(rows, "novel_id string, entity_key string, alias_text string, alias_type string, first_chapter_num long, ord long")
+    records = spark.createDataFrame([], "novel_id string, chapter_id long, chapter_num long, record_id string, entity_key string, display_name string")
+    mentions = spark.createDataFrame([], "record_id string, text string, start_char long, end_char long, mention_type string")
+    got = {r.chapter_id: r.record_key for r in R.highlight_mentions(records, mentions, aliases, chapters).collect()}
+
+    def best(chapter):
+        return min((str(o), e) for _, e, _, _, first, o in rows if first is not None and first <= chapter)[1]
+
+    assert got == {c: f"alias:entity:{best(c)}" for c in (5, 9)}
