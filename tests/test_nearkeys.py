@@ -40,3 +40,24 @@ def test_very_long_keys_are_found(spark):
     assert len(long) > N.LONG
     got = {r.right_id: r.score for r in E.identity_scores(ld, rd).collect()}
     assert set(got) == {"b"} and abs(got["b"] - (1 - 12 / len(long))) < 1e-9
+
+
+def test_a_high_minimum_searches_only_keys_long_enough_for_an_edit(spark, monkeypatch):
+    """Scores from 0.98 upwards compared all names of a novel, though a name of less than 50 letters must be equal."""
+    rng, seen = random.Random(9), []
+    near = E.near_keys
+    monkeypatch.setattr(E, "near_keys", lambda left, right, scope, minimum: (
+        seen.extend(r.skey for df in (left, right) for r in df.collect()), near(left, right, scope, minimum))[1])
+    made_up = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    long = [made_up(n) for n in (48, 49, 50, 51, 55, 64, 65, 80, 101, 120)]
+    names = long + [made_up(n) + " " + made_up(4) for n in (4, 5, 9, 20) for _ in range(5)]
+    changed = [n[:-1] if k % 3 == 0 else n[:7] + "x" + n[8:] if k % 3 == 1 else n for k, n in enumerate(names)]
+    ld = spark.createDataFrame([(1, f"l{i}", n, []) for i, n in enumerate(names)], "novel_id int, left_id string, name string, aliases array<string>")
+    rd = spark.createDataFrame([(1, f"r{i}{j}", n, [long[i % 10]]) for j, ns in enumerate((names, changed)) for i, n in enumerate(ns)],
+                               "novel_id int, right_id string, name string, aliases array<string>")
+    every = {(r.left_id, r.right_id): r.score for r in E.identity_scores(ld, rd).collect()}
+    seen.clear()
+    for minimum in (E.AUTO_MERGE, E.SAME):
+        got = {(r.left_id, r.right_id): r.score for r in E.identity_scores(ld, rd, minimum=minimum).collect()}
+        assert got == {k: s for k, s in every.items() if s >= minimum}
+    assert any(s < 1 for s in every.values() if s >= E.AUTO_MERGE) and seen and min(map(len, seen)) >= 49
