@@ -202,3 +202,24 @@ def test_reset_keeps_the_alias_map_up(spark):
         want = J.rebuild_alias_map(kept, values.join(kept.select("record_id"), "record_id", "left_semi"))
         assert sorted(map(str, out["aliases"].collect())) == sorted(map(str, want.collect()))
         assert out["values"].count() == 3 * len(left)
+
+
+def test_aliases_of_a_name_are_checked_once_for_all_its_chapters(spark, monkeypatch):
+    """Every alias row of a name met every chapter of that name before E4 ran."""
+    from loreweave.operators import identity as E
+
+    rows, push = [], E.push_alias
+    monkeypatch.setattr(E, "push_alias", lambda aliases, keys: (rows.append(aliases.count()), push(aliases, keys))[1])
+    names = {1: ["Anna Kell", "anna kell", "Bo Rand"], 2: ["Anna Kell"]}  # two spellings of one key are two owners
+    ids = spark.createDataFrame(
+        [(c, n, name) for n, ns in names.items() for name in ns for c in range(n * 100, n * 100 + 20)] + [(100, 1, "Bo Rand")], "chapter_id int, novel_id int, name string")
+    said = [(1, "Anna Kell", 3, "Red Fox"), (1, "Anna Kell", 1, "The Fox"), (1, "ANNA KELL", 2, "the fox"), (1, "Bo Rand", 4, "Bo Rand"), (2, "Anna Kell", 5, "Grey"), (2, "Cy", 6, "Blue")]
+    amap = spark.createDataFrame(
+        [(n, who, i, text, "alias", "", None, ["he said"] if i == 2 else []) for n, who, i, text in said],
+        "novel_id int, display_name string, ord int, alias_text string, alias_type string, alias_label string, confidence double, quotes array<string>")
+    out = R.hydrate_aliases(ids, amap, ["chapter_id"])
+    assert out.columns == ["chapter_id", "name", "text", "alias_type", "alias_label", "is_primary", "ord", "quotes"]
+    got = sorted((r.chapter_id, r.name, r.text, r.ord, tuple(r.quotes)) for r in out.collect())
+    first = [("Red Fox", 3, ()), ("The Fox", 1, ())]  # "the fox" has no capital letter and is refused with its quote
+    want = [(c, name, *f) for c in range(100, 120) for name in ("Anna Kell", "anna kell") for f in first] + [(c, "Anna Kell", "Grey", 5, ()) for c in range(200, 220)]
+    assert got == sorted(want) and rows == [8]
