@@ -47,6 +47,13 @@ def quote_in_flat(flat: Column, quote: Column) -> Column:
     return F.coalesce((q != "") & F.contains(flat, q), F.lit(False))
 
 
+def quotes_in_texts(quotes: DataFrame, chapters: DataFrame, scope: Sequence[str] = ("chapter_id",)) -> DataFrame:
+    """H3 over a table: rows of ``quotes`` (scope, quote) that have a chapter, with ``found``. White space is collapsed once
+    per chapter, before its quotes meet it. ``chapters``: scope, content."""
+    flat = chapters.select(*scope, K.squeeze_ws(F.col("content")).alias("_flat"))
+    return quotes.join(flat, list(scope)).withColumn("found", quote_in_flat(F.col("_flat"), F.col("quote"))).drop("_flat")
+
+
 def unique_surfaces(identities: DataFrame, scope: Sequence[str], ident: str) -> DataFrame:
     """Surface key -> the one identity it stands for; keys of several identities are left out."""
     s = identity_surfaces(identities.withColumnRenamed(ident, "_id"), (*scope, "_id")).select(
@@ -68,11 +75,8 @@ def resolve_relationship_candidates(
     c = candidates.withColumn("_s", K.text_key(K.clean_surface(F.col("source_name")))).withColumn("_t", K.text_key(K.clean_surface(F.col("target_name"))))
     c = c.join(side("s", "source_idx"), [*scope, "_s"], "left").join(side("t", "target_idx"), [*scope, "_t"], "left")
     # only quoted candidates need the text; one row per quote keeps the text out of arrays
-    quoted = c.select(*scope, "cand_id", F.explode("quotes").alias("_q"))
-    # white space is collapsed once per chapter, before its quotes meet it
-    flat = chapters.select(*scope, K.squeeze_ws(F.col("content")).alias("_flat"))
-    grounded = quoted.join(flat, list(scope)).filter(quote_in_flat(F.col("_flat"), F.col("_q"))).select(
-        *scope, "cand_id").distinct().withColumn("_grounded", F.lit(True))
+    quoted = c.select(*scope, "cand_id", F.explode("quotes").alias("quote"))
+    grounded = quotes_in_texts(quoted, chapters, scope).filter("found").select(*scope, "cand_id").distinct().withColumn("_grounded", F.lit(True))
     c = c.join(grounded, [*scope, "cand_id"], "left")
     code = (
         F.when(relation_kind(F.col("kind")) != "stable_relation", F.lit("relationship_candidate_not_stable"))

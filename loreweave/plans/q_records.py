@@ -313,8 +313,8 @@ def h2(spark, sf):
 
 @query("h3_quote_in_text", f"SELECT chapter_id, cand_id, contains(text, trim(quote)) OR contains({Q.squeeze('text')}, {Q.squeeze('quote')}) AS found FROM ({_HC.format(_P)}) hc JOIN documents d ON d.doc_id = hc.chapter_id")
 def h3(spark, sf):
-    c = _h_candidates(spark, sf).join(I.run(spark, sf, I.chapters).select("chapter_id", "content"), "chapter_id")
-    return c.select("chapter_id", "cand_id", H.quote_in_text(F.col("content"), F.get("quotes", F.lit(0))).alias("found"))
+    q = _h_candidates(spark, sf).select("chapter_id", "cand_id", F.get("quotes", F.lit(0)).alias("quote"))
+    return H.quotes_in_texts(q, I.run(spark, sf, I.chapters)).select("chapter_id", "cand_id", "found")
 
 
 @query("h4_canonicalize_pairs", f"WITH {_H2}, {_H4} SELECT chapter_id, cand_id, left_idx, right_idx, rel_type, left_label, right_label, quote FROM h4")

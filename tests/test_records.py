@@ -223,3 +223,16 @@ def test_aliases_of_a_name_are_checked_once_for_all_its_chapters(spark, monkeypa
     first = [("Red Fox", 3, ()), ("The Fox", 1, ())]  # "the fox" has no capital letter and is refused with its quote
     want = [(c, name, *f) for c in range(100, 120) for name in ("Anna Kell", "anna kell") for f in first] + [(c, "Anna Kell", "Grey", 5, ()) for c in range(200, 220)]
     assert got == sorted(want) and rows == [8]
+
+
+def test_white_space_of_a_text_is_collapsed_before_its_quotes_meet_it(spark):
+    """Every quote collapsed the whole text anew."""
+    from loreweave.operators import relations as H
+
+    texts = spark.createDataFrame([(1, "He  said:\n\tgo home"), (2, ""), (3, None)], "chapter_id int, content string")
+    said = [(1, "said: go"), (1, " He \t said: "), (1, "went"), (1, " "), (1, None), (2, "x"), (2, ""), (3, "x"), (4, "x")]
+    quotes = spark.createDataFrame([(c, i, q) for i, (c, q) in enumerate(said)], "chapter_id int, cand_id int, quote string")
+    out = H.quotes_in_texts(quotes, texts)
+    assert {(r.cand_id, r.found) for r in out.collect()} == {(0, True), (1, True), *((i, False) for i in range(2, 8))}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "content#" in plan and "content#" not in plan[: plan.index("Join")], plan
